@@ -135,29 +135,20 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 def kde_curve(df: DataFrame, column: str, bins: int = 10, points: int = 200) -> DataFrame:
     """Gaussian density on a grid over the data range, scaled to the histogram's counts.
 
-    Scott's bandwidth. The grid is a fixed set of aggregates over one pass, so each row is
-    read once and nothing but the sums is shuffled.
+    Scott's bandwidth. Each row is spread over the fixed grid and summed up inside its map
+    task; one row per grid point and task is shuffled.
     """
-    stats = df.agg(F.min(column), F.max(column), F.count(column), F.stddev_samp(column)).first()
-    lo, hi, n, sd = stats
-    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    lo, hi, n, sd = df.agg(F.min(column), F.max(column), F.count(column), F.stddev_samp(column)).first()
     if not n or not sd:
-        return grid.where(F.lit(False)).select("point", F.lit(0.0).alias("x"), F.lit(0.0).alias("density"))
+        return df.sparkSession.createDataFrame([], "point int, x double, density double")
     h = sd * n ** (-0.2)
-    step = (hi - lo) / (points - 1)
-    x = F.col(column)
-    sums = df.agg(*[
-        F.sum(F.exp(F.pow((x - F.lit(lo + i * step)) / h, 2) * -0.5)).alias(f"s{i}") for i in range(points)
-    ])
+    x = F.lit(lo) + F.col("point") * F.lit((hi - lo) / (points - 1))
     scale = ((hi - lo) / bins) / (h * math.sqrt(2 * math.pi))
-    curve = F.array(*[
-        F.struct(F.lit(i).alias("point"), F.lit(lo + i * step).alias("x"), (F.col(f"s{i}") * scale).alias("density"))
-        for i in range(points)
-    ])
-    return sums.select(F.explode(curve).alias("s")).select("s.*")
-
-
-BOX_FIELDS = ["q1", "median", "q3", "whisker_lo", "whisker_hi", "outliers", "n"]
+    spread = df.where(F.col(column).isNotNull()).select(
+        F.col(column).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    kernel = F.exp(F.pow((F.col("v") - x) / h, 2) * -0.5)
+    sums = spread.groupBy("point").agg(F.sum(kernel).alias("s"))
+    return sums.select("point", x.alias("x"), (F.col("s") * scale).alias("density"))
 
 
 def box_table(df: DataFrame, columns: dict[str, Column], label: str = "column", **options) -> DataFrame:

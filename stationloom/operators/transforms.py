@@ -91,34 +91,45 @@ def yeo_johnson_lambdas(
 ) -> dict[str, float]:
     """Maximum-likelihood lambda per column.
 
-    Each round scores a whole grid of lambdas for all columns in one aggregate, then the
-    grid closes in around the best one, or moves outward when the best lies on its edge.
+    Each round scores a whole grid of lambdas for all columns in one pass: a row is spread over
+    the grid inside the map task and summed up there, so only one row per column and grid
+    point is shuffled. Then the grid closes in around the best lambda, or moves outward
+    when the best lies on its edge.
     """
-    spans = {c: (lo, hi) for c in columns}
+    if not columns:
+        return {}
+    x = lambda c: F.col(c).cast("double")
+    sums = df.agg(
+        *[F.count(x(c)).alias(f"n{j}") for j, c in enumerate(columns)],
+        *[F.sum(F.signum(x(c)) * F.log1p(F.abs(x(c)))).alias(f"l{j}") for j, c in enumerate(columns)],
+    ).first()
+    spans = dict.fromkeys(range(len(columns)), (lo, hi))
     best = dict.fromkeys(columns, 1.0)
-    for _ in range(rounds if columns else 0):
-        grids = {c: [a + (b - a) * i / (points - 1) for i in range(points)] for c, (a, b) in spans.items()}
-        aggs = []
-        for j, c in enumerate(columns):
-            x = F.col(c).cast("double")
-            aggs.append(F.count(x).alias(f"n{j}"))
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l{j}"))
-            aggs += [F.var_pop(N.yeo_johnson(x, lam)).alias(f"v{j}_{i}") for i, lam in enumerate(grids[c])]
-        row = df.agg(*aggs).first()
+    values = F.array(*[F.struct(F.lit(j).alias("j"), x(c).alias("x")) for j, c in enumerate(columns)])
+    long = df.select(F.inline(values)).where(F.col("x").isNotNull())
+    spread = long.select("j", "x", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    for _ in range(rounds):
+        steps = {j: (b - a) / (points - 1) for j, (a, b) in spans.items()}
+        start = F.element_at(F.array(*[F.lit(spans[j][0]) for j in spans]), F.col("j") + 1)
+        step = F.element_at(F.array(*[F.lit(steps[j]) for j in spans]), F.col("j") + 1)
+        at_lambda = spread.select("j", "i", "x", (start + F.col("i") * step).alias("lam"))
+        shaped = at_lambda.select("j", "i", N.yeo_johnson(F.col("x"), F.col("lam")).alias("y"))
+        rows = shaped.groupBy("j", "i").agg(F.var_pop("y").alias("v")).collect()
+        variance = {(r["j"], r["i"]): r["v"] for r in rows}
         for j, c in enumerate(columns):
-            n, logs = row[f"n{j}"], row[f"l{j}"]
+            n, logs = sums[f"n{j}"], sums[f"l{j}"]
             scores = []
-            for i, lam in enumerate(grids[c]):
-                var = row[f"v{j}_{i}"]
+            for i in range(points):
+                var = variance.get((j, i))
                 usable = var is not None and math.isfinite(var) and var > _TINY
-                scores.append(-n / 2 * math.log(var) + (lam - 1) * logs if usable else -math.inf)
+                at = spans[j][0] + i * steps[j]
+                scores.append(-n / 2 * math.log(var) + (at - 1) * logs if usable else -math.inf)
             i = max(range(points), key=scores.__getitem__)
             if scores[i] == -math.inf:
                 continue
-            best[c] = grids[c][i]
-            step = grids[c][1] - grids[c][0]
-            reach = (spans[c][1] - spans[c][0]) / 2 if i in (0, points - 1) else step
-            spans[c] = (best[c] - reach, best[c] + reach)
+            best[c] = spans[j][0] + i * steps[j]
+            reach = (spans[j][1] - spans[j][0]) / 2 if i in (0, points - 1) else steps[j]
+            spans[j] = (best[c] - reach, best[c] + reach)
     return best
 
 

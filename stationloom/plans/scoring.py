@@ -1,6 +1,99 @@
-"""placeholder"""
+"""End-to-end scoring with stored artefacts."""
 
+from __future__ import annotations
 
-def output_columns(members, best=None):
-    names = [*members, "voting"]
-    return [f"pred_{m}" for m in (names if best is None else [best])]
+import logging
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stationloom import schema as S
+from stationloom.functions import voting as V
+from stationloom.operators import rows as R
+from stationloom.plans.classification import StationClassifier
+from stationloom.plans.cleaning import StationCleanerModel
+from stationloom.plans.features import FeatureEngineerModel
+from stationloom.session import path_exists
+from stationloom.sources import inputs, sinks
+
+log = logging.getLogger(__name__)
+
+CLEANER, FEATURES, CLASSIFIERS = "processor", "feature_engineer", "classifiers"
+FORMATS = ("dataframe", "dicts")
+
+
+def output_columns(members: list[str], best: str | None = None) -> list[str]:
+    """Prediction columns to return: one model's, or all members' and the vote."""
+    names = [*members, "voting"] if best is None else [best]
+    return [f"pred_{n}" for n in names]
+
+
+def save_artifacts(
+    folder: str, cleaner: StationCleanerModel, features: FeatureEngineerModel, classifier: StationClassifier
+) -> None:
+    """Store everything scoring needs."""
+    cleaner.store(f"{folder}/{CLEANER}")
+    features.store(f"{folder}/{FEATURES}")
+    classifier.save(f"{folder}/{CLASSIFIERS}")
+
+
+class BatchScorer:
+    """Loads stored artefacts once and scores any number of tables.
+
+    ``fetch`` resolves station codes, see ``sources.inputs.normalise``.
+    """
+
+    def __init__(self, spark: SparkSession, models_dir: str, best_model: str | None = None,
+                 output_format: str = "dataframe", verbose: bool = True,
+                 fetch: Callable[[list[str]], DataFrame] | None = None):
+        if output_format not in FORMATS:
+            raise ValueError("output_format must be 'dataframe' or 'dicts'.")
+        self.spark, self.models_dir, self.best_model = spark, models_dir, best_model
+        self.output_format, self.verbose, self.fetch = output_format, verbose, fetch
+        for part in (CLEANER, FEATURES):
+            if not path_exists(spark, f"{models_dir}/{part}"):
+                raise FileNotFoundError(f"{part} not found in '{models_dir}'. Train and save it first.")
+        self.cleaner = StationCleanerModel.restore(f"{models_dir}/{CLEANER}")
+        self.features = FeatureEngineerModel.restore(f"{models_dir}/{FEATURES}")
+        members = StationClassifier.stored(spark, f"{models_dir}/{CLASSIFIERS}")
+        if not members:
+            raise FileNotFoundError(f"No classifiers found in '{models_dir}'.")
+        if best_model is not None and best_model not in [*members, "voting"]:
+            raise ValueError(f"best_model={best_model!r} is not among loaded models or 'voting': {members}")
+        self.classifier = StationClassifier.load(f"{models_dir}/{CLASSIFIERS}", members)
+
+    def __repr__(self) -> str:
+        return (f"BatchScorer(models_dir={self.models_dir!r}, models={list(self.classifier.members)}, "
+                f"best_model={self.best_model!r})")
+
+    def preprocess(self, raw: DataFrame) -> DataFrame:
+        """Cleaned and prepared features of the rows that survive, with their ``row_id``."""
+        return self.features.transform(self.cleaner.transform(raw))
+
+    def predict(self, data, output_format: str | None = None, ordered: bool = False):
+        """Identifiers, label where known, and predictions for every input row.
+
+        Rows that cleaning drops, later duplicates of a coordinate among them, carry a message
+        instead. ``ordered`` puts them last, each part in input order. The format ``dicts``
+        gives one JSON object per row, still as a DataFrame.
+        """
+        form = output_format or self.output_format
+        if form not in FORMATS:
+            raise ValueError("output_format must be 'dataframe' or 'dicts'.")
+        raw = inputs.normalise(self.spark, data, self.fetch)
+        members = list(self.classifier.members)
+        wanted = output_columns(members, self.best_model)
+        model = self.best_model if self.best_model in members else None
+        scored = self.classifier.predict(self.preprocess(raw), model)
+        joined = R.attach_scores(R.identifiers(raw), scored, wanted)
+        result = R.fill_not_scored(joined, wanted)
+        if ordered:
+            result = result.orderBy(F.desc("survived"), S.ROW_ID)
+        result = result.drop("survived", S.ROW_ID)
+        return sinks.as_dicts(result) if form == "dicts" else result
+
+
+def vote(df: DataFrame, members: list[str]) -> DataFrame:
+    """The frame with the majority of the given members; one member is its own majority."""
+    return df.withColumn("pred_voting", V.majority(F.array(*[f"pred_{m}" for m in members])))

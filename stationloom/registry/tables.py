@@ -558,9 +558,9 @@ FROM api_records WHERE json_extract(body, '$.coordinates') IS NOT NULL AND json_
 _FLAT_COLUMNS = ["lat", "lon", "area_code", "timezone", "type_of_area", "altitude", "climatic_zone_year2016"]
 
 
-@query("s2_paged_source", with_blocks(f"SELECT {', '.join(_FLAT_COLUMNS)} FROM flat", "api_records", flat=_FLAT))
-def s2(spark, d):
-    size, path = 500, scratch_path(spark, "pages").removeprefix("file:")
+def write_pages(spark, d, size=500):
+    """Records as one JSON file per page; gives the URL template, page size and page count."""
+    path = scratch_path(spark, "pages").removeprefix("file:")
     docs = X.api_records(spark, d).withColumn("page", F.floor(F.col(S.ROW_ID) / size))
     in_order = F.array_sort(F.collect_list(F.struct(S.ROW_ID, "body")))
     body = F.concat(F.lit("["), F.concat_ws(",", F.transform(in_order, lambda r: r["body"])), F.lit("]"))
@@ -570,10 +570,13 @@ def s2(spark, d):
         for r in rows:
             Path(f"{path}/page_{r['page'] * size}.json").write_text(r["body"])
 
-    pages = docs.groupBy("page").agg(body.alias("body"))
-    pages.foreachPartition(write_page)
-    n_pages = docs.agg(F.max("page")).first()[0] + 1
-    return paged.first_stations(spark, f"file:{path}/page_{{offset}}.json", size, n_pages).select(*_FLAT_COLUMNS)
+    docs.groupBy("page").agg(body.alias("body")).foreachPartition(write_page)
+    return f"file:{path}/page_{{offset}}.json", size, docs.agg(F.max("page")).first()[0] + 1
+
+
+@query("s2_paged_source", with_blocks(f"SELECT {', '.join(_FLAT_COLUMNS)} FROM flat", "api_records", flat=_FLAT))
+def s2(spark, d):
+    return paged.first_stations(spark, *write_pages(spark, d)).select(*_FLAT_COLUMNS)
 
 
 @query("s3_flatten_records", with_blocks(f"SELECT row_id, {', '.join(_FLAT_COLUMNS)} FROM flat", "api_records", flat=_FLAT))
@@ -631,8 +634,10 @@ def s7(spark, d):
 @query("s8_json_file", with_blocks("SELECT lat, lon, area_code, altitude FROM stations_raw"))
 def s8(spark, d):
     path = scratch_path(spark, "json")
-    X.stations_raw(spark, d).drop(S.ROW_ID).write.option("ignoreNullFields", False).json(path)
-    return inputs.json_rows(spark, path).select("lat", "lon", "area_code", "altitude")
+    docs = X.stations_raw(spark, d).withColumn("file", F.floor(F.col(S.ROW_ID) / 500)).groupBy("file").agg(
+        F.to_json(F.collect_list(F.struct("lat", "lon", "area_code", "altitude"))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return inputs.json_rows(spark, path).drop(S.ROW_ID)
 
 
 @query("s9_dataframe_input", with_blocks("SELECT row_id, area_code, altitude FROM stations_raw"))
