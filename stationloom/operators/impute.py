@@ -28,17 +28,19 @@ def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, float | str]:
     """Most frequent value per column; the smallest wins a tie.
 
-    Values are counted by a grouped aggregate, and only one winner per column comes back.
+    All columns of a type are counted in one pass; one winner per column comes back.
     """
+    kinds: dict[str, list[str]] = {}
+    for name, kind in df.select(*columns).dtypes if columns else []:
+        kinds.setdefault(kind, []).append(name)
     modes = {}
-    for c in columns:
-        top = (
-            df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).count()
-            .orderBy(F.desc("count"), "value").first()
-        )
-        if top is not None:
-            modes[c] = top["value"]
-    return modes
+    for names in kinds.values():
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])
+        counts = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column", "value").count()
+        winner = F.min(F.struct(-F.col("count"), F.col("value").alias("value")))
+        for r in counts.groupBy("column").agg(winner.alias("w")).collect():
+            modes[r["column"]] = r["w"]["value"]
+    return {c: modes[c] for c in columns if c in modes}
 
 
 def fill(df: DataFrame, values: dict[str, float | str]) -> DataFrame:

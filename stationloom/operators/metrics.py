@@ -6,6 +6,8 @@ works on the small result and never looks at rows again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,10 +156,10 @@ def threshold_scores(
     by = by or []
     grid = threshold_grid(n_thresholds)
     steps = F.array(*[F.lit(t) for t in grid])
-    reached = F.size(F.filter(steps, lambda t: t <= F.array_max(probs)))
-    counts = df.groupBy(
-        *by, F.col(y).alias("y"), V.top_class_suburban_first(probs).alias("top"), reached.alias("reached")
-    ).agg(F.count("*").alias("n"))
+    best = df.select(*by, F.col(y).alias("y"), V.top_class_suburban_first(probs).alias("top"),
+                     F.array_max(probs).alias("best"))
+    reached = reduce(lambda a, b: a + b, [(F.col("best") >= t).cast("int") for t in grid])
+    counts = best.groupBy(*by, "y", "top", reached.alias("reached")).agg(F.count("*").alias("n"))
     spread = counts.select("*", F.posexplode(steps).alias("step", "threshold"))
     pred = F.when(F.col("reached") > F.col("step"), F.col("top")).otherwise(F.lit(V.SUBURBAN))
     keys = [*by, "threshold"]

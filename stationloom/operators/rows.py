@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 
 from stationloom import schema as S
 from stationloom.functions import cleaning as C
+from stationloom.session import checkpointed
 
 log = logging.getLogger(__name__)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """The frame with a ``row_id`` that follows input order, kept when already there."""
+    """The frame with a ``row_id`` that follows input order, kept when already there.
+
+    A new id depends on how the scan is split, so it only serves within one plan.
+    """
     if S.ROW_ID in df.columns:
         return df
     return df.withColumn(S.ROW_ID, F.monotonically_increasing_id())
 
 
+def with_stable_row_id(df: DataFrame) -> DataFrame:
+    """The frame with a ``row_id`` that several jobs and both sides of a join agree on.
+
+    New ids are written to the shared folder together with the rows. Tables that carry a
+    ``row_id`` from ingest are used as they are.
+    """
+    return df if S.ROW_ID in df.columns else checkpointed(with_row_id(df))
+
+
 # -- projections and filters ----------------------------------------------------------
 
 

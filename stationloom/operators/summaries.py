@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import logging
 import math
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +83,40 @@ def sample_skewness(df: DataFrame, columns: list[str]) -> dict[str, float | None
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair below the diagonal, pairwise complete."""
-    pairs = [(a, b) for b, a in combinations(columns, 2)]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    flat = df.agg(*[
-        F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"r{i}")
-        for i, (a, b) in enumerate(pairs)
-    ])
-    cells = F.array(*[
-        F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ])
-    return flat.select(F.explode(cells).alias("s")).select("s.*")
+    """Pearson correlation of every column pair below the diagonal, pairwise complete.
+
+    Each task multiplies its Arrow batches into one matrix of centred moments, and the
+    matrices are summed cell by cell. That is one pass for any number of pairs, where an
+    aggregate per pair grows with their square.
+    """
+    d = len(columns)
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    centre = np.array([v or 0.0 for v in numbers.agg(*[F.avg(c).alias(c) for c in columns]).first()])
+
+    def moments(batches):
+        total = np.zeros((3 * d, 3 * d))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float, na_value=np.nan) - centre
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            z = np.hstack([x, x * x, there])
+            total += z.T @ z
+        i, j = np.nonzero(np.kron([[1, 0, 1], [0, 0, 1], [0, 0, 1]], np.ones((d, d))))
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    cells = numbers.mapInPandas(moments, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    m = np.zeros((3 * d, 3 * d))
+    for r in cells.collect():
+        m[r["i"], r["j"]] = r["v"]
+    n, sums = m[2 * d:, 2 * d:], m[:d, 2 * d:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = m[:d, :d] - sums * sums.T / n
+        var = m[d:2 * d, 2 * d:] - sums * sums / n
+        r = cov / np.sqrt(var * var.T)
+    rows = [
+        (columns[j], columns[i], float(r[j, i]) if np.isfinite(r[j, i]) else None) for j in range(d) for i in range(j)
+    ]
+    return df.sparkSession.createDataFrame(rows, "row string, column string, r double")
 
 
 def value_range(df: DataFrame, column: str) -> tuple[float, float, int]:

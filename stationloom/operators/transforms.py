@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +71,17 @@ def one_hot(df: DataFrame, levels: dict[str, list[str]], drop_first: bool = True
 
 def label_codes(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     """Alphabetical integer codes; a value not seen when fitting gets the first code."""
-    return replaced(df, {
-        c: F.greatest(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c).cast("string")) - 1, F.lit(0))
-        .cast("int")
-        for c, values in levels.items() if c in df.columns and values
-    })
+    known = {c: values for c, values in levels.items() if c in df.columns and values}
+    if not known:
+        return df
+    outs = [f"__code_{c}" for c in known]
+    indexer = StringIndexerModel.from_arrays_of_labels(
+        list(known.values()), inputCols=list(known), outputCols=outs, handleInvalid="keep")
+    text = replaced(df, {c: F.col(c).cast("string") for c in known})
+    coded = indexer.transform(text)
+    return coded.select(*[
+        F.when(F.col(f"__code_{c}") < len(known[c]), F.col(f"__code_{c}")).otherwise(0).cast("int").alias(c)
+        if c in known else F.col(c) for c in df.columns])
 
 
 # -- skewness -------------------------------------------------------------------------

@@ -51,13 +51,12 @@ class StationClassifier:
         features = features or [c for c in df.columns if c not in NOT_FEATURES and c != target]
         categorical = [c for c in S.string_columns(df) if c in features]
         numeric = [c for c in features if c not in categorical]
-        rows = R.with_row_id(df).where(F.col(target).isNotNull() & (F.col(target) != S.UNLABELLED))
-        rows = rows.select(S.ROW_ID, target, *features)
+        rows = df.where(F.col(target).isNotNull() & (F.col(target) != S.UNLABELLED))
+        rows = rows.select(*S.present(df, [S.ROW_ID]), target, *features)
         if self.use_smote and categorical:
             log.warning("oversampling skipped, categorical columns found: %s", categorical)
         elif self.use_smote:
-            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-            rows = oversample(rows, numeric, target)
+            rows = oversample(R.with_stable_row_id(rows).persist(StorageLevel.MEMORY_AND_DISK), numeric, target)
         work = filled(rows, numeric, categorical).select(target, *features).persist(StorageLevel.MEMORY_AND_DISK)
         classes = sorted(class_sizes(work, target))
         translated = {n: translate(n, self.params[n]) for n in self.names}

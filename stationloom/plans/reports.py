@@ -24,7 +24,7 @@ PRED = "type_of_area_pred"
 def clustering_metrics(df: DataFrame, clusterer: StationClusterer, target: str | None = None,
                        mode: str = "exact") -> DataFrame:
     """Silhouette of the clustering, with agreement scores when a label is given."""
-    grouped = clusterer.transform(R.with_row_id(df)).persist(StorageLevel.MEMORY_AND_DISK)
+    grouped = clusterer.transform(R.with_stable_row_id(df)).persist(StorageLevel.MEMORY_AND_DISK)
     if mode == "exact":
         values = grouped.withColumn("__values", vector_to_array("x"))
         out = exact_silhouette(values, S.ROW_ID, "__values").agg(F.avg("silhouette").alias("silhouette"))
@@ -140,7 +140,7 @@ def cluster_scatter(
     """
     spark = df.sparkSession
     features = features or clusterer.features
-    grouped = clusterer.predict(R.with_row_id(df))
+    grouped = clusterer.predict(R.with_stable_row_id(df))
     vectors = PR.assembler(features, "__raw").transform(grouped)
     plane: PipelineModel = PR.fit_components(vectors, "__raw", 2, "__xy")
     flat = PR.as_columns(PR.project(vectors, plane), "__xy", ["pc1", "pc2"])

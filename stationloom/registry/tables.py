@@ -637,7 +637,7 @@ def s8(spark, d):
     docs = X.stations_raw(spark, d).withColumn("file", F.floor(F.col(S.ROW_ID) / 500)).groupBy("file").agg(
         F.to_json(F.collect_list(F.struct("lat", "lon", "area_code", "altitude"))).alias("value"))
     docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
-    return inputs.json_rows(spark, path).drop(S.ROW_ID)
+    return inputs.json_rows(spark, path)
 
 
 @query("s9_dataframe_input", with_blocks("SELECT row_id, area_code, altitude FROM stations_raw"))

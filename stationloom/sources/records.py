@@ -53,12 +53,12 @@ def flat_columns() -> list[Column]:
 
 def flatten(df: DataFrame, body: str = "body") -> DataFrame:
     """Well-formed records as station rows."""
-    return parsed(df, body).where("whole").select(S.ROW_ID, *flat_columns())
+    return parsed(df, body).where("whole").select(*S.present(df, [S.ROW_ID]), *flat_columns())
 
 
 def rejects(df: DataFrame, body: str = "body") -> DataFrame:
     """Malformed records."""
-    return parsed(df, body).where("NOT whole").select(S.ROW_ID, body)
+    return parsed(df, body).where("NOT whole").select(*S.present(df, [S.ROW_ID]), body)
 
 
 def code_table(spark: SparkSession, codes: str | list[str]) -> DataFrame:
