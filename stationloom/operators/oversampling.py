@@ -1,8 +1,8 @@
 """Minority oversampling between nearest neighbours of the same class.
 
 Neighbours are exact. Equal points are first merged, so a point that makes up a third of a
-class is one row. The rest is grouped around about ``sqrt(n)`` pivots; by the triangle
-inequality a point needs to visit only the groups that can hold one of its nearest
+class is one row. The rest is grouped around pivots, at most about ``sqrt(n)`` of them; by the
+triangle inequality a point needs to visit only the groups that can hold one of its nearest
 neighbours. Groups are cut into blocks of bounded size, and a task returns the k best of a
 block per point, never the pairs it looked at.
 """
@@ -34,20 +34,43 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound on their rounding error."""
+    size = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    return np.maximum(size - 2.0 * (a @ b.T), 0.0), size * 1e-12
+
+
 def _best_of_block(k: int):
     def best(_key, points: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(members):
             return pd.DataFrame({"id": [], "dist": [], "nb": [], "copies": [], "nb_v": []})
         ids, nbs = points["id"].to_numpy(), members["nb"].to_numpy()
-        d = _distances(np.stack(points["v"].to_numpy()), np.stack(members["v"].to_numpy()))
-        d[ids[:, None] == nbs[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, order, axis=1)
+        a, b = np.stack(points["v"].to_numpy()), np.stack(members["v"].to_numpy())
+        centre = b.mean(axis=0)
+        rough, error = _squares(a - centre, b - centre)
+        self_pair = ids[:, None] == nbs[None, :]
+        rough[self_pair] = np.inf
+        width = min(k + 16, len(b))
+        pick = np.argpartition(rough, width - 1, axis=1)[:, :width]
+        near = np.sqrt(((a[:, None, :] - b[pick]) ** 2).sum(axis=2))
+        near[np.take_along_axis(self_pair, pick, axis=1)] = np.inf
+        order = np.argsort(near, axis=1, kind="stable")[:, :k]
+        pick, near = np.take_along_axis(pick, order, axis=1), np.take_along_axis(near, order, axis=1)
+        if width < len(b):
+            # What was left out is no closer than the last one kept, up to rounding. Where that does
+            # not settle it, the exact distances decide.
+            kept_to = np.partition(rough, width - 1, axis=1)[:, width - 1] - 2 * error.max(axis=1)
+            unsure = np.flatnonzero(near[:, -1] ** 2 >= kept_to)
+            if len(unsure):
+                d = _distances(a[unsure], b)
+                d[self_pair[unsure]] = np.inf
+                pick[unsure] = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near[unsure] = np.take_along_axis(d, pick[unsure], axis=1)
         row, col = np.nonzero(np.isfinite(near))
-        pick = order[row, col]
+        chosen = pick[row, col]
         return pd.DataFrame({
-            "id": ids[row], "dist": near[row, col], "nb": nbs[pick],
-            "copies": members["copies"].to_numpy()[pick], "nb_v": members["v"].to_numpy()[pick],
+            "id": ids[row], "dist": near[row, col], "nb": nbs[chosen],
+            "copies": members["copies"].to_numpy()[chosen], "nb_v": members["v"].to_numpy()[chosen],
         })
     return best
 
@@ -56,9 +79,10 @@ def _assign(pivots: np.ndarray):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), dist=d[np.arange(len(d)), cell])
+                v = np.stack(pdf["v"].to_numpy())
+                cell = _squares(v, pivots)[0].argmin(axis=1)
+                dist = np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))
+                yield pdf.assign(cell=cell.astype("int32"), dist=dist)
     return run
 
 
@@ -67,9 +91,10 @@ def _candidates(pivots: np.ndarray, radius: np.ndarray, reach: np.ndarray):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-                bound = (d + reach).min(axis=1, keepdims=True)
-                visit = d - radius <= bound * (1 + 1e-9) + 1e-12
+                square, error = _squares(np.stack(pdf["v"].to_numpy()), pivots)
+                at_least, at_most = np.sqrt(np.maximum(square - error, 0.0)), np.sqrt(square + error)
+                bound = (at_most + reach).min(axis=1, keepdims=True)
+                visit = at_least - radius <= bound * (1 + 1e-9)
                 yield pdf.assign(cells=[np.flatnonzero(v).astype("int32") for v in visit])
     return run
 
@@ -83,9 +108,9 @@ def nearest_neighbours(points: DataFrame, k: int = NEIGHBOURS, block_rows: int =
     distinct = points.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
     m = distinct.count()
-    wanted = min(1.0, 4.0 * math.ceil(math.sqrt(m)) / max(m, 1)) if m > block_rows else 1.0 / max(m, 1)
+    share = min(math.sqrt(m), 2 * m / block_rows) / max(m, 1)
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    pivots = [r["v"] for r in distinct.where(draw < wanted).select("v").collect()] if m > block_rows else []
+    pivots = [r["v"] for r in distinct.where(draw < share).select("v").collect()] if m > block_rows else []
     pivots = np.array(pivots or [distinct.first()["v"]])
     p = len(pivots)
 
@@ -116,8 +141,10 @@ def nearest_neighbours(points: DataFrame, k: int = NEIGHBOURS, block_rows: int =
         "cell", spread("q").alias("qi"), part("id", 2, "b").alias("bi"), F.col("id").alias("nb"), "v", "copies")
     found = asking.groupBy("cell", "qi", "bi").cogroup(asked.groupBy("cell", "qi", "bi")).applyInPandas(
         _best_of_block(k), "id bigint, dist double, nb bigint, copies bigint, nb_v array<double>")
-    best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct("dist", "nb", F.least("copies", F.lit(k)).cast("int").alias("copies"), "nb_v"))), 1, k).alias("best"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "nb"))
+    kept = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    best = kept.groupBy("id").agg(F.sort_array(F.collect_list(
+        F.struct("rank", F.least("copies", F.lit(k)).cast("int").alias("copies"), "nb_v"))).alias("best"))
     own = F.array_repeat(F.col("v"), F.least(F.col("copies") - 1, F.lit(k)).cast("int"))
     others = F.flatten(F.transform(F.coalesce("best", F.array()), lambda e: F.array_repeat(e["nb_v"], e["copies"])))
     return distinct.join(best, "id", "left").select("v", F.slice(F.concat(own, others), 1, k).alias("near"))

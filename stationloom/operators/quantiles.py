@@ -83,24 +83,31 @@ def exact_ranks(
         return [s for s in searches if not s.found and s.inside > gather_limit]
 
     while active := wide():
+        # Ranks that share an interval share a sketch, and equal edges are counted once.
+        spans: dict[tuple, list[_Search]] = {}
+        for s in active:
+            spans.setdefault((s.key, s.lo, s.hi), []).append(s)
         reach = 2.0 / accuracy
         sketches = []
-        for i, s in enumerate(active):
-            col = F.col(alias[s.key])
-            at = (s.rank - s.below) / max(s.inside - 1, 1)
-            probs = F.array(F.lit(max(0.0, at - reach)), F.lit(min(1.0, at + reach)))
-            sketches.append(F.percentile_approx(F.when(s.within(col), col), probs, accuracy).alias(f"s{i}"))
+        for i, group in enumerate(spans.values()):
+            col = F.col(alias[group[0].key])
+            places = [(s.rank - s.below) / max(s.inside - 1, 1) for s in group]
+            probs = [F.lit(p) for at in places for p in (max(0.0, at - reach), min(1.0, at + reach))]
+            sketches.append(
+                F.percentile_approx(F.when(group[0].within(col), col), F.array(*probs), accuracy).alias(f"s{i}"))
         guess = frame.agg(*sketches).first()
-        counts = []
-        for i, s in enumerate(active):
-            s.bracket = list(guess[f"s{i}"])
-            col = F.col(alias[s.key])
-            for j, edge in enumerate(s.bracket):
-                counts.append(F.count_if(col < edge).alias(f"c{i}_{j}_lt"))
-                counts.append(F.count_if(col <= edge).alias(f"c{i}_{j}_le"))
-        exact = frame.agg(*counts).first()
-        for i, s in enumerate(active):
-            s.narrow(*[exact[f"c{i}_{j}_{op}"] for j in (0, 1) for op in ("lt", "le")])
+        for i, group in enumerate(spans.values()):
+            for j, s in enumerate(group):
+                s.bracket = list(guess[f"s{i}"][2 * j:2 * j + 2])
+        edges = list(dict.fromkeys((s.key, edge) for s in active for edge in s.bracket))
+        exact = frame.agg(*[
+            F.count_if(compare(F.col(alias[key]), edge)).alias(f"c{i}_{name}")
+            for i, (key, edge) in enumerate(edges)
+            for name, compare in (("lt", lambda c, e: c < e), ("le", lambda c, e: c <= e))
+        ]).first()
+        slot = {e: i for i, e in enumerate(edges)}
+        for s in active:
+            s.narrow(*[exact[f"c{slot[(s.key, edge)]}_{name}"] for edge in s.bracket for name in ("lt", "le")])
 
     pending = [s for s in searches if not s.found]
     if pending:

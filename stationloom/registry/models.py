@@ -90,8 +90,31 @@ def c6(spark, d):
     return rounded(model.transform(base), 5)
 
 
-@query("c7_feature_transform")
+def _capped_sql(c):
+    q1, q3 = f"quantile_cont({c}, 0.25)", f"quantile_cont({c}, 0.75)"
+    lo = f"(SELECT {q1} - 1.5 * ({q3} - {q1}) FROM cleaned)"
+    hi = f"(SELECT {q3} + 1.5 * ({q3} - {q1}) FROM cleaned)"
+    return f"CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END AS {c}"
+
+
+_REGIONS_HERE = ["Africa", "America", "Asia", "Europe", "nan"]
+
+
+@query("c7_feature_transform", over_clean(
+    "SELECT row_id, " + ", ".join(
+        f"round(({c} - (SELECT min({c}) FROM capped)) / (SELECT max({c}) - min({c}) FROM capped), 6) AS {c}"
+        for c in ("altitude", S.ROAD)) + ", "
+    + ", ".join(f"CASE WHEN timezone = '{r}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS timezone_{r}" for r in _REGIONS_HERE[1:])
+    + " FROM capped", capped=f"SELECT row_id, timezone, {_capped_sql('altitude')}, {_capped_sql(S.ROAD)} FROM cleaned"))
 def c7(spark, d):
+    base = clean(spark, d).select(S.ROW_ID, "altitude", S.ROAD, "timezone")
+    model = FeatureEngineer(
+        cap_outliers=True, handle_skewness=False, scaling="minmax", encoder="ohe", encode=["timezone"]).fit(base)
+    return rounded(model.transform(base))
+
+
+@query("c7_feature_transform_full")
+def c7_full(spark, d):
     base = imputed(spark, d)
     model = FeatureEngineer(cap_outliers=True, scaling="robust", encoder="ohe", encode=CATS).fit(base)
     return model.transform(base)
@@ -138,11 +161,13 @@ def s14(spark, d):
     return StationCleanerModel.restore(path).transform(raw).select(S.ROW_ID, "area_code")
 
 
-@query("s15_features_round_trip")
+@query("s15_features_round_trip", over_clean("SELECT row_id, " + ", ".join(
+    f"round(({c} - (SELECT median({c}) FROM cleaned)) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM cleaned), 6) AS {c}"
+    for c in NUMERIC_HERE) + " FROM cleaned"))
 def s15(spark, d):
-    base, path = imputed(spark, d), scratch_path(spark, "features")
-    FeatureEngineer(scaling="robust", cap_outliers=True).fit(base).store(path)
-    return FeatureEngineerModel.restore(path).transform(base).select(S.ROW_ID, *NUMERIC_HERE)
+    base, path = clean(spark, d), scratch_path(spark, "features")
+    FeatureEngineer(scaling="robust", handle_skewness=False).fit(base).store(path)
+    return rounded(FeatureEngineerModel.restore(path).transform(base).select(S.ROW_ID, *NUMERIC_HERE))
 
 
 # -- L, M, E5: projection and clustering ---------------------------------------------------
@@ -197,10 +222,16 @@ def e5(spark, d):
     return rounded(exact_silhouette(X.table(spark, d, "embeddings"), "vec_id", "embedding", "label"))
 
 
-@query("e5_silhouette_squared")
+@query("e5_silhouette_squared", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(pow(list_distance(a.v, b.v), 2)) AS s FROM e a, e b GROUP BY 1, 2, 3),
+n AS (SELECT label, count(*) AS m FROM e GROUP BY 1),
+v AS (SELECT vec_id, own, max(s) FILTER (WHERE own = c) / (any_value(o.m) - 1) AS a, min(s / n.m) FILTER (WHERE own <> c) AS b
+  FROM s JOIN n ON n.label = c JOIN n o ON o.label = own GROUP BY 1, 2)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM v""")
 def e5b(spark, d):
     value = squared_silhouette(vectors(spark, d), "x", "label")
-    return spark.createDataFrame([(value,)], "silhouette double")
+    return spark.createDataFrame([(round(value, 6),)], "silhouette double")
 
 
 @query("e5_clustering_metrics")
@@ -382,10 +413,11 @@ def c12(spark, d):
     return scorer.predict(X.stations_raw(spark, d))
 
 
-@query("c2_cleaner_state")
+@query("c2_cleaner_state", over_clean(" UNION ALL ".join(
+    f"SELECT '{c}' AS name, round(avg({c}), 4) AS mean FROM structural" for c in NUMERIC_HERE), upto="structural"))
 def c2(spark, d):
     model = StationCleaner(imputer="mean").fit(X.stations_raw(spark, d))
-    return spark.createDataFrame(sorted(model.learned["means"].items()), "name string, mean double")
+    return rounded(spark.createDataFrame(sorted(model.learned["means"].items()), "name string, mean double"), 4)
 
 
 @query("c13_refresh", with_blocks(
@@ -421,9 +453,18 @@ def g3(spark, d):
     return rounded(G.confusion(X.model_votes(spark, d), S.TARGET, "pred_xgb"))
 
 
-@query("g4_histograms")
+def _bins_sql(c):
+    return f"""
+SELECT '{c}' AS "column", CAST(b.range AS INT) AS bin, round(lo + b.range * ((hi - lo) / 10), 6) AS "left",
+  round(lo + (b.range + 1) * ((hi - lo) / 10), 6) AS "right", coalesce(n, 0) AS n
+FROM range(10) b CROSS JOIN (SELECT min({c}) AS lo, max({c}) AS hi FROM cleaned) r LEFT JOIN (
+  SELECT CAST(least(floor(({c} - lo) * 10.0 / (hi - lo)), 9) AS INT) AS bin, count(*) AS n
+  FROM cleaned, (SELECT min({c}) AS lo, max({c}) AS hi FROM cleaned) q WHERE {c} IS NOT NULL GROUP BY 1) h ON h.bin = b.range"""
+
+
+@query("g4_histograms", over_clean(" UNION ALL ".join(_bins_sql(c) for c in NUMERIC_HERE)))
 def g4(spark, d):
-    return G.distributions(clean(spark, d), plot_categorical=False, plot_target=False)["histogram"]
+    return rounded(G.distributions(clean(spark, d), plot_categorical=False, plot_target=False)["histogram"])
 
 
 @query("g4_categories", over_clean(" UNION ALL ".join(
