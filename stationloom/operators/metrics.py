@@ -73,23 +73,31 @@ def overall(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def classification_report(df: DataFrame, y: str, p: str, digits: int = 4, by: list[str] | None = None) -> DataFrame:
-    """The usual report as rows: one per label, then accuracy, macro and weighted average."""
+    """The usual report as rows: one per label, then accuracy, macro and weighted average.
+
+    Label rows and totals are two grouping sets of one small aggregate.
+    """
     by = by or []
     labels = per_label(contingency(df, y, p, by), by)
-    total = overall(labels, by)
-    names = ["label", "precision", "recall", "f1", "support"]
+    keys = [F.col(c) for c in by]
+    scores = ["precision", "recall", "f1"]
+    n = F.sum("support")
+    both = labels.groupingSets([[*keys, F.col("label")], keys], *keys, F.col("label")).agg(
+        n.alias("support"), (F.sum("hits") / F.when(n > 0, n)).alias("accuracy"), F.grouping("label").alias("total"),
+        *[F.avg(m).alias(m) for m in scores],
+        *[(F.sum(F.col(m) * F.col("support")) / F.when(n > 0, n)).alias(f"weighted_{m}") for m in scores],
+    )
     null = F.lit(None).cast("double")
 
-    def line(label: str, *values: Column) -> Column:
-        return F.struct(*[v.alias(c) for v, c in zip((F.lit(label), *values, F.col("support")), names, strict=True)])
+    def line(label: Column, *values: Column) -> Column:
+        cells = [F.round(v, digits).alias(m) for m, v in zip(scores, values, strict=True)]
+        return F.struct(label.alias("label"), *cells, F.col("support"))
 
-    tail = total.select(*by, F.explode(F.array(
-        line("accuracy", null, null, F.col("accuracy")),
-        line("macro avg", *[F.col(f"macro_{m}") for m in names[1:4]]),
-        line("weighted avg", *[F.col(f"weighted_{m}") for m in names[1:4]]),
-    )).alias("s")).select(*by, "s.*")
-    rows = labels.select(*by, *names).unionByName(tail)
-    return rows.select(*by, "label", *[F.round(m, digits).alias(m) for m in names[1:4]], "support")
+    plain = [F.col(m) for m in scores]
+    lines = F.when(F.col("total") == 0, F.array(line(F.col("label"), *plain))).otherwise(F.array(
+        line(F.lit("accuracy"), null, null, F.col("accuracy")), line(F.lit("macro avg"), *plain),
+        line(F.lit("weighted avg"), *[F.col(f"weighted_{m}") for m in scores])))
+    return both.select(*by, F.inline(lines))
 
 
 def class_accuracy(df: DataFrame, y: str, p: str) -> DataFrame:

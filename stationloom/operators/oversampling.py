@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stationloom import schema as S
 from stationloom.operators.sampling import SEED, class_sizes, first_of_each
+from stationloom.session import checkpointed
 
 NEIGHBOURS = 5
 BLOCK_ROWS = 4_000
@@ -147,7 +148,11 @@ def nearest_neighbours(points: DataFrame, k: int = NEIGHBOURS, block_rows: int =
         F.struct("rank", F.least("copies", F.lit(k)).cast("int").alias("copies"), "nb_v"))).alias("best"))
     own = F.array_repeat(F.col("v"), F.least(F.col("copies") - 1, F.lit(k)).cast("int"))
     others = F.flatten(F.transform(F.coalesce("best", F.array()), lambda e: F.array_repeat(e["nb_v"], e["copies"])))
-    return distinct.join(best, "id", "left").select("v", F.slice(F.concat(own, others), 1, k).alias("near"))
+    near = distinct.join(best, "id", "left").select("v", F.slice(F.concat(own, others), 1, k).alias("near"))
+    near = checkpointed(near)
+    for used in (distinct, cells, visits):
+        used.unpersist()
+    return near
 
 
 def _uniform(*parts) -> Column:

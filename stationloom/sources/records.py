@@ -32,17 +32,31 @@ def _kind(name: str) -> str:
     return "string" if name in S.CATEGORICAL else "double"
 
 
-def parsed(df: DataFrame, body: str = "body") -> DataFrame:
-    """Records as variants with a flag for those that have every required key.
+def _documents(df: DataFrame, body: str) -> DataFrame:
+    return R.with_row_id(df).withColumn("v", F.try_parse_json(F.col(body)))
+
+
+def _emit(df: DataFrame, when: Column, columns: list[Column]) -> DataFrame:
+    """The columns for rows that meet a condition.
+
+    A filter on parsed fields would be pushed below the parsing and repeat it for every field
+    it looks at. A generator keeps each document parsed once.
+    """
+    return df.select(F.inline(F.when(when, F.array(F.struct(*columns)))))
+
+
+def _has(names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [_get(REQUIRED_PATHS[c], "variant").isNotNull() for c in names])
+
+
+def _whole() -> Column:
+    """Whether a record has every required key.
 
     A key that is absent makes a record malformed, and so does missing or null metadata; a
     JSON null in a required field does not.
     """
-    doc = R.with_row_id(df).withColumn("v", F.try_parse_json(F.col(body)))
-    keys = [_get(p, "variant").isNotNull() for p in REQUIRED_PATHS.values()]
     meta = _get(METADATA_PATH, "variant")
-    whole = reduce(lambda a, b: a & b, keys) & meta.isNotNull() & ~F.is_variant_null(meta)
-    return doc.withColumn("whole", F.coalesce(whole, F.lit(False)))
+    return F.coalesce(_has(list(REQUIRED_PATHS)) & meta.isNotNull() & ~F.is_variant_null(meta), F.lit(False))
 
 
 def flat_columns() -> list[Column]:
@@ -51,14 +65,19 @@ def flat_columns() -> list[Column]:
     return base + [_get(f"{METADATA_PATH}.{c}", _kind(c)).alias(c) for c in S.METADATA_FIELDS]
 
 
+def _codes() -> Column:
+    return F.array_distinct(_get("$.codes", "array<string>"))
+
+
 def flatten(df: DataFrame, body: str = "body") -> DataFrame:
     """Well-formed records as station rows."""
-    return parsed(df, body).where("whole").select(*S.present(df, [S.ROW_ID]), *flat_columns())
+    carried = [F.col(c) for c in S.present(df, [S.ROW_ID])]
+    return _emit(_documents(df, body), _whole(), [*carried, *flat_columns()])
 
 
 def rejects(df: DataFrame, body: str = "body") -> DataFrame:
     """Malformed records."""
-    return parsed(df, body).where("NOT whole").select(*S.present(df, [S.ROW_ID]), body)
+    return _emit(_documents(df, body), ~_whole(), [F.col(c) for c in [*S.present(df, [S.ROW_ID]), body]])
 
 
 def code_table(spark: SparkSession, codes: str | list[str]) -> DataFrame:
@@ -72,8 +91,7 @@ def lookup_codes(df: DataFrame, codes: DataFrame, body: str = "body") -> DataFra
 
     A record answers to each of its codes; its first one is reported as ``area_code``.
     """
-    found = parsed(df, body).where("whole").select(
-        S.ROW_ID, *flat_columns(), F.array_distinct(_get("$.codes", "array<string>")).alias("codes"))
+    found = _emit(_documents(df, body), _whole(), [F.col(S.ROW_ID), *flat_columns(), _codes().alias("codes")])
     wanted = codes.select("pos", F.col("area_code").alias("requested_code"))
     hits = found.withColumn("requested_code", F.explode("codes")).drop("codes").join(wanted, "requested_code")
     return R.keep_first(hits, keys=["pos"]).orderBy("pos")
@@ -86,8 +104,7 @@ def missing_codes(codes: DataFrame, found: DataFrame) -> DataFrame:
 
 def station_coord(df: DataFrame, code: str, body: str = "body") -> DataFrame:
     """Coordinates, altitude and label of one station; a required field that is absent raises."""
-    own = R.with_row_id(df).withColumn("v", F.try_parse_json(F.col(body))).where(
-        F.array_contains(_get("$.codes", "array<string>"), code))
+    own = _emit(_documents(df, body), F.array_contains(_get("$.codes", "array<string>"), code), [F.col("v")])
 
     def need(name: str) -> Column:
         path = REQUIRED_PATHS[name]
@@ -108,12 +125,10 @@ def label_pairs(spark: SparkSession, station_codes: dict[str, list[str]]) -> Dat
 
 def hand_label_set(df: DataFrame, pairs: DataFrame, body: str = "body") -> DataFrame:
     """One row per (area type, code) whose station exists and is labelled by the source."""
-    doc = R.with_row_id(df).withColumn("v", F.try_parse_json(F.col(body)))
     needed = ["lat", "lon", "altitude", S.TARGET]
-    whole = reduce(lambda a, b: a & b, [_get(REQUIRED_PATHS[c], "variant").isNotNull() for c in needed])
-    found = doc.where(whole).select(
-        S.ROW_ID, *[_get(REQUIRED_PATHS[c], _kind(c)).alias(c) for c in needed],
-        F.explode(F.array_distinct(_get("$.codes", "array<string>"))).alias("requested_code"))
+    fields = [_get(REQUIRED_PATHS[c], _kind(c)).alias(c) for c in needed]
+    found = _emit(_documents(df, body), _has(needed), [F.col(S.ROW_ID), *fields, _codes().alias("codes")])
+    found = found.withColumn("requested_code", F.explode("codes")).drop("codes")
     hits = R.keep_first(found.join(pairs, "requested_code"), keys=["area_type", "requested_code"])
     return hits.where(is_labelled()).select(
         "lat", "lon", F.col("requested_code").alias("area_code"), "altitude",
