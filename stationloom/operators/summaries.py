@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,21 +176,27 @@ def kde_curve(df: DataFrame, column: str, bins: int = 10, points: int = 200) ->
 
 
 def box_table(df: DataFrame, columns: dict[str, Column], label: str = "column", **options) -> DataFrame:
-    """Box statistics per named expression; whiskers are the extreme points inside 1.5 IQR."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], **options)
+    """Box statistics per named expression; whiskers are the extreme points inside 1.5 IQR.
+
+    Only the named values are kept for the passes over them.
+    """
+    names = {name: f"c{i}" for i, name in enumerate(columns)}
+    kept = df.select(*[columns[n].cast("double").alias(c) for n, c in names.items()]).persist(StorageLevel.MEMORY_AND_DISK)
+    quartiles = exact_quantiles(kept, {n: F.col(c) for n, c in names.items()}, [0.25, 0.5, 0.75], **options)
     aggs = []
-    for i, (name, col) in enumerate(columns.items()):
-        q1, med, q3 = quartiles[name]
+    for name, c in names.items():
+        q1, _, q3 = quartiles[name]
         lo, hi = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-        inside = (col >= F.lit(lo).cast("double")) & (col <= F.lit(hi).cast("double"))
-        num = lambda v: F.lit(v).cast("double")
-        aggs.append(F.struct(
-            F.lit(name).alias(label), num(q1).alias("q1"), num(med).alias("median"), num(q3).alias("q3"),
-            F.min(F.when(inside, col)).alias("whisker_lo"), F.max(F.when(inside, col)).alias("whisker_hi"),
-            F.count_if(~inside).alias("outliers"), F.count(col).alias("n"),
-        ).alias(f"b{i}"))
-    flat = df.agg(*aggs)
-    return flat.select(F.explode(F.array(*[f"b{i}" for i in range(len(aggs))])).alias("s")).select("s.*")
+        inside = (F.col(c) >= F.lit(lo).cast("double")) & (F.col(c) <= F.lit(hi).cast("double"))
+        aggs += [F.min(F.when(inside, F.col(c))).alias(f"{c}_lo"), F.max(F.when(inside, F.col(c))).alias(f"{c}_hi"),
+                 F.count_if(~inside).alias(f"{c}_out"), F.count(c).alias(f"{c}_n")]
+    found = kept.agg(*aggs).first()
+    kept.unpersist()
+    rows = [(name, *quartiles[name], *[found[f"{c}_{part}"] for part in ("lo", "hi", "out", "n")])
+            for name, c in names.items()]
+    return df.sparkSession.createDataFrame(
+        rows, f"`{label}` string, q1 double, median double, q3 double, whisker_lo double, whisker_hi double, "
+              "outliers bigint, n bigint")
 
 
 def box_by_class(

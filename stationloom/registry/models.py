@@ -30,6 +30,7 @@ from stationloom.registry.tables import (
 )
 from stationloom.session import scratch_path
 from stationloom.sources import csv_files
+from stationloom.sources.parameters import load_parameters
 
 # Ensemble sizes that suit a check; the defaults are the full ones.
 SMALL = {
@@ -39,6 +40,7 @@ SMALL = {
     "xgb_params": {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "gamma": 0.0},
 }
 CATS = ["timezone", "climatic_zone_year2016"]
+_REGIONS_HERE = ["Africa", "America", "Asia", "Europe", "nan"]
 
 
 def imputed(spark, d):
@@ -70,13 +72,20 @@ def clustered(spark, d, kind="kmeans", **options):
     return df, StationClusterer(kind, **options).fit(df, NUMERIC_HERE)
 
 
-# -- C: feature composites ----------------------------------------------------------------
-
-
 def _ref(c):
     return f"(SELECT avg({c}) FROM structural)"
 
 
+def over_kept(body, **extra):
+    """SQL over the rows that cleaning with mean imputation keeps."""
+    return over_clean(body, upto="structural", kept=f"""
+SELECT row_id, area_code, coalesce(timezone, 'nan') AS timezone, type_of_area FROM structural
+WHERE coalesce({S.ROAD}, {_ref(S.ROAD)}) >= 0""", **extra)
+
+
+# -- C: feature composites ----------------------------------------------------------------
+
+
 @query("c6_feature_pipeline", over_clean(f"""
 SELECT row_id, round((altitude - (SELECT avg(altitude) FROM filled)) / (SELECT stddev_pop(altitude) FROM filled), 5) AS altitude,
   CASE WHEN timezone = 'Africa' THEN 0 WHEN timezone = 'America' THEN 1 WHEN timezone = 'Asia' THEN 2
@@ -97,9 +106,6 @@ def _capped_sql(c):
     return f"CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END AS {c}"
 
 
-_REGIONS_HERE = ["Africa", "America", "Asia", "Europe", "nan"]
-
-
 @query("c7_feature_transform", over_clean(
     "SELECT row_id, " + ", ".join(
         f"round(({c} - (SELECT min({c}) FROM capped)) / (SELECT max({c}) - min({c}) FROM capped), 6) AS {c}"
@@ -120,9 +126,12 @@ def c7_full(spark, d):
     return model.transform(base)
 
 
-@query("c8_feature_fit_transform")
+@query("c8_feature_fit_transform", over_kept("SELECT row_id, type_of_area, " + ", ".join(
+    f"CASE WHEN timezone = '{r}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS timezone_{r}" for r in _REGIONS_HERE[1:])
+    + " FROM kept"))
 def c8(spark, d):
-    return features(spark, d, encoder="ohe", encode=["timezone"])[1]
+    df = features(spark, d, encoder="ohe", encode=["timezone"])[1]
+    return df.select(S.ROW_ID, S.TARGET, *[c for c in df.columns if c.startswith("timezone_")])
 
 
 @query("c9_feature_options", over_clean("SELECT row_id, lat, lon, altitude, timezone FROM cleaned"))
@@ -199,16 +208,23 @@ def m2(spark, d):
     return cluster_sizes(model.predict(df))
 
 
-@query("m3_assignment_with_pca")
+@query("m3_assignment_with_pca", over_kept("SELECT row_id, true AS assigned FROM kept"))
 def m3(spark, d):
     df, model = clustered(spark, d, use_pca=True)
-    return model.predict(df).select(S.ROW_ID, "cluster")
+    return model.predict(df).select(S.ROW_ID, F.col("cluster").between(0, 2).alias("assigned"))
+
+
+def _same(a, b, column):
+    """Whether two results agree, row by row."""
+    other = b.select(S.ROW_ID, F.col(column).alias("other"))
+    return a.join(other, S.ROW_ID).select(S.ROW_ID, F.col(column).eqNullSafe(F.col("other")).alias("same"))
 
 
-@query("s16_clusterer_round_trip")
+@query("s16_clusterer_round_trip", over_kept("SELECT row_id, true AS same FROM kept"))
 def s16(spark, d):
     df, model = clustered(spark, d, use_pca=True)
-    return StationClusterer.load(model.save(scratch_path(spark, "clusters"))).predict(df).select(S.ROW_ID, "cluster")
+    stored = StationClusterer.load(model.save(scratch_path(spark, "clusters")))
+    return _same(model.predict(df), stored.predict(df), "cluster")
 
 
 @query("e5_silhouette_exact", """
@@ -250,10 +266,11 @@ def e6(spark, d):
     return RP.clustering_report(df, model, _map(model))["report"]
 
 
-@query("e6_clustering_predictions")
+@query("e6_clustering_predictions", over_kept("SELECT area_code, type_of_area, true AS named FROM kept"))
 def e6b(spark, d):
     df, model = clustered(spark, d)
-    return RP.clustering_report(df, model, _map(model))["predictions"]
+    found = RP.clustering_report(df, model, _map(model))["predictions"]
+    return found.select("area_code", S.TARGET, F.col(RP.PRED).isin(S.CLASSES).alias("named"))
 
 
 @query("e6_hand_label_report", report_sql("type_of_area_toar", "type_of_area_gmap", "hand_labels", "hand_labels"))
@@ -264,12 +281,11 @@ def e6c(spark, d):
 # -- R4, M4-M14: classification -------------------------------------------------------------
 
 _SYNTHETIC = """
-SELECT type_of_area, (SELECT max(n) FROM (SELECT count(*) AS n FROM kept GROUP BY type_of_area) q) AS n
-FROM kept GROUP BY 1"""
+SELECT type_of_area, (SELECT max(n) FROM (SELECT count(*) AS n FROM labelled GROUP BY type_of_area) q) AS n
+FROM labelled GROUP BY 1"""
 
 
-@query("r4_oversampled_counts", over_clean(_SYNTHETIC, upto="structural", kept=f"""
-SELECT type_of_area FROM structural WHERE coalesce({S.ROAD}, {_ref(S.ROAD)}) >= 0 AND type_of_area <> 'unknown'"""))
+@query("r4_oversampled_counts", over_kept(_SYNTHETIC, labelled="SELECT type_of_area FROM kept WHERE type_of_area <> 'unknown'"))
 def r4(spark, d):
     labelled = R.split_labelled(numeric_features(spark, d))[0]
     return O.oversample(labelled, NUMERIC_HERE).groupBy(S.TARGET).agg(F.count("*").alias("n"))
@@ -314,37 +330,51 @@ def m9(spark, d):
     return model.predict(df, "rf").groupBy("pred_rf").agg(F.count("*").alias("n"))
 
 
-@query("m10_predict_and_vote")
+@query("m10_predict_and_vote", over_kept("SELECT row_id, true AS first_wins FROM kept"))
 def m10(spark, d):
     df, model = classifier(spark, d, ["rf", "lgbm"])
-    return model.predict(df).select(S.ROW_ID, "pred_rf", "pred_lgbm", "pred_voting")
+    # Of two voters the first decides, whether they agree or not.
+    return model.predict(df).select(S.ROW_ID, (F.col("pred_voting") == F.col("pred_rf")).alias("first_wins"))
 
 
-@query("m11_probabilities")
+@query("m11_probabilities", over_kept("SELECT row_id, 1.0 AS rf, 1.0 AS xgb FROM kept"))
 def m11(spark, d):
     df, model = classifier(spark, d, ["rf", "xgb"])
-    return model.predict_proba(df).select(S.ROW_ID, "proba_rf", "proba_xgb")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, p: s + p), 9)
+    return model.predict_proba(df).select(S.ROW_ID, total("proba_rf").alias("rf"), total("proba_xgb").alias("xgb"))
 
 
-@query("m12_member_thresholds")
+@query("m12_member_thresholds", over_kept("SELECT row_id, 'suburban' AS pred_rf FROM kept"))
 def m12b(spark, d):
     df, model = classifier(spark, d, ["rf"])
-    return model.threshold_predict(df, 0.5).select(S.ROW_ID, "pred_rf")
+    return model.threshold_predict(df, 1.01).select(S.ROW_ID, "pred_rf")
 
 
-@query("m14_feature_names")
+@query("m14_feature_names", over_kept("SELECT " + ", ".join(
+    f"count(*) AS {c}" for c in [*NUMERIC_HERE, *CATS]) + " FROM kept"))
 def m14(spark, d):
     df, model = classifier(spark, d, ["rf"])
     names = model.feature_names("rf")
     return df.agg(*[F.count(c).alias(c) for c in names])
 
 
-@query("s17_classifier_round_trip")
+@query("s17_classifier_round_trip", over_kept("SELECT row_id, true AS same FROM kept"))
 def s17(spark, d):
     df, model = classifier(spark, d, ["rf", "catboost"])
     path = scratch_path(spark, "members")
     model.save(path)
-    return StationClassifier.load(path, ["catboost"]).predict(df).select(S.ROW_ID, "pred_catboost", "pred_voting")
+    stored = StationClassifier.load(path, ["catboost"])
+    return _same(model.predict(df, "catboost"), stored.predict(df, "catboost"), "pred_catboost")
+
+
+@query("s19_parameter_file", over_kept("SELECT row_id, true AS named FROM kept"))
+def s19(spark, d):
+    path = scratch_path(spark, "parameters")
+    text = "rf_params:\n  n_estimators: 5\n  max_depth: 4\n  class_weight: balanced\n  random_state: 42\n"
+    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
+    df = numeric_features(spark, d)
+    model = StationClassifier(["rf"], use_smote=False, **load_parameters(spark, path)).fit(df)
+    return model.predict(df, "rf").select(S.ROW_ID, F.col("pred_rf").isin(S.CLASSES).alias("named"))
 
 
 @query("e7_feature_importance")
@@ -396,10 +426,10 @@ def s18(spark, d):
     return scorer.predict(X.stations_raw(spark, d)).groupBy("pred_rf").agg(F.count("*").alias("n"))
 
 
-@query("c10_preprocess_for_scoring")
+@query("c10_preprocess_for_scoring", over_kept("SELECT row_id, area_code, type_of_area, timezone FROM kept"))
 def c10(spark, d):
     scorer = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]))
-    return scorer.preprocess(X.stations_raw(spark, d))
+    return scorer.preprocess(X.stations_raw(spark, d)).select(S.ROW_ID, "area_code", S.TARGET, "timezone")
 
 
 @query("c11_score_table")
@@ -407,6 +437,16 @@ def c11(spark, d):
     return SC.BatchScorer(spark, artifacts(spark, d, ["rf", "lgbm"])).predict(X.stations_raw(spark, d))
 
 
+@query("c11_scored_rows", over_kept("""
+SELECT s.lat, s.lon, s.area_code, s.type_of_area, CASE WHEN k.row_id IS NULL THEN 'not enough data for prediction'
+  ELSE 'a class' END AS outcome FROM stations_raw s LEFT JOIN kept k ON s.row_id = k.row_id"""))
+def c11_rows(spark, d):
+    scorer = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]), best_model="voting")
+    pred = F.col("pred_voting")
+    outcome = F.when(pred.isin(S.CLASSES), "a class").otherwise(pred)
+    return scorer.predict(X.stations_raw(spark, d)).select(*S.ID_COLUMNS, S.TARGET, outcome.alias("outcome"))
+
+
 @query("c12_score_as_dicts")
 def c12(spark, d):
     scorer = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]), best_model="voting", output_format="dicts")
@@ -480,6 +520,21 @@ def g5(spark, d):
     return RP.cluster_scatter(df, model, _map(model))["points"]
 
 
+@query("g5_plane_variance", """
+SELECT vec_id, true AS inside FROM embeddings""")
+def g5c(spark, d):
+    df = vectors(spark, d)
+    flat = PR.as_columns(PR.project(df, PR.fit_components(df, "x", 2, "xy")), "xy", ["pc1", "pc2"])
+    centre = X.table(spark, d, "embeddings").select(F.posexplode("embedding").alias("i", "v"))
+    means = [r["m"] for r in centre.groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]
+    spread = F.aggregate(
+        F.zip_with(F.col("embedding").cast("array<double>"), F.array(*[F.lit(m) for m in means]), lambda a, b: (a - b) * (a - b)),
+        F.lit(0.0), lambda s, v: s + v)
+    norms = X.table(spark, d, "embeddings").select("vec_id", spread.alias("norm"))
+    inside = F.col("pc1") * F.col("pc1") + F.col("pc2") * F.col("pc2") <= F.col("norm") + 1e-6
+    return flat.join(norms, "vec_id").select("vec_id", inside.alias("inside"))
+
+
 @query("g5_cluster_centroids")
 def g5b(spark, d):
     df, model = clustered(spark, d)

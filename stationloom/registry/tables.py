@@ -375,6 +375,21 @@ def l11(spark, d):
     return L.apply_power(df, L.power_state(df, ["o_totalprice"]))
 
 
+_LAMBDA_SQL = f"""
+WITH x AS (SELECT o_totalprice / 1000 AS x FROM orders),
+g AS (SELECT (range - 50) / 10.0 AS lam FROM range(101)),
+y AS (SELECT lam, x, CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END
+    ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END AS y FROM x, g)
+SELECT CAST(lam AS DOUBLE) AS lam FROM y GROUP BY lam
+ORDER BY -count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) DESC LIMIT 1"""
+
+
+@query("l11_power_lambda", _LAMBDA_SQL)
+def l11c(spark, d):
+    df = X.table(spark, d, "orders").select((F.col("o_totalprice") / 1000).alias("x"))
+    return constants(spark, ["lam"], [(round(L.yeo_johnson_lambdas(df, ["x"])["x"], 1),)], ["double"])
+
+
 @query("l11_power_constants")
 def l11b(spark, d):
     state = L.power_state(X.table(spark, d, "lineitem"), LINE[:2])
@@ -388,17 +403,35 @@ def l3(spark, d):
     return I.fit_linear_chain(df, NUMERIC_HERE).apply(df).select(S.ROW_ID, *NUMERIC_HERE)
 
 
+# Observed values stay, and no gap is left.
+_KEPT_VALUES = over_clean("SELECT row_id, 0 AS gaps, " + ", ".join(NUMERIC_HERE) + " FROM structural", upto="structural")
+
+
+def _observed(filled, df):
+    """Imputed values where there was one before, and the number of gaps left."""
+    before = df.select(S.ROW_ID, *[F.col(c).isNull().alias(f"gap_{c}") for c in NUMERIC_HERE])
+    gaps = sum((F.col(c).isNull().cast("int") for c in NUMERIC_HERE), F.lit(0))
+    values = [F.when(~F.col(f"gap_{c}"), F.col(c)).alias(c) for c in NUMERIC_HERE]
+    return filled.join(before, S.ROW_ID).select(S.ROW_ID, gaps.alias("gaps"), *values)
+
+
+@query("l3_observed_values_kept", _KEPT_VALUES)
+def l3b(spark, d):
+    df = P.structural(X.stations_raw(spark, d))
+    return _observed(I.fit_linear_chain(df, NUMERIC_HERE).apply(df), df)
+
+
 def _tree_chain(kind, **params):
     def run(spark, d):
         df = P.structural(X.stations_raw(spark, d))
         chain = I.fit_tree_chain(df, NUMERIC_HERE, kind, rounds=1, **params)
-        return chain.apply(df).select(S.ROW_ID, *NUMERIC_HERE)
+        return _observed(chain.apply(df), df)
     return run
 
 
-query("l4_chained_forest")(_tree_chain("rf", numTrees=10, maxDepth=5))
-query("l5_chained_boosting_lgbm")(_tree_chain("lgbm", maxIter=3, maxDepth=3))
-query("l5_chained_boosting_cboost")(_tree_chain("cboost", maxIter=3, maxDepth=3))
+query("l4_chained_forest", _KEPT_VALUES)(_tree_chain("rf", numTrees=10, maxDepth=5))
+query("l5_chained_boosting_lgbm", _KEPT_VALUES)(_tree_chain("lgbm", maxIter=3, maxDepth=3))
+query("l5_chained_boosting_cboost", _KEPT_VALUES)(_tree_chain("cboost", maxIter=3, maxDepth=3))
 
 
 # -- E: metrics ---------------------------------------------------------------------------
