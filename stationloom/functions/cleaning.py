@@ -18,10 +18,16 @@ def lookup(col: Column, pairs: dict) -> Column:
     return F.try_element_at(literal_map(pairs), col)
 
 
+def strict_number(col: Column) -> Column:
+    """The number a text holds; text that holds none raises, whatever the session's cast mode."""
+    bad = F.raise_error(F.concat(F.lit("not a number: "), col)).cast("double")
+    return F.when(col.isNotNull() & col.try_cast("double").isNull(), bad).otherwise(col.try_cast("double"))
+
+
 def code_of(col: Column) -> Column:
     """Leading numeric code of ``"<code> <text>"``; null and ``nan`` give null, other text raises."""
     head = F.substring_index(col, " ", 1)
-    return F.when(F.lower(head) == "nan", F.lit(None).cast("double")).otherwise(head.cast("double"))
+    return F.when(F.lower(head) != "nan", strict_number(head))
 
 
 def timezone_region(col: Column) -> Column:

@@ -594,6 +594,8 @@ _FLAT_COLUMNS = ["lat", "lon", "area_code", "timezone", "type_of_area", "altitud
 def write_pages(spark, d, size=500):
     """Records as one JSON file per page; gives the URL template, page size and page count."""
     path = scratch_path(spark, "pages").removeprefix("file:")
+    if ":" in path:
+        raise ValueError(f"page files need a folder that urllib can open, not {path}")
     docs = X.api_records(spark, d).withColumn("page", F.floor(F.col(S.ROW_ID) / size))
     in_order = F.array_sort(F.collect_list(F.struct(S.ROW_ID, "body")))
     body = F.concat(F.lit("["), F.concat_ws(",", F.transform(in_order, lambda r: r["body"])), F.lit("]"))
