@@ -68,7 +68,7 @@ def hand_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second opinion on the labelled stations of one time zone."""
     st = stations_raw(spark, sf_dir)
     return st.where((F.col("timezone") == "CET") & (F.col(S.TARGET) != S.UNLABELLED)).select(
-        "lat", "lon", "area_code", F.col(S.TARGET).alias("type_of_area_toar"),
+        "lat", "lon", "area_code", F.col(S.TARGET).alias("type_of_area_source"),
         F.when(F.col("altitude") < 0, "suburban").otherwise(F.col(S.TARGET)).alias("type_of_area_gmap"),
     )
 
@@ -169,7 +169,7 @@ SELECT k AS row_id,
     AS climatic_zone_year2016
 FROM b""",
     "hand_labels": """
-SELECT lat, lon, area_code, type_of_area AS type_of_area_toar,
+SELECT lat, lon, area_code, type_of_area AS type_of_area_source,
        CASE WHEN altitude < 0 THEN 'suburban' ELSE type_of_area END AS type_of_area_gmap
 FROM stations_raw WHERE timezone = 'CET' AND type_of_area <> 'unknown'""",
     "species_no2": """

@@ -19,9 +19,6 @@ from stationloom.session import path_exists, shared_dir
 
 log = logging.getLogger(__name__)
 
-NOT_FEATURES = [S.ROW_ID, *S.ID_COLUMNS, S.TARGET, "type_of_area_toar", "type_of_area_gmap"]
-
-
 class StationClassifier:
     """Up to four tree ensembles with majority vote.
 
@@ -48,7 +45,7 @@ class StationClassifier:
             if name not in MEMBERS:
                 raise ValueError(f"Unknown model {name!r}. Choose from {MEMBERS}.")
         shared_dir(df.sparkSession)
-        features = features or [c for c in df.columns if c not in NOT_FEATURES and c != target]
+        features = features or [c for c in S.feature_columns(df) if c != target]
         categorical = [c for c in S.string_columns(df) if c in features]
         numeric = [c for c in features if c not in categorical]
         rows = df.where(F.col(target).isNotNull() & (F.col(target) != S.UNLABELLED))

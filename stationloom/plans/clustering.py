@@ -14,7 +14,6 @@ from stationloom.plans.state import read_json, write_json
 MODELS = ("kmeans", "gmm")
 PCA_VARIANCE = 0.97
 SEED = 42
-NOT_FEATURES = [S.ROW_ID, *S.ID_COLUMNS, S.TARGET, "type_of_area_toar", "type_of_area_gmap"]
 
 
 class StationClusterer:
@@ -54,7 +53,7 @@ class StationClusterer:
 
     def fit(self, df: DataFrame, features: list[str] | None = None) -> StationClusterer:
         """Fit on the given features, by default every column that is no identifier or label."""
-        self.features = features or [c for c in df.columns if c not in NOT_FEATURES]
+        self.features = features or S.feature_columns(df)
         if self.use_pca:
             raw = PR.assembler(self.features, "x_raw").transform(df)
             self.pca = PR.fit_components(raw, "x_raw", len(self.features), "x", PCA_VARIANCE)

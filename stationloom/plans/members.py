@@ -12,7 +12,7 @@ import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
@@ -114,6 +114,11 @@ class Member:
         self.name, self.classes, self.numeric, self.categorical = name, classes, numeric, categorical
         self.preparations, self.models = preparations, models
 
+    @property
+    def shared(self) -> bool:
+        """Whether all models see the same vectors."""
+        return len(self.preparations) == 1
+
     @property
     def features(self) -> list[str]:
         """Input columns of the member."""
@@ -133,13 +138,14 @@ class Member:
             scored = self.models[0].transform(ready).withColumn(f"proba_{self.name}", vector_to_array("probability"))
         else:
             scored, sides = work, []
-            for i, (prep, model) in enumerate(zip(self.preparations, self.models, strict=True)):
-                ready = prep.transform(scored)
-                own = [c for c in ready.columns if c not in scored.columns]
-                own += [model.getRawPredictionCol(), model.getProbabilityCol(), model.getPredictionCol()]
+            if self.shared:
+                scored = self.preparations[0].transform(scored)
+            for i, model in enumerate(self.models):
+                before = scored.columns
+                ready = scored if self.shared else self.preparations[i].transform(scored)
                 sides.append(f"__side_{i}")
-                scored = model.transform(ready).withColumn(
-                    sides[-1], vector_to_array(F.col(model.getProbabilityCol()))[1]).drop(*own)
+                one = model.transform(ready)
+                scored = one.select(*before, vector_to_array(F.col(model.getProbabilityCol()))[1].alias(sides[-1]))
             total = sum((F.col(s) for s in sides), F.lit(0.0))
             scored = scored.withColumn(f"proba_{self.name}", F.array(*[F.col(s) / total for s in sides]))
         names = F.array(*[F.lit(c) for c in self.classes])
@@ -152,7 +158,8 @@ class Member:
     def importances(self) -> list[tuple[str, float]]:
         """Importance per input column of the model, averaged over its binary models."""
         totals: dict[str, float] = {}
-        for prep, model in zip(self.preparations, self.models, strict=True):
+        for i, model in enumerate(self.models):
+            prep = self.preparations[0 if self.shared else i]
             names = vector_names(prep, self.numeric, self.categorical)
             for name, value in zip(names, model.featureImportances.toArray(), strict=True):
                 totals[name] = totals.get(name, 0.0) + float(value) / len(self.models)
@@ -160,19 +167,20 @@ class Member:
 
     def save(self, path: str) -> dict:
         """Store the models; gives back what is needed to read them again."""
-        for i, (prep, model) in enumerate(zip(self.preparations, self.models, strict=True)):
+        for i, prep in enumerate(self.preparations):
             prep.write().overwrite().save(f"{path}/preparation_{i}")
+        for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/model_{i}")
         return {"name": self.name, "classes": self.classes, "numeric": self.numeric,
-                "categorical": self.categorical, "models": len(self.models)}
+                "categorical": self.categorical, "preparations": len(self.preparations), "models": len(self.models)}
 
     @classmethod
     def load(cls, path: str, meta: dict) -> Member:
+        """Read a stored member."""
         reader = RandomForestClassificationModel if meta["name"] == "rf" else GBTClassificationModel
-        n = meta["models"]
         return cls(meta["name"], meta["classes"], meta["numeric"], meta["categorical"],
-                   [PipelineModel.load(f"{path}/preparation_{i}") for i in range(n)],
-                   [reader.load(f"{path}/model_{i}") for i in range(n)])
+                   [PipelineModel.load(f"{path}/preparation_{i}") for i in range(meta["preparations"])],
+                   [reader.load(f"{path}/model_{i}") for i in range(meta["models"])])
 
 
 def filled(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -236,12 +244,26 @@ def fit_member(
         forest = RandomForestClassifier(featuresCol="__v", labelCol="__y", **params, **extra)
         return Member(name, classes, numeric, categorical, [prep], [forest.fit(prep.transform(work))])
 
+    common = vectors = None
+    if name != "catboost":
+        common = _preparation(name, numeric, categorical, "__v", "__y").fit(work)
+        kept = ["__v", "__y", *(["__w"] if extra else [])]
+        vectors = common.transform(work).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
+
     def one_side(i: int):
-        side = work.withColumn("__y", (F.col("__y") == i).cast("double"))
-        prep = _preparation(name, numeric, categorical, f"__v{i}", "__y").fit(side)
-        boosted = GBTClassifier(featuresCol=f"__v{i}", labelCol="__y", **_bins(prep, name, params), **extra)
-        return prep, boosted.fit(prep.transform(side))
+        is_class = (F.col("__y") == i).cast("double")
+        if common is None:
+            side = work.withColumn("__y", is_class)
+            prep = _preparation(name, numeric, categorical, f"__v{i}", "__y").fit(side)
+            ready, column = prep.transform(side), f"__v{i}"
+        else:
+            prep, ready, column = common, vectors.withColumn("__y", is_class), "__v"
+        boosted = GBTClassifier(featuresCol=column, labelCol="__y", **_bins(prep, name, params), **extra)
+        return prep, boosted.fit(ready)
 
     with ThreadPoolExecutor(max_workers=len(classes)) as pool:
         fits = list(pool.map(inheritable_thread_target(df.sparkSession)(one_side), range(len(classes))))
-    return Member(name, classes, numeric, categorical, [p for p, _ in fits], [m for _, m in fits])
+    if vectors is not None:
+        vectors.unpersist()
+    preparations = [common] if common is not None else [p for p, _ in fits]
+    return Member(name, classes, numeric, categorical, preparations, [m for _, m in fits])

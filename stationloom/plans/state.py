@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -15,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from stationloom.session import path_exists
 
-__all__ = ["OptionsEstimator", "StateModel", "keyword_only", "read_json", "write_json", "require_path"]
+__all__ = ["OptionsEstimator", "StateModel", "read_json", "write_json", "require_path"]
 
 
 class _Options(Params):

@@ -24,9 +24,9 @@ from stationloom.plans.clustering import StationClusterer, cluster_sizes
 from stationloom.plans.features import FeatureEngineer, FeatureEngineerModel
 from stationloom.plans.refresh import refresh
 from stationloom.registry.base import NUMERIC_HERE, over_clean, query
-from stationloom.registry.rows import MEMBERS, VOTE_SQL, clean, species
+from stationloom.registry.rows import MEMBERS, clean, species
 from stationloom.registry.tables import (
-    _CM, _DISTRIBUTION, _JOINED, _SPECIES, _SPLIT_CTES, _box_sql, _corr_sql, _parts, report_sql, rounded,
+    _CM, _DISTRIBUTION, _SPLIT_CTES, _box_sql, _corr_sql, _parts, report_sql, rounded,
 )
 from stationloom.session import scratch_path
 from stationloom.sources import csv_files
@@ -86,7 +86,7 @@ WHERE coalesce({S.ROAD}, {_ref(S.ROAD)}) >= 0""", **extra)
 # -- C: feature composites ----------------------------------------------------------------
 
 
-@query("c6_feature_pipeline", over_clean(f"""
+@query("c6_feature_fit", over_clean(f"""
 SELECT row_id, round((altitude - (SELECT avg(altitude) FROM filled)) / (SELECT stddev_pop(altitude) FROM filled), 5) AS altitude,
   CASE WHEN timezone = 'Africa' THEN 0 WHEN timezone = 'America' THEN 1 WHEN timezone = 'Asia' THEN 2
     WHEN timezone = 'Europe' THEN 3 ELSE 4 END AS timezone FROM filled""", upto="structural",
@@ -273,9 +273,9 @@ def e6b(spark, d):
     return found.select("area_code", S.TARGET, F.col(RP.PRED).isin(S.CLASSES).alias("named"))
 
 
-@query("e6_hand_label_report", report_sql("type_of_area_toar", "type_of_area_gmap", "hand_labels", "hand_labels"))
+@query("e6_hand_label_report", report_sql("type_of_area_source", "type_of_area_gmap", "hand_labels", "hand_labels"))
 def e6c(spark, d):
-    return M.classification_report(X.hand_labels(spark, d), "type_of_area_toar", "type_of_area_gmap")
+    return M.classification_report(X.hand_labels(spark, d), "type_of_area_source", "type_of_area_gmap")
 
 
 # -- R4, M4-M14: classification -------------------------------------------------------------

@@ -254,9 +254,9 @@ def d3(spark, d):
 
 @query("d4_union_all", with_blocks("""
 SELECT area_code, type_of_area, row_id FROM stations_raw UNION ALL
-SELECT area_code, type_of_area_toar, NULL FROM hand_labels""", "hand_labels"))
+SELECT area_code, type_of_area_source, NULL FROM hand_labels""", "hand_labels"))
 def d4(spark, d):
-    hand = X.hand_labels(spark, d).select("area_code", F.col("type_of_area_toar").alias(S.TARGET))
+    hand = X.hand_labels(spark, d).select("area_code", F.col("type_of_area_source").alias(S.TARGET))
     return R.union_all(X.stations_raw(spark, d).select("area_code", S.TARGET, S.ROW_ID), hand)
 
 

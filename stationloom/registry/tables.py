@@ -654,7 +654,7 @@ _PAIRS = """SELECT CASE WHEN s_acctbal > 6000 THEN 'urban' WHEN s_acctbal > 3000
 
 
 @query("s7_hand_label_set", with_blocks("""
-SELECT lat, lon, requested_code AS area_code, altitude, type_of_area AS type_of_area_toar, area_type AS type_of_area_gmap
+SELECT lat, lon, requested_code AS area_code, altitude, type_of_area AS type_of_area_source, area_type AS type_of_area_gmap
 FROM pairs JOIN flat ON requested_code = area_code WHERE type_of_area <> 'unknown'""",
        "api_records", "requested_codes", flat=_FLAT, pairs=_PAIRS))
 def s7(spark, d):

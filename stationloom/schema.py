@@ -114,3 +114,8 @@ def string_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
         f.name for f in df.schema.fields
         if isinstance(f.dataType, T.StringType) and f.name not in without
     ]
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Columns that are neither identity nor a label; every ``type_of_area...`` column is a label."""
+    return [c for c in df.columns if c not in (ROW_ID, *ID_COLUMNS) and not c.startswith(TARGET)]

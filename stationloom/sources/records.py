@@ -123,8 +123,13 @@ def label_pairs(spark: SparkSession, station_codes: dict[str, list[str]]) -> Dat
     return by_type.select("area_type", F.explode("codes").alias("requested_code"))
 
 
-def hand_label_set(df: DataFrame, pairs: DataFrame, body: str = "body") -> DataFrame:
-    """One row per (area type, code) whose station exists and is labelled by the source."""
+def hand_label_set(
+    df: DataFrame, pairs: DataFrame, body: str = "body", source_label: str = "type_of_area_source"
+) -> DataFrame:
+    """One row per (area type, code) whose station exists and is labelled by the source.
+
+    ``source_label`` names the column with the source's own label.
+    """
     needed = ["lat", "lon", "altitude", S.TARGET]
     fields = [_get(REQUIRED_PATHS[c], _kind(c)).alias(c) for c in needed]
     found = _emit(_documents(df, body), _has(needed), [F.col(S.ROW_ID), *fields, _codes().alias("codes")])
@@ -132,4 +137,4 @@ def hand_label_set(df: DataFrame, pairs: DataFrame, body: str = "body") -> DataF
     hits = R.keep_first(found.join(pairs, "requested_code"), keys=["area_type", "requested_code"])
     return hits.where(is_labelled()).select(
         "lat", "lon", F.col("requested_code").alias("area_code"), "altitude",
-        F.col(S.TARGET).alias("type_of_area_toar"), F.col("area_type").alias("type_of_area_gmap"))
+        F.col(S.TARGET).alias(source_label), F.col("area_type").alias("type_of_area_gmap"))
