@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationloom import schema as S
-from stationloom.operators.sampling import SEED, class_sizes, first_of_each
+from stationloom.operators.sampling import SEED, class_sizes, first_of_each, ids_and_labels
 from stationloom.session import checkpointed
 
 NEIGHBOURS = 5
@@ -181,7 +181,8 @@ def oversample(
             raise ValueError(f"class {label!r} has a single row, oversampling needs at least two")
         rows = real.where(F.col(target).eqNullSafe(F.lit(label))).withColumn("v", F.array(*features))
         each, extra = divmod(missing, n)
-        chosen = first_of_each(rows, {label: extra}, {label: n}, target, seed)
+        with ids_and_labels(rows, target, seed) as narrow:
+            chosen = first_of_each(narrow, {label: extra}, {label: n}, target, seed)
         near = nearest_neighbours(rows.select(F.col(S.ROW_ID).alias("id"), "v"), k, block_rows)
         uses = rows.withColumn("uses", F.lit(each) + chosen.cast("int")).where(F.col("uses") > 0)
         drawn = uses.join(near, "v").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
