@@ -11,8 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import decontaminate, exact_dedup, quality, simhash
-from stationloom.llm.queries import table
+from stationloom.llm import decontaminate, exact_dedup, packing, quality, simhash
+from stationloom.llm.queries import PIECE_MODEL, table, tokenizer_file
 from stationloom.session import scratch_path
 
 
@@ -36,11 +36,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document's sequences with their places in padded batches."""
+    return packing.pack_documents(docs, tokenizer_file(PIECE_MODEL))
+
+
 STAGES = [
     ("quality", quality_stage),
     ("exact_dedup", exact_stage),
     ("near_dedup", near_stage),
     ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
 #: SQL expresses neither the classifier nor the fingerprints.

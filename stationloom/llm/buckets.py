@@ -51,14 +51,12 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def compare_in_blocks(rows: DataFrame, key: str, node: str, size: int,
-                      compare: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Run ``compare`` on whole groups: a table sorted by group, and where each group begins and ends."""
+def compare_groups(dealt: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run ``compare`` on whole groups of what ``in_blocks`` gave: a table sorted by group, and where groups begin and end."""
     keys = [key, "_i", "_j"]
-    dealt = in_blocks(rows, key, node, size).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, keys):
             yield from compare(table, np.append(group_starts(table, keys), table.num_rows))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +12,12 @@ from stationloom.session import checkpointed
 
 
 class UnionFind:
-    """Sets of whole numbers, each named by its smallest member."""
+    """Sets of numbers or strings, each named by its smallest member."""
 
     def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
+        self.parent: dict = {}
 
-    def find(self, x: int) -> int:
+    def find(self, x):
         parent, root = self.parent, x
         while parent.get(root, root) != root:
             root = parent[root]
@@ -26,7 +25,7 @@ class UnionFind:
             parent[x], x = root, parent[x]
         return root
 
-    def union(self, a: int, b: int) -> bool:
+    def union(self, a, b) -> bool:
         a, b = self.find(a), self.find(b)
         if a == b:
             return False
@@ -41,14 +40,14 @@ _BATCH_EDGES = 500_000
 
 def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the edges in a task, those that connect something, as (member, smallest member)."""
-    sets = UnionFind()
+    sets, kind = UnionFind(), None
 
     def found() -> pa.RecordBatch:
-        nodes = np.fromiter(sets.parent, np.int64, len(sets.parent))
-        roots = np.fromiter((sets.find(x) for x in list(sets.parent)), np.int64, len(sets.parent))
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
+        nodes = list(sets.parent)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([sets.find(x) for x in nodes], kind)], ["a", "b"])
 
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.union(a, b)
         if len(sets.parent) > _BATCH_EDGES:
@@ -61,13 +60,14 @@ def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """The component of every node that has an edge: ``node, component`` (the smallest node reachable).
 
-    ``edges`` has two columns of whole numbers, in any order and any number of times. Large-star and
+    ``edges`` has two columns of long numbers or strings, in any order and any number of times. Large-star and
     small-star rounds alternate until nothing changes; each is a minimum per node (combined before
     the shuffle) and a join, and its result is cut off from its past in the shared folder.
     """
     a, b = edges.columns
-    pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    pairs = checkpointed(pairs.mapInArrow(_thinned, "a long, b long").distinct())
+    kind = edges.schema[a].dataType.simpleString()
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+    pairs = checkpointed(pairs.mapInArrow(_thinned, f"a {kind}, b {kind}").distinct())
     state = None
     while True:
         # large star: every larger neighbour goes to the smallest one

@@ -73,8 +73,9 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     same = checkpointed(rows.groupBy("recipe", "doc_id", "text_sha256").agg(F.count("*").alias("_times")))
     groups = same.groupBy("recipe").agg(
         F.max("doc_id").alias("keep_id"), F.sum("_times").alias("group_size"))
-    # most recipes are alone: only the others need the join, whose hot keys Spark splits on the left side
-    groups = groups.filter("group_size > 1")
+    # most recipes are alone: only the others need the join. As a written table they are a plain side of it,
+    # so Spark can split a hot recipe's documents over several tasks
+    groups = checkpointed(groups.filter("group_size > 1"))
     found = same.join(groups, "recipe", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationloom.llm import decontaminate, exact_dedup, quality, simhash, token_count
+from stationloom.llm import (
+    decontaminate,
+    exact_dedup,
+    licences,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_count,
+    token_file,
+    url_filter,
+)
+from stationloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +95,48 @@ hit_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+
+@query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    token_file.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_file(WORD_MODEL))
+    return token_file.token_digest(token_file.read_token_files(spark, folder))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
+
+
+@query
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_licences"] = licences.oracle_sql()
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def _fits(rule: url_filter.Rule) -> str:
+    return f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+
+
+_LONGEST = sorted(url_filter.RULES, key=lambda r: len(r.host + r.path), reverse=True)
+ORACLES["op10_url_filter"] = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path,
+       CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.host}{r.path}'" for r in _LONGEST)} END AS rule,
+       CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in _LONGEST)} ELSE 'allow' END AS verdict
+FROM p"""

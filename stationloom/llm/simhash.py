@@ -13,12 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationloom.llm.buckets import compare_in_blocks
+from stationloom.llm.buckets import compare_groups, in_blocks
 from stationloom.llm.components import components
 from stationloom.llm.exact_dedup import keep_rows
 from stationloom.llm.text import LOWER, NOT_SPACE, raw_bytes, text_slices, whole_text, word_spans
@@ -171,7 +170,7 @@ def simhash_components(fps: DataFrame) -> DataFrame:
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     keyed = nodes.select("fp").mapInArrow(_with_pivots, "fp long, pivots binary").select(
         "fp", "pivots", F.explode(_block_keys()).alias("bucket"))
-    edges = compare_in_blocks(keyed, "bucket", "fp", BLOCK_ROWS, _compare, "a long, b long")
+    edges = compare_groups(in_blocks(keyed, "bucket", "fp", BLOCK_ROWS), "bucket", _compare, "a long, b long")
     linked = components(edges)
     placed = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component"))
