@@ -49,7 +49,7 @@ def _identified(rows: DataFrame) -> DataFrame:
     told = (
         spots.join(ranks, ["_h", "_chunk"])
         .groupBy("_row")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("_at").cast("long"), "_rank"))).alias("_told"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_at").cast("long").alias("_at"), "_rank"))).alias("_told"))
     )
     flat = F.flatten(F.transform("_told", lambda p: F.array(p["_at"], p["_rank"])))
     joined = rows.join(told, "_row", "left")

@@ -56,7 +56,7 @@ RULES = [
 ]
 #: Other sentences that may stand between two of a rule.
 GAP = 2
-SPLIT = r"[.!?]+[ \t\r\n]+|[\r\n]+"
+SPLIT = r"[.!?:]+[ \t\r\n]+|[\r\n]+"
 OTHER = "-"
 
 

@@ -163,7 +163,7 @@ def _block_keys() -> F.Column:
 
 
 def simhash_components(fps: DataFrame) -> DataFrame:
-    """``fp, component_id`` for ``doc_id, fp``: the smallest id among all documents reachable.
+    """``fp, component, component_id`` for ``doc_id, fp``: the smallest fingerprint and the smallest id reachable.
 
     Null ids are larger than any other; a component of null ids only has a null one.
     """
@@ -175,7 +175,7 @@ def simhash_components(fps: DataFrame) -> DataFrame:
     placed = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("component"))
     first = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return placed.join(first, "component").select("fp", "component_id")
+    return placed.join(first, "component").select("fp", "component", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -190,9 +190,12 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    found = simhash_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one id may stand for several texts: of those of a component, the smallest hash stays
-    stays = found.groupBy("component_id", "fingerprint").agg(F.min("text_sha256").alias("text_sha256"))
-    stays = stays.groupBy("component_id").agg(F.min(F.struct("fingerprint", "text_sha256")).alias("_first"))
-    return keep_rows(docs, stays.select(F.col("component_id").alias("doc_id"), "_first.text_sha256"))
+    """One document of each component, the one with the smallest id (a null one last), with all its columns.
+
+    An id that stands for several texts of a component stays with the one of the smallest fingerprint and hash.
+    """
+    fps = checkpointed(fingerprints(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_sha256")
+    stays = fps.groupBy("fp").agg(F.min(order).alias("_first")).join(simhash_components(fps), "fp")
+    stays = stays.groupBy("component").agg(F.min("_first").alias("_first"))
+    return keep_rows(docs, stays.select("_first.doc_id", "_first.text_sha256"))

@@ -55,7 +55,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a column in a row, and where each text begins (one more than there are texts)."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)

@@ -160,6 +160,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     shapes = _shapes(rules)
     rows = pages.select(F.col(id_column).alias("page_id"), host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     kind = rows.schema["page_id"].dataType.simpleString()
+    if not rules:
+        return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     keyed = rows.withColumn("_keys", candidates(F.col("host"), F.col("path"), shapes))
     universe = checkpointed(keyed.select(F.explode(F.transform("_keys", _key)).alias("key")).distinct())
     cascades = {}
