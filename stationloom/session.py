@@ -32,11 +32,13 @@ def local_session(cpus: int | str = "*", app: str = "stationloom", shuffle: int
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a temporary folder is made and set for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset in local mode, as
+    in tests, a temporary folder is made and set for the session.
     """
     sc = spark.sparkContext
     known = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getCheckpointDir()
+    if not known and not sc.master.startswith("local"):
+        raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all machines share")
     if not known:
         known = tempfile.mkdtemp(prefix="stationloom-")
     if not sc.getCheckpointDir():

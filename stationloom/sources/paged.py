@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from functools import reduce
 from urllib.error import URLError
 from urllib.parse import quote
 from urllib.request import urlopen
@@ -21,17 +22,19 @@ SOURCE_NAME = "station_pages"
 
 
 class _Part(InputPartition):
-    def __init__(self, urls: list[tuple[int, str]], required: bool):
+    def __init__(self, urls: list[tuple[int, str]], required: bool, last: bool = False):
         super().__init__(None)
         self.urls = urls
         self.required = required
+        self.last = last
 
 
 class StationPages(DataSource):
     """Records behind a URL template.
 
     Options: ``url`` with ``{limit}`` and ``{offset}``, plus ``pagesize`` and ``pages``; or with
-    ``{code}``, plus ``codes`` as a JSON list. Any scheme ``urllib`` opens works, ``file:`` too.
+    ``{code}``, plus ``codes`` as a JSON list. Executors open the addresses with ``urllib``; pages in a
+    folder that Spark reads are better read by ``read_pages``. A full last page is warned about, as more may follow.
     """
 
     @classmethod
@@ -57,7 +60,7 @@ class _PageReader(DataSourceReader):
     def partitions(self):
         if self.codes is None:
             return [
-                _Part([(i * self.size, self.url.format(limit=self.size, offset=i * self.size))], True)
+                _Part([(i * self.size, self.url.format(limit=self.size, offset=i * self.size))], True, i == self.pages - 1)
                 for i in range(self.pages)
             ]
         urls = [(i, self.url.format(code=quote(c, safe=""))) for i, c in enumerate(self.codes)]
@@ -73,12 +76,29 @@ class _PageReader(DataSourceReader):
                     raise
                 log.warning("skipped %s: %s", url, problem)
                 continue
-            for i, record in enumerate(payload if isinstance(payload, list) else [payload]):
+            found = payload if isinstance(payload, list) else [payload]
+            if partition.last and len(found) >= self.size:
+                log.warning("the last page asked for is full, so records after %s may be missing", first + len(found))
+            for i, record in enumerate(found):
                 yield first + i, json.dumps(record)
 
 
+def _stored_page(spark: SparkSession, url: str, size: int, page: int) -> DataFrame:
+    """A page that Spark reads: a JSON list, or one object."""
+    text = spark.read.text(url.format(limit=size, offset=page * size), wholetext=True)
+    listed = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    place = (F.lit(page * size) + F.col("pos")).cast("long").alias("row_id")
+    return text.select(F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "body")).select(place, "body")
+
+
 def read_pages(spark: SparkSession, url: str, page_size: int = 1000, n_pages: int = 26) -> DataFrame:
-    """Raw records of the first ``n_pages`` pages; a page that fails raises."""
+    """Raw records of the first ``n_pages`` pages; a page that fails raises.
+
+    Web addresses are opened by the executors. Any other template names files or folders, one per page, on
+    a store that Spark reads, and is read by Spark.
+    """
+    if not url.startswith(("http:", "https:")):
+        return reduce(DataFrame.unionAll, [_stored_page(spark, url, page_size, i) for i in range(n_pages)])
     spark.dataSource.register(StationPages)
     reader = spark.read.format(SOURCE_NAME).option("url", url)
     return reader.option("pagesize", page_size).option("pages", n_pages).load()

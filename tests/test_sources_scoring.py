@@ -91,7 +91,7 @@ def test_paged_source(spark, tmp_path):
     raw = paged.read_pages(spark, url, 2, 3)
     assert raw.rdd.getNumPartitions() == 3 and raw.count() == 6
     assert [r["area_code"] for r in paged.first_stations(spark, url, 2, 3).orderBy("row_id").collect()] == ["S0a", "S1a", "S2a"]
-    with pytest.raises(Exception, match="No such file|URLError"):
+    with pytest.raises(Exception, match="No such file|URLError|PATH_NOT_FOUND"):
         paged.first_stations(spark, url, 2, 4).collect()
     path, bad = refresh(spark, str(tmp_path / "out"), url, 2, 3)
     assert csv_files.read_csv(spark, path, S.STATION_SCHEMA).count() == 3 and bad.count() == 3
