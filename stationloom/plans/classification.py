@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -19,6 +20,10 @@ from stationloom.session import path_exists, shared_dir
 
 log = logging.getLogger(__name__)
 
+#: Rows of a training task, at least.
+TASK_ROWS = 20_000
+
+
 class StationClassifier:
     """Up to four tree ensembles with majority vote.
 
@@ -55,13 +60,17 @@ class StationClassifier:
         elif self.use_smote:
             rows = oversample(R.with_stable_row_id(rows).persist(StorageLevel.MEMORY_AND_DISK), numeric, target)
         work = filled(rows, numeric, categorical).select(target, *features).persist(StorageLevel.MEMORY_AND_DISK)
-        classes = sorted(class_sizes(work, target))
+        sizes = class_sizes(work, target)
+        classes = sorted(sizes)
+        # every tree level is a job over all partitions, so small ones are joined
+        rows_in_all = sum(sizes.values())
+        work, cached = work.coalesce(max(1, math.ceil(rows_in_all / TASK_ROWS))), work
         translated = {n: translate(n, self.params[n]) for n in self.names}
         weights = balanced_weights(work, target) if any(b for _, b in translated.values()) else None
         for name, (params, balanced) in translated.items():
             self.members[name] = fit_member(
                 name, work, numeric, categorical, classes, weights if balanced else None, params, target)
-        work.unpersist()
+        cached.unpersist()
         return self
 
     def _score(self, df: DataFrame, model: str | None) -> tuple[DataFrame, list[str]]:

@@ -51,9 +51,10 @@ _ALIASES = {
     "subsample": "subsamplingRate",
     "max_features": "featureSubsetStrategy", "colsample_bytree": "featureSubsetStrategy",
     "min_samples_leaf": "minInstancesPerNode", "min_data_in_leaf": "minInstancesPerNode",
-    "min_child_samples": "minInstancesPerNode", "min_child_weight": "minInstancesPerNode",
+    "min_child_samples": "minInstancesPerNode",
     "random_state": "seed", "random_seed": "seed",
-    "gamma": "minInfoGain", "min_split_gain": "minInfoGain",
+    # A loss summed over all rows, where Spark asks for the mean gain of a row: divided by the rows when fitting.
+    "gamma": "summedGain", "min_split_gain": "summedGain",
     "criterion": "impurity", "bootstrap": "bootstrap",
 }
 _SILENT = {
@@ -64,7 +65,12 @@ _MAX_SPARK_DEPTH = 30
 
 
 def translate(name: str, given: dict) -> tuple[dict, bool]:
-    """Spark parameters for merged hyper-parameters, and whether classes are to be balanced."""
+    """Spark parameters for merged hyper-parameters, and whether classes are to be balanced.
+
+    Depths beyond Spark's 30 raise; an unlimited one (``None`` or -1) becomes 30. ``leaf_depth=True`` bounds
+    the depth by ``num_leaves``, for members that grow by leaves elsewhere. ``early_stopping_rounds`` holds back
+    every tenth row and stops boosting once its loss no longer falls.
+    """
     merged = {**DEFAULTS[name], **given}
     if any(k in given for k in _ROUNDS):
         merged = {k: v for k, v in merged.items() if k not in _ROUNDS or k in given}
@@ -78,15 +84,20 @@ def translate(name: str, given: dict) -> tuple[dict, bool]:
         elif key in _ALIASES:
             spark_name = _ALIASES[key]
             if spark_name == "maxDepth":
-                value = min(int(value), _MAX_SPARK_DEPTH) if value is not None else _MAX_SPARK_DEPTH
+                value = _MAX_SPARK_DEPTH if value is None or int(value) < 0 else int(value)
+                if value > _MAX_SPARK_DEPTH:
+                    raise ValueError(f"{name}: depth {value} is beyond {_MAX_SPARK_DEPTH}, the deepest tree of Spark")
             elif spark_name == "minInstancesPerNode":
                 value = max(1, int(value))
             elif spark_name == "featureSubsetStrategy":
                 value = str(value)
             out[spark_name] = value
-        elif key in ("num_leaves", "numTrees", "maxIter", "maxBins", "minInfoGain", "checkpointInterval"):
-            if key != "num_leaves":
-                out[key] = value
+        elif key in ("numTrees", "maxIter", "maxBins", "minInfoGain", "checkpointInterval", "validationTol"):
+            out[key] = value
+        elif key == "early_stopping_rounds":
+            out["stopEarly"] = bool(value)
+        elif key in ("num_leaves", "leaf_depth"):
+            continue
         elif key not in _SILENT:
             log.warning("%s: parameter %r has no Spark counterpart and is ignored", name, key)
     if name == "rf":
@@ -94,8 +105,8 @@ def translate(name: str, given: dict) -> tuple[dict, bool]:
         out.setdefault("maxDepth", _MAX_SPARK_DEPTH)
         out.pop("stepSize", None)
     elif name == "lgbm":
-        # Leaf-wise growth is bounded by its leaves: 31 unless given otherwise.
-        out["maxDepth"] = min(out.get("maxDepth", _MAX_SPARK_DEPTH), math.ceil(math.log2(merged.get("num_leaves", 31))))
+        if merged.get("leaf_depth"):
+            out["maxDepth"] = min(out.get("maxDepth", _MAX_SPARK_DEPTH), math.ceil(math.log2(merged.get("num_leaves", 31))))
         out.setdefault("seed", 7)
     elif name == "xgb":
         out.setdefault("maxDepth", 6)
@@ -235,10 +246,18 @@ def fit_member(
     """Fit one member on a prepared, cached frame."""
     label = literal_map({c: float(i) for i, c in enumerate(classes)})[F.col(target)]
     work = df.withColumn("__y", label)
-    extra = {}
+    extra: dict = {}
+    params = dict(params)
+    summed = params.pop("summedGain", 0)
+    if summed:
+        params["minInfoGain"] = summed / max(1, work.count())
+    if params.pop("stopEarly", False) and name != "rf":
+        held = F.pmod(F.xxhash64(*numeric, *categorical, target), F.lit(10)) == 0
+        work = work.withColumn("__held", held)
+        extra["validationIndicatorCol"] = "__held"
     if weights is not None:
         work = work.withColumn("__w", literal_map(weights)[F.col(target)])
-        extra = {"weightCol": "__w"}
+        extra["weightCol"] = "__w"
     if name == "rf":
         prep = _preparation(name, numeric, categorical, "__v", "__y").fit(work)
         forest = RandomForestClassifier(featuresCol="__v", labelCol="__y", **params, **extra)
@@ -247,7 +266,7 @@ def fit_member(
     common = vectors = None
     if name != "catboost":
         common = _preparation(name, numeric, categorical, "__v", "__y").fit(work)
-        kept = ["__v", "__y", *(["__w"] if extra else [])]
+        kept = ["__v", "__y", *extra.values()]
         vectors = common.transform(work).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_side(i: int):

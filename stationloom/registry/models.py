@@ -32,13 +32,30 @@ from stationloom.session import scratch_path
 from stationloom.sources import csv_files
 from stationloom.sources.parameters import load_parameters
 
-# Ensemble sizes that suit a check; the defaults are the full ones.
-SMALL = {
-    "rf_params": {"n_estimators": 10, "max_depth": 5, "class_weight": "balanced", "random_state": 42},
-    "catboost_params": {"iterations": 3, "depth": 3, "learning_rate": 0.3},
-    "lgbm_params": {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "subsample": 0.8},
-    "xgb_params": {"n_estimators": 3, "max_depth": 3, "learning_rate": 0.3, "gamma": 0.0},
+# The settings of the members in the parameter file that ships with the task.
+PARAMETERS = {
+    "rf_params": {
+        "n_estimators": 500, "criterion": "gini", "class_weight": "balanced", "max_depth": 12, "min_samples_split": 5,
+        "min_samples_leaf": 2, "max_features": "sqrt", "bootstrap": True, "n_jobs": -1, "random_state": 42,
+    },
+    "catboost_params": {
+        "iterations": 1000, "learning_rate": 0.05, "depth": 5, "loss_function": "MultiClass", "eval_metric": "TotalF1",
+        "auto_class_weights": "Balanced", "l2_leaf_reg": 5, "early_stopping_rounds": 50, "random_seed": 42, "verbose": 100,
+    },
+    "lgbm_params": {
+        "objective": "multiclass", "num_class": 3, "learning_rate": 0.05, "n_estimators": 1000, "class_weight": "balanced",
+        "max_depth": 5, "num_leaves": 20, "min_child_samples": 5, "subsample": 0.8, "colsample_bytree": 0.8,
+        "reg_alpha": 0.1, "reg_lambda": 1.0, "random_state": 42, "n_jobs": -1,
+    },
+    "xgb_params": {
+        "objective": "multi:softprob", "num_class": 3, "learning_rate": 0.05, "n_estimators": 1000, "max_depth": 4,
+        "min_child_weight": 3, "subsample": 0.8, "colsample_bytree": 0.8, "gamma": 0.2, "alpha": 0.1, "lambda": 1.0,
+        "tree_method": "hist", "enable_categorical": True, "random_state": 42, "n_jobs": -1,
+    },
 }
+# End of fixed values.
+# All boosted members stop early here, as the file asks of one of them: a thousand rounds per class are an hour.
+QUERY_PARAMETERS = {k: v if k == "rf_params" else v | {"early_stopping_rounds": 50} for k, v in PARAMETERS.items()}
 CATS = ["timezone", "climatic_zone_year2016"]
 _REGIONS_HERE = ["Africa", "America", "Asia", "Europe", "nan"]
 
@@ -58,9 +75,28 @@ def numeric_features(spark, d):
     return features(spark, d)[1].drop(*CATS)
 
 
-def classifier(spark, d, models=None, numeric_only=False, smote=False):
+_FITTED: dict = {}
+
+
+def members(df, names, key, smote=False, parameters=QUERY_PARAMETERS):
+    """A classifier of fully sized members. Each is fitted once per session, folder and kind of features,
+    and shared by the queries."""
+    out = StationClassifier(names, use_smote=smote, **parameters)
+    for name in out.names:
+        own = (df.sparkSession.sparkContext.applicationId, *key, smote, name, str(parameters[f"{name}_params"]))
+        if own not in _FITTED:
+            _FITTED[own] = StationClassifier([name], use_smote=smote, **parameters).fit(df).members[name]
+        out.members[name] = _FITTED[own]
+    return out
+
+
+def classifier(spark, d, models=None, numeric_only=False, smote=False, parameters=QUERY_PARAMETERS):
     df = numeric_features(spark, d) if numeric_only else features(spark, d)[1]
-    return df, StationClassifier(models, use_smote=smote, **SMALL).fit(df)
+    return df, members(df, models, (d, numeric_only), smote, parameters)
+
+
+# Labels follow from one feature, so members that learnt it predict this for every row, labelled or not.
+LEARNT = "CASE WHEN mean_stable_nightlights_5km_year2013 >= 12 THEN 'urban' WHEN mean_stable_nightlights_5km_year2013 >= 8 THEN 'suburban' ELSE 'rural' END"
 
 
 def vectors(spark, d):
@@ -79,7 +115,7 @@ def _ref(c):
 def over_kept(body, **extra):
     """SQL over the rows that cleaning with mean imputation keeps."""
     return over_clean(body, upto="structural", kept=f"""
-SELECT row_id, area_code, coalesce(timezone, 'nan') AS timezone, type_of_area FROM structural
+SELECT row_id, area_code, coalesce(timezone, 'nan') AS timezone, type_of_area, {LEARNT} AS learnt FROM structural
 WHERE coalesce({S.ROAD}, {_ref(S.ROAD)}) >= 0""", **extra)
 
 
@@ -204,7 +240,7 @@ def m1(spark, d):
 
 @query("m2_gaussian_mixture")
 def m2(spark, d):
-    df, model = clustered(spark, d, "gmm", max_iter=5)
+    df, model = clustered(spark, d, "gmm")
     return cluster_sizes(model.predict(df))
 
 
@@ -312,69 +348,83 @@ def _member(name):
 
 
 for _i, _name in enumerate(MEMBERS):
-    query(f"m{4 + _i}_{_name}_member")(_member(_name))
+    query(f"m{4 + _i}_{_name}_member", over_kept(
+        f"SELECT type_of_area, learnt AS pred_{_name}, count(*) AS n FROM kept GROUP BY 1, 2"))(_member(_name))
 
 
-@query("m8_all_members_smote")
+@query("m8_all_members_smote", over_kept(
+    "SELECT row_id, " + ", ".join(f"learnt AS {c}" for c in SC.output_columns(MEMBERS)) + " FROM kept"))
 def m8(spark, d):
     df, model = classifier(spark, d, numeric_only=True, smote=True)
     return model.predict(df).select(S.ROW_ID, *SC.output_columns(MEMBERS))
 
 
-@query("m9_parameter_translation")
+def parameter_file(spark, blocks):
+    """A parameter file in the shared folder, as a user would write it."""
+    import yaml
+
+    path = scratch_path(spark, "parameters")
+    spark.range(1).select(F.lit(yaml.safe_dump(blocks, sort_keys=False)).alias("value")).write.text(path)
+    return path
+
+
+@query("m9_parameter_translation", over_kept("""
+SELECT learnt AS pred_xgb, count(*) AS n, true AS later_trees_split FROM kept GROUP BY 1"""))
 def m9(spark, d):
-    df = numeric_features(spark, d)
-    params = {"n_estimators": 5, "max_depth": 4, "min_samples_split": 5, "min_samples_leaf": 2, "max_features": "sqrt",
-              "class_weight": "balanced", "criterion": "gini", "bootstrap": True, "n_jobs": -1, "random_state": 42}
-    model = StationClassifier(["rf"], use_smote=False, rf_params=params).fit(df)
-    return model.predict(df, "rf").groupBy("pred_rf").agg(F.count("*").alias("n"))
+    # The file's own blocks; the summed-loss parameter among them must not keep later trees from splitting.
+    blocks = load_parameters(spark, parameter_file(spark, PARAMETERS))
+    blocks["xgb_params"] |= {"early_stopping_rounds": 50}
+    df, model = classifier(spark, d, ["xgb"], parameters=blocks)
+    split = all(m.trees[min(5, len(m.trees) - 1)].numNodes > 1 for m in model.members["xgb"].models)
+    return model.predict(df, "xgb").groupBy("pred_xgb").agg(F.count("*").alias("n")).withColumn("later_trees_split", F.lit(split))
 
 
-@query("m10_predict_and_vote", over_kept("SELECT row_id, true AS first_wins FROM kept"))
+@query("m10_predict_and_vote", over_kept("SELECT row_id, learnt AS pred_rf, learnt AS pred_lgbm, learnt AS pred_voting FROM kept"))
 def m10(spark, d):
     df, model = classifier(spark, d, ["rf", "lgbm"])
-    # Of two voters the first decides, whether they agree or not.
-    return model.predict(df).select(S.ROW_ID, (F.col("pred_voting") == F.col("pred_rf")).alias("first_wins"))
+    return model.predict(df).select(S.ROW_ID, *SC.output_columns(["rf", "lgbm"]))
 
 
-@query("m11_probabilities", over_kept("SELECT row_id, 1.0 AS rf, 1.0 AS xgb FROM kept"))
+@query("m11_probabilities", over_kept("SELECT row_id, 1.0 AS rf, 1.0 AS xgb, learnt AS top_rf, learnt AS top_xgb FROM kept"))
 def m11(spark, d):
     df, model = classifier(spark, d, ["rf", "xgb"])
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, p: s + p), 9)
-    return model.predict_proba(df).select(S.ROW_ID, total("proba_rf").alias("rf"), total("proba_xgb").alias("xgb"))
+    classes = F.array(*[F.lit(c) for c in sorted(S.CLASSES)])
+    top = lambda c: F.element_at(classes, F.array_position(c, F.array_max(c)).cast("int"))
+    return model.predict_proba(df).select(
+        S.ROW_ID, total("proba_rf").alias("rf"), total("proba_xgb").alias("xgb"),
+        top("proba_rf").alias("top_rf"), top("proba_xgb").alias("top_xgb"))
 
 
-@query("m12_member_thresholds", over_kept("SELECT row_id, 'suburban' AS pred_rf FROM kept"))
+@query("m12_member_thresholds", over_kept("SELECT row_id, learnt AS pred_xgb, 'suburban' AS beyond_reach FROM kept"))
 def m12b(spark, d):
-    df, model = classifier(spark, d, ["rf"])
-    return model.threshold_predict(df, 1.01).select(S.ROW_ID, "pred_rf")
+    df, model = classifier(spark, d, ["xgb"])
+    strict = model.threshold_predict(df, 1.01).select(S.ROW_ID, F.col("pred_xgb").alias("beyond_reach"))
+    return model.threshold_predict(df, 0.5).select(S.ROW_ID, "pred_xgb").join(strict, S.ROW_ID)
 
 
-@query("m14_feature_names", over_kept("SELECT " + ", ".join(
-    f"count(*) AS {c}" for c in [*NUMERIC_HERE, *CATS]) + " FROM kept"))
+@query("m14_feature_names", over_kept(" UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS feature, count(*) AS n FROM kept" for i, c in enumerate([*NUMERIC_HERE, *CATS]))))
 def m14(spark, d):
     df, model = classifier(spark, d, ["rf"])
-    names = model.feature_names("rf")
-    return df.agg(*[F.count(c).alias(c) for c in names])
+    named = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature")) for i, c in enumerate(model.feature_names("rf"))]
+    return df.select(F.inline(F.array(*named))).groupBy("place", "feature").agg(F.count("*").alias("n"))
 
 
-@query("s17_classifier_round_trip", over_kept("SELECT row_id, true AS same FROM kept"))
+@query("s17_classifier_round_trip", over_kept("SELECT row_id, learnt AS pred_catboost FROM kept"))
 def s17(spark, d):
     df, model = classifier(spark, d, ["rf", "catboost"])
     path = scratch_path(spark, "members")
     model.save(path)
     stored = StationClassifier.load(path, ["catboost"])
-    return _same(model.predict(df, "catboost"), stored.predict(df, "catboost"), "pred_catboost")
+    return stored.predict(df, "catboost").select(S.ROW_ID, "pred_catboost")
 
 
-@query("s19_parameter_file", over_kept("SELECT row_id, true AS named FROM kept"))
+@query("s19_parameter_file", over_kept("SELECT row_id, learnt AS pred_rf, learnt AS pred_lgbm FROM kept"))
 def s19(spark, d):
-    path = scratch_path(spark, "parameters")
-    text = "rf_params:\n  n_estimators: 5\n  max_depth: 4\n  class_weight: balanced\n  random_state: 42\n"
-    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
-    df = numeric_features(spark, d)
-    model = StationClassifier(["rf"], use_smote=False, **load_parameters(spark, path)).fit(df)
-    return model.predict(df, "rf").select(S.ROW_ID, F.col("pred_rf").isin(S.CLASSES).alias("named"))
+    blocks = load_parameters(spark, parameter_file(spark, QUERY_PARAMETERS))
+    df, model = classifier(spark, d, ["rf", "lgbm"], parameters=blocks)
+    return model.predict(df).select(S.ROW_ID, "pred_rf", "pred_lgbm")
 
 
 @query("e7_feature_importance")
@@ -395,7 +445,9 @@ def e9(spark, d):
     return RP.classifier_report(R.split_labelled(df)[0], model)["report"]
 
 
-@query("e9_thresholded_predictions")
+@query("e9_thresholded_predictions", over_kept(
+    "SELECT row_id, area_code, type_of_area, " + ", ".join(f"learnt AS type_of_area_pred_{n}" for n in ("rf", "xgb", "voting"))
+    + " FROM kept WHERE type_of_area <> 'unknown'"))
 def e9b(spark, d):
     df, model = classifier(spark, d, ["rf", "xgb"])
     return RP.classifier_report(R.split_labelled(df)[0], model, apply_threshold=True)["predictions"]
@@ -416,11 +468,16 @@ def artifacts(spark, d, models):
     cleaner, cleaned = StationCleaner(imputer="mean").fit_transform(raw)
     prep, df = FeatureEngineer(selected=["area_code", S.TARGET, *NUMERIC_HERE, *CATS], scaling="standard").fit_transform(cleaned)
     folder = scratch_path(spark, "artifacts")
-    SC.save_artifacts(folder, cleaner, prep, StationClassifier(models, use_smote=False, **SMALL).fit(df))
+    SC.save_artifacts(folder, cleaner, prep, members(df, models, (d, False)))
     return folder
 
 
-@query("s18_load_artifacts")
+_SCORED = """
+SELECT s.lat, s.lon, s.area_code, s.type_of_area, coalesce(k.learnt, 'not enough data for prediction') AS pred
+FROM stations_raw s LEFT JOIN kept k ON s.row_id = k.row_id"""
+
+
+@query("s18_load_artifacts", over_kept(f"SELECT pred AS pred_rf, count(*) AS n FROM ({_SCORED}) q GROUP BY 1"))
 def s18(spark, d):
     scorer = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]), best_model="rf")
     return scorer.predict(X.stations_raw(spark, d)).groupBy("pred_rf").agg(F.count("*").alias("n"))
@@ -432,7 +489,8 @@ def c10(spark, d):
     return scorer.preprocess(X.stations_raw(spark, d)).select(S.ROW_ID, "area_code", S.TARGET, "timezone")
 
 
-@query("c11_score_table")
+@query("c11_score_table", over_kept(
+    f"SELECT lat, lon, area_code, type_of_area, pred AS pred_rf, pred AS pred_lgbm, pred AS pred_voting FROM ({_SCORED}) q"))
 def c11(spark, d):
     return SC.BatchScorer(spark, artifacts(spark, d, ["rf", "lgbm"])).predict(X.stations_raw(spark, d))
 
@@ -447,10 +505,12 @@ def c11_rows(spark, d):
     return scorer.predict(X.stations_raw(spark, d)).select(*S.ID_COLUMNS, S.TARGET, outcome.alias("outcome"))
 
 
-@query("c12_score_as_dicts")
+@query("c12_score_as_dicts", over_kept(f"SELECT area_code, type_of_area, pred AS pred_voting FROM ({_SCORED}) q"))
 def c12(spark, d):
     scorer = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]), best_model="voting", output_format="dicts")
-    return scorer.predict(X.stations_raw(spark, d))
+    objects = scorer.predict(X.stations_raw(spark, d))
+    field = lambda c: F.get_json_object(objects.columns[0], f"$.{c}").alias(c)
+    return objects.select(*[field(c) for c in ("area_code", S.TARGET, "pred_voting")])
 
 
 @query("c2_cleaner_state", over_clean(" UNION ALL ".join(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
 from stationloom import fixtures as X
@@ -424,7 +422,7 @@ def l3b(spark, d):
 def _tree_chain(kind, **params):
     def run(spark, d):
         df = P.structural(X.stations_raw(spark, d))
-        chain = I.fit_tree_chain(df, NUMERIC_HERE, kind, rounds=1, **params)
+        chain = I.fit_tree_chain(df, NUMERIC_HERE, kind, **params)
         return _observed(chain.apply(df), df)
     return run
 
@@ -592,21 +590,13 @@ _FLAT_COLUMNS = ["lat", "lon", "area_code", "timezone", "type_of_area", "altitud
 
 
 def write_pages(spark, d, size=500):
-    """Records as one JSON file per page; gives the URL template, page size and page count."""
-    path = scratch_path(spark, "pages").removeprefix("file:")
-    if ":" in path:
-        raise ValueError(f"page files need a folder that urllib can open, not {path}")
-    docs = X.api_records(spark, d).withColumn("page", F.floor(F.col(S.ROW_ID) / size))
-    in_order = F.array_sort(F.collect_list(F.struct(S.ROW_ID, "body")))
+    """Records as one JSON page per folder, written by Spark; gives the template, page size and page count."""
+    path = scratch_path(spark, "pages")
+    docs = X.api_records(spark, d).withColumn("offset", (F.floor(F.col(S.ROW_ID) / size) * size).cast("long"))
+    in_order = F.array_sort(F.collect_list(F.struct(S.ROW_ID, "body")))  # a page has ``size`` records at most
     body = F.concat(F.lit("["), F.concat_ws(",", F.transform(in_order, lambda r: r["body"])), F.lit("]"))
-
-    def write_page(rows):
-        Path(path).mkdir(parents=True, exist_ok=True)
-        for r in rows:
-            Path(f"{path}/page_{r['page'] * size}.json").write_text(r["body"])
-
-    docs.groupBy("page").agg(body.alias("body")).foreachPartition(write_page)
-    return f"file:{path}/page_{{offset}}.json", size, docs.agg(F.max("page")).first()[0] + 1
+    docs.groupBy("offset").agg(body.alias("value")).write.partitionBy("offset").text(path)
+    return f"{path}/offset={{offset}}", size, docs.agg(F.max("offset")).first()[0] // size + 1
 
 
 @query("s2_paged_source", with_blocks(f"SELECT {', '.join(_FLAT_COLUMNS)} FROM flat", "api_records", flat=_FLAT))

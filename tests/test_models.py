@@ -195,7 +195,11 @@ def test_hyper_parameters_are_merged_and_translated():
     params, balanced = translate("rf", {"n_estimators": 7, "class_weight": "balanced", "min_samples_leaf": 2})
     assert params == {"numTrees": 7, "seed": 42, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "maxDepth": 30}
     assert balanced
-    params, _ = translate("lgbm", {"num_leaves": 20, "max_depth": 9, "n_estimators": 3})
+    given = {"num_leaves": 20, "max_depth": 9, "n_estimators": 3}
+    assert translate("lgbm", given)[0]["maxDepth"] == 9
+    params, _ = translate("lgbm", given | {"leaf_depth": True})
     assert params["maxDepth"] == 5 and params["maxIter"] == 3
+    with pytest.raises(ValueError, match="31"):
+        translate("rf", {"max_depth": 31})
     params, _ = translate("xgb", {"gamma": 0.2, "colsample_bytree": 0.8})
-    assert params["minInfoGain"] == 0.2 and params["featureSubsetStrategy"] == "0.8" and params["maxIter"] == 500
+    assert "minInfoGain" not in params and params["summedGain"] == 0.2 and params["featureSubsetStrategy"] == "0.8" and params["maxIter"] == 500
