@@ -247,7 +247,7 @@ def tree_regressor(kind: str, **params):
         return GBTRegressor(**{"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **params})
     if kind == "cboost":
         return GBTRegressor(**{"maxIter": 20, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **params})
-    raise NotImplementedError(f"Unknown estimator: {kind!r}. Choose None, 'rf', 'lgbm', or 'cboost'.")
+    raise NotImplementedError(f"no imputer named {kind!r}; there are None, {', '.join(TREE_ESTIMATORS)}")
 
 
 @dataclass

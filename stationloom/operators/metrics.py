@@ -160,7 +160,7 @@ def threshold_scores(
     hundred rows, are then spread over the grid.
     """
     if metric not in METRICS:
-        raise ValueError("metric must be 'f1_macro' or 'balanced_accuracy'.")
+        raise ValueError(f"no metric named {metric!r}; there are f1_macro and balanced_accuracy")
     by = by or []
     grid = threshold_grid(n_thresholds)
     steps = F.array(*[F.lit(t) for t in grid])

@@ -110,7 +110,7 @@ def predictors(df: DataFrame, excluded: list[str]) -> DataFrame:
 def map_clusters(df: DataFrame, labels_map: dict | None, cluster: str, out: str) -> DataFrame:
     """Cluster ids turned into labels; the map is required."""
     if labels_map is None:
-        raise ValueError("labels_map must be provided.")
+        raise ValueError("clusters need a map to labels")
     return df.withColumn(out, C.lookup(F.col(cluster), labels_map))
 
 

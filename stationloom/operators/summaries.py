@@ -159,20 +159,72 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 def kde_curve(df: DataFrame, column: str, bins: int = 10, points: int = 200) -> DataFrame:
     """Gaussian density on a grid over the data range, scaled to the histogram's counts.
 
-    Scott's bandwidth. Each row is spread over the fixed grid and summed up inside its map
-    task; one row per grid point and task is shuffled.
+    Scott's bandwidth. See ``kde_curves``.
     """
-    lo, hi, n, sd = df.agg(F.min(column), F.max(column), F.count(column), F.stddev_samp(column)).first()
-    if not n or not sd:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
-    h = sd * n ** (-0.2)
-    x = F.lit(lo) + F.col("point") * F.lit((hi - lo) / (points - 1))
-    scale = ((hi - lo) / bins) / (h * math.sqrt(2 * math.pi))
-    spread = df.where(F.col(column).isNotNull()).select(
-        F.col(column).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    kernel = F.exp(F.pow((F.col("v") - x) / h, 2) * -0.5)
-    sums = spread.groupBy("point").agg(F.sum(kernel).alias("s"))
-    return sums.select("point", x.alias("x"), (F.col("s") * scale).alias("density"))
+    return kde_curves(df, [column], bins, points).drop("column")
+
+
+def kde_curves(df: DataFrame, columns: list[str], bins: int = 10, points: int = 200) -> DataFrame:
+    """``kde_curve`` of many columns: one aggregate for their ranges, and one pass in which a task adds up
+    each column's kernels on its grid, batch by batch. One row per grid point leaves a task."""
+    spark, schema = df.sparkSession, "column string, point int, x double, density double"
+    numbers = df.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)])
+    row = numbers.agg(*[f(f"x{j}").alias(f"{n}{j}") for j in range(len(columns))
+                        for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count), ("sd", F.stddev_samp))]).first()
+    usable = [j for j in range(len(columns)) if row[f"n{j}"] and row[f"sd{j}"]]
+    if not usable:
+        return spark.createDataFrame([], schema)
+    low, high = (np.array([row[f"{k}{j}"] for j in usable]) for k in ("lo", "hi"))
+    width = np.array([row[f"sd{j}"] * row[f"n{j}"] ** -0.2 for j in usable])
+    grid = low[:, None] + np.arange(points) * ((high - low) / (points - 1))[:, None]
+    scale = (high - low) / bins / (width * math.sqrt(2 * math.pi))
+
+    def run(batches):
+        total = np.zeros_like(grid)
+        for pdf in batches:
+            for k in range(len(usable)):
+                x = pdf.iloc[:, k].to_numpy(dtype=float, na_value=np.nan)
+                x = x[~np.isnan(x)]
+                for a in range(0, len(x), 4096):
+                    gap = (x[a:a + 4096, None] - grid[k]) / width[k]
+                    total[k] += np.exp(-0.5 * gap * gap).sum(axis=0)
+        k, point = np.indices(total.shape).reshape(2, -1)
+        yield pd.DataFrame({"k": k, "point": point, "s": total.ravel()})
+
+    sums = numbers.select(*[f"x{j}" for j in usable]).mapInPandas(run, "k int, point int, s double")
+    sums = sums.groupBy("k", "point").agg(F.sum("s").alias("s"))
+    facts = spark.createDataFrame(
+        [(k, columns[j], float(low[k]), float((high[k] - low[k]) / (points - 1)), float(scale[k])) for k, j in enumerate(usable)],
+        "k int, column string, low double, step double, scale double")
+    return sums.join(facts, "k").select(
+        "column", "point", (F.col("low") + F.col("point") * F.col("step")).alias("x"), (F.col("s") * F.col("scale")).alias("density"))
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """``histogram`` of many columns: one aggregate for all ranges, one grouped count for all bins."""
+    spark = df.sparkSession
+    numbers = df.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)])
+    row = numbers.agg(*[f(f"x{j}").alias(f"{n}{j}") for j in range(len(columns))
+                        for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    places, edges = [], []
+    for j, c in enumerate(columns):
+        lo, hi = row[f"lo{j}"], row[f"hi{j}"]
+        if lo is None:
+            edges += [(c, k, None, None) for k in range(bins)]
+            continue
+        x = F.col(f"x{j}")
+        place = F.when(x.isNotNull(), bin_index(x, lo, hi, bins))
+        places.append(F.struct(F.lit(c).alias("column"), place.alias("bin")))
+        if hi == lo:
+            lo, hi = lo - 0.5, hi + 0.5
+        width = (hi - lo) / bins
+        edges += [(c, k, lo + k * width, lo + (k + 1) * width) for k in range(bins)]
+    spine = spark.createDataFrame(edges, "column string, bin int, left double, right double")
+    if not places:
+        return spine.withColumn("n", F.lit(0).cast("bigint"))
+    counts = numbers.select(F.inline(F.array(*places))).where("bin IS NOT NULL").groupBy("column", "bin").agg(F.count("*").alias("n"))
+    return spine.join(counts, ["column", "bin"], "left").select(
+        "column", "bin", "left", "right", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def box_table(df: DataFrame, columns: dict[str, Column], label: str = "column", **options) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +15,9 @@ from stationloom.functions import numeric as N
 from stationloom.operators.quantiles import exact_quantiles
 from stationloom.operators.summaries import sample_skewness
 
-MAX_LEVELS = 10_000
 _TINY = 2.2250738585072014e-308  # smallest normal double
+_NEAR = 1e-12  # lambdas this close to a branch point take its limit
+_FARTHEST = 200.0  # beyond it a transform is flat in double precision, so the grid stops moving outward
 
 
 def replaced(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
@@ -40,22 +44,27 @@ def cap(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
 # -- encoding -------------------------------------------------------------------------
 
 
-def sorted_levels(df: DataFrame, columns: list[str], limit: int = MAX_LEVELS) -> dict[str, list[str]]:
+def sorted_levels(df: DataFrame, columns: list[str], limit: int | None = None) -> dict[str, list[str]]:
     """Distinct values per column, sorted.
 
-    One output column or literal per level follows, so the number is checked before any
-    level reaches the driver.
+    One output column or literal per level follows. With a ``limit``, the exact number is checked before
+    any level reaches the driver.
     """
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first() if columns else {}
-    for c in columns:
-        if sizes[c] > limit:
-            raise ValueError(f"column {c!r} has about {sizes[c]} levels, more than {limit}")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
     out: dict[str, list[str]] = {c: [] for c in columns}
-    if columns:
-        distinct = df.select(F.explode(pairs).alias("s")).select("s.*").where("level IS NOT NULL").distinct()
-        for r in distinct.collect():
-            out[r["column"]].append(r["level"])
+    if not columns:
+        return out
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
+    distinct = df.select(F.explode(pairs).alias("s")).select("s.*").where("level IS NOT NULL").distinct()
+    if limit is not None:
+        distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+        for r in distinct.groupBy("column").count().collect():
+            if r["count"] > limit:
+                distinct.unpersist()
+                raise ValueError(f"column {r['column']!r} has {r['count']} levels, more than the {limit} allowed")
+    for r in distinct.collect():
+        out[r["column"]].append(r["level"])
+    if limit is not None:
+        distinct.unpersist()
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -93,50 +102,89 @@ def skewed_columns(df: DataFrame, columns: list[str], limit: float = 1.0) -> lis
     return [c for c in columns if skew[c] is not None and abs(skew[c]) > limit]
 
 
+def _yeo_johnson_block(x: np.ndarray, lam: float) -> np.ndarray:
+    """Yeo-Johnson of a block of present values."""
+    out, up = np.empty_like(x), x >= 0
+    out[up] = np.log1p(x[up]) if abs(lam) < _NEAR else np.expm1(lam * np.log1p(x[up])) / lam
+    down = 2 - lam
+    out[~up] = -np.log1p(-x[~up]) if abs(down) < _NEAR else -np.expm1(down * np.log1p(-x[~up])) / down
+    return out
+
+
+def _moments_on_grid(numbers: DataFrame, grid: np.ndarray) -> dict[tuple[int, int], float]:
+    """Population variance of each column's transform at each lambda, in one pass.
+
+    A task keeps count, mean and squared deviations per column and grid point, merged batch by batch; one row
+    for each leaves it.
+    """
+    columns, points = grid.shape
+
+    def run(batches):
+        count, mean, spread = np.zeros((columns, points)), np.zeros((columns, points)), np.zeros((columns, points))
+        for pdf in batches:
+            for j in range(columns):
+                x = pdf.iloc[:, j].to_numpy(dtype=float, na_value=np.nan)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                for i in range(points):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        y = _yeo_johnson_block(x, grid[j, i])
+                        m = y.mean()
+                        n = count[j, i] + len(y)
+                        gap = m - mean[j, i]
+                        spread[j, i] += ((y - m) ** 2).sum() + gap * gap * count[j, i] * len(y) / n
+                        mean[j, i] += gap * len(y) / n
+                        count[j, i] = n
+        j, i = np.nonzero(count)
+        yield pd.DataFrame({"j": j, "i": i, "n": count[j, i], "m": mean[j, i], "s": spread[j, i]})
+
+    parts = numbers.mapInPandas(run, "j int, i int, n double, m double, s double")
+    whole = parts.groupBy("j", "i").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum("s").alias("s"),
+        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
+    return {(r["j"], r["i"]): (r["s"] + max(0.0, r["q"] - r["t"] * r["t"] / r["n"])) / r["n"] for r in whole.collect()}
+
+
 def yeo_johnson_lambdas(
-    df: DataFrame, columns: list[str], lo: float = -5.0, hi: float = 5.0, points: int = 41, rounds: int = 4
+    df: DataFrame, columns: list[str], lo: float = -5.0, hi: float = 5.0, points: int = 41, tolerance: float = 1e-6
 ) -> dict[str, float]:
     """Maximum-likelihood lambda per column.
 
-    Each round scores a whole grid of lambdas for all columns in one pass: a row is spread over
-    the grid inside the map task and summed up there, so only one row per column and grid
-    point is shuffled. Then the grid closes in around the best lambda, or moves outward
-    when the best lies on its edge.
+    Each pass scores a grid of lambdas for all columns at once. Then a column's grid closes in around the best
+    lambda, or moves outward when the best lies on its edge, until its step is below ``tolerance``.
     """
     if not columns:
         return {}
-    x = lambda c: F.col(c).cast("double")
-    sums = df.agg(
-        *[F.count(x(c)).alias(f"n{j}") for j, c in enumerate(columns)],
-        *[F.sum(F.signum(x(c)) * F.log1p(F.abs(x(c)))).alias(f"l{j}") for j, c in enumerate(columns)],
+    numbers = df.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)])
+    x = [F.col(f"x{j}") for j in range(len(columns))]
+    sums = numbers.agg(
+        *[F.count(c).alias(f"n{j}") for j, c in enumerate(x)],
+        *[F.sum(F.signum(c) * F.log1p(F.abs(c))).alias(f"l{j}") for j, c in enumerate(x)],
     ).first()
-    spans = dict.fromkeys(range(len(columns)), (lo, hi))
     best = dict.fromkeys(columns, 1.0)
-    values = F.array(*[F.struct(F.lit(j).alias("j"), x(c).alias("x")) for j, c in enumerate(columns)])
-    long = df.select(F.inline(values)).where(F.col("x").isNotNull())
-    spread = long.select("j", "x", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    for _ in range(rounds):
-        steps = {j: (b - a) / (points - 1) for j, (a, b) in spans.items()}
-        start = F.element_at(F.array(*[F.lit(spans[j][0]) for j in spans]), F.col("j") + 1)
-        step = F.element_at(F.array(*[F.lit(steps[j]) for j in spans]), F.col("j") + 1)
-        at_lambda = spread.select("j", "i", "x", (start + F.col("i") * step).alias("lam"))
-        shaped = at_lambda.select("j", "i", N.yeo_johnson(F.col("x"), F.col("lam")).alias("y"))
-        rows = shaped.groupBy("j", "i").agg(F.var_pop("y").alias("v")).collect()
-        variance = {(r["j"], r["i"]): r["v"] for r in rows}
-        for j, c in enumerate(columns):
+    spans = {j: (lo, hi) for j in range(len(columns)) if sums[f"n{j}"]}
+    while spans:
+        order = list(spans)
+        grid = np.array([np.linspace(*spans[j], points) for j in order])
+        variance = _moments_on_grid(numbers.select(*[f"x{j}" for j in order]), grid)
+        for k, j in enumerate(order):
             n, logs = sums[f"n{j}"], sums[f"l{j}"]
             scores = []
-            for i in range(points):
-                var = variance.get((j, i))
+            for i, at in enumerate(grid[k]):
+                var = variance.get((k, i))
                 usable = var is not None and math.isfinite(var) and var > _TINY
-                at = spans[j][0] + i * steps[j]
                 scores.append(-n / 2 * math.log(var) + (at - 1) * logs if usable else -math.inf)
             i = max(range(points), key=scores.__getitem__)
-            if scores[i] == -math.inf:
+            a, b = spans[j]
+            step = (b - a) / (points - 1)
+            if scores[i] == -math.inf or step < tolerance:
+                best[columns[j]] = 1.0 if scores[i] == -math.inf else float(grid[k, i])
+                del spans[j]
                 continue
-            best[c] = spans[j][0] + i * steps[j]
-            reach = (spans[j][1] - spans[j][0]) / 2 if i in (0, points - 1) else steps[j]
-            spans[j] = (best[c] - reach, best[c] + reach)
+            best[columns[j]] = float(grid[k, i])
+            reach = (b - a) / 2 if i in (0, points - 1) and abs(grid[k, i]) < _FARTHEST else step
+            spans[j] = (best[columns[j]] - reach, best[columns[j]] + reach)
     return best
 
 
@@ -196,7 +244,7 @@ SCALERS = {"standard": standard_state, "minmax": minmax_state, "robust": robust_
 def scale_state(df: DataFrame, kind: str, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Shift and divisor per column for the named scaler."""
     if kind not in SCALERS:
-        raise ValueError(f"scaling must be 'standard', 'minmax', or 'robust', got {kind!r}.")
+        raise ValueError(f"no scaler named {kind!r}; there are {', '.join(SCALERS)}")
     return SCALERS[kind](df, columns)
 
 

@@ -29,18 +29,19 @@ class FeatureEngineer(OptionsEstimator):
 
     The order is selection, conversion, tidy text, capping, encoding, Yeo-Johnson on columns
     with absolute skewness above 1, scaling. The scaler sees what the steps before it produce.
+    ``max_levels`` refuses to encode columns with more distinct values.
     """
 
     defaults = {
         "selected": None, "scaling": None, "scale_only": "numeric", "scale_features": True,
         "encoder": None, "encode": None, "encode_categories": True, "convert": None,
-        "cap_outliers": False, "handle_skewness": True, "verbose": True,
+        "cap_outliers": False, "handle_skewness": True, "verbose": True, "max_levels": None,
     }
 
     def _check(self) -> None:
         wants = self.opt("encode_categories") and self.opt("encode") and self.opt("encoder")
         if wants and self.opt("encoder") not in ENCODERS:
-            raise ValueError("encoder must be 'ohe' or 'le'.")
+            raise ValueError(f"no encoder named {self.opt('encoder')!r}; there are {', '.join(ENCODERS)}")
         if self.opt("scale_features") and self.opt("scaling"):
             if self.opt("scaling") not in L.SCALERS:
                 raise ValueError(f"scaling must be one of {list(L.SCALERS)}.")
@@ -59,7 +60,7 @@ class FeatureEngineer(OptionsEstimator):
             work = L.cap(work, state["bounds"])
         encode = S.present(work, self.opt("encode") or [])
         if self.opt("encode_categories") and encode and self.opt("encoder"):
-            state["levels"] = L.sorted_levels(base, encode)
+            state["levels"] = L.sorted_levels(base, encode, self.opt("max_levels"))
             work = _encode(work, self.opt("encoder"), state["levels"])
         numeric = S.numeric_columns(work, S.NUMERIC)
         if self.opt("handle_skewness") and numeric:

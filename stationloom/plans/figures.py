@@ -36,9 +36,8 @@ def distributions(
     out: dict[str, DataFrame] = {}
     if plot_numeric:
         columns = numeric or S.numeric_columns(df, S.NUMERIC)
-        tagged = lambda f, c: f(df, c).withColumn("column", F.lit(c))
-        out["histogram"] = R.union_all(*[tagged(A.histogram, c) for c in columns])
-        out["density"] = R.union_all(*[tagged(A.kde_curve, c) for c in columns])
+        out["histogram"] = A.histograms(df, columns)
+        out["density"] = A.kde_curves(df, columns)
         out["box"] = A.box_table(df, {c: F.col(c) for c in columns})
     if plot_categorical:
         out["categories"] = A.category_counts(df, categorical)

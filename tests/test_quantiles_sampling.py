@@ -87,7 +87,7 @@ def test_training_split_guards(spark):
     train, test, hand = SP.split_for_training(df, hand_labels=here)
     assert [r["row_id"] for r in hand.collect()] == [3]
     assert train.count() + test.count() == 44
-    with pytest.raises(ValueError, match="No labeled data"):
+    with pytest.raises(ValueError, match="none is left"):
         SP.split_for_training(df, hand_labels=df.select("lat", "lon"))
 
 
