@@ -67,9 +67,12 @@ class StationCleaner(OptionsEstimator):
 
     ``imputer`` is ``None`` (chained Bayesian ridge), ``mean``, ``rf``, ``lgbm`` or ``cboost``.
     ``gate_mode`` is ``any`` or ``all``. ``impute=False`` leaves gaps as they are.
-    ``refit_on_transform`` learns the chained imputation on each frame it is applied to.
+    ``refit_on_transform`` learns the chained imputation on each frame it is applied to. With ``show_duplicates``,
+    fitting leaves all rows of repeated coordinates in ``duplicates``, a DataFrame.
     """
 
+    duplicates: DataFrame | None = None
+
     defaults = {
         "gate": S.GATE, "gate_mode": "any", "imputer": None, "impute": True, "show_duplicates": False,
         "verbose": True, "sentinels_first": False, "refit_on_transform": False, "chain_rounds": 10,
@@ -91,7 +94,7 @@ class StationCleaner(OptionsEstimator):
 
     def _report(self, df: DataFrame) -> None:
         if self.opt("show_duplicates"):
-            R.duplicate_rows(df).show(truncate=False)
+            self.duplicates = R.duplicate_rows(df)
 
     def _fit(self, df: DataFrame) -> StationCleanerModel:
         return self.fit_transform(df, keep=False)[0]
@@ -101,10 +104,8 @@ class StationCleaner(OptionsEstimator):
         self._report(df)
         clean = self._structural(df).persist(StorageLevel.MEMORY_AND_DISK)
         model = self._learn(clean)
-        if keep:
-            return model, model.impute(clean)
         clean.unpersist()
-        return model, None
+        return model, model.impute(clean) if keep else None
 
 
 def _learn_numeric(source, clean: DataFrame, state: dict):

@@ -14,20 +14,25 @@ from stationloom.plans.state import read_json, write_json
 MODELS = ("kmeans", "gmm")
 PCA_VARIANCE = 0.97
 SEED = 42
+OPTIONS = {"n_init", "max_iter", "tol", "init", "random_state", "covariance_type"}
 
 
 class StationClusterer:
     """k-means or Gaussian mixture, optionally on principal components.
 
-    ``n_init`` restarts keep the best fit. For the mixture, ``max_iter`` bounds the rounds and
-    only full covariances are available.
+    ``n_init`` restarts keep the best fit. ``max_iter`` (300 for k-means, 100 for the mixture) and ``tol``
+    (1e-4 and 1e-3) end a fit, ``init="random"`` starts k-means from random points, ``random_state`` is the
+    seed. Mixtures have full covariances only. Anything else is refused.
     """
 
     def __init__(self, model_type: str = "kmeans", num_clusters: int = 3, use_pca: bool = False, **kwargs):
         if model_type.lower() not in MODELS:
-            raise ValueError(f"model_type must be one of {list(MODELS)}. Got {model_type!r}.")
+            raise ValueError(f"no clustering named {model_type!r}; there are {', '.join(MODELS)}")
         if num_clusters < 2:
-            raise ValueError("num_clusters must be at least 2.")
+            raise ValueError(f"a clustering needs two groups or more, not {num_clusters}")
+        unknown = sorted(set(kwargs) - OPTIONS)
+        if unknown:
+            raise TypeError(f"no such clustering option: {', '.join(unknown)}")
         if kwargs.get("covariance_type", "full") != "full":
             raise ValueError("only covariance_type='full' is available")
         self.model_type, self.num_clusters, self.use_pca, self.kwargs = model_type.lower(), num_clusters, use_pca, kwargs
@@ -46,10 +51,12 @@ class StationClusterer:
     def _candidate(self, seed: int):
         if self.model_type == "kmeans":
             start = "random" if self.kwargs.get("init") == "random" else "k-means||"
-            return KMeans(k=self.num_clusters, seed=seed, initMode=start, featuresCol="x", predictionCol="cluster")
+            return KMeans(
+                k=self.num_clusters, seed=seed, initMode=start, maxIter=self.kwargs.get("max_iter", 300),
+                tol=self.kwargs.get("tol", 1e-4), featuresCol="x", predictionCol="cluster")
         return GaussianMixture(
-            k=self.num_clusters, seed=seed, maxIter=self.kwargs.get("max_iter", 100), featuresCol="x",
-            predictionCol="cluster", probabilityCol="cluster_probability")
+            k=self.num_clusters, seed=seed, maxIter=self.kwargs.get("max_iter", 100), tol=self.kwargs.get("tol", 1e-3),
+            featuresCol="x", predictionCol="cluster", probabilityCol="cluster_probability")
 
     def fit(self, df: DataFrame, features: list[str] | None = None) -> StationClusterer:
         """Fit on the given features, by default every column that is no identifier or label."""
@@ -60,7 +67,8 @@ class StationClusterer:
         vectors = self._vectors(df.select(*self.features)).select("x").persist()
         n_init = self.kwargs.get("n_init", 1)
         restarts = n_init if isinstance(n_init, int) else 1
-        fits = [self._candidate(SEED + i).fit(vectors) for i in range(restarts)]
+        seed = self.kwargs.get("random_state", SEED)
+        fits = [self._candidate(seed + i).fit(vectors) for i in range(restarts)]
         better = (lambda m: -m.summary.trainingCost) if self.model_type == "kmeans" else (lambda m: m.summary.logLikelihood)
         self.model = max(fits, key=better)
         vectors.unpersist()

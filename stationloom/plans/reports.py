@@ -22,8 +22,12 @@ PRED = "type_of_area_pred"
 
 
 def clustering_metrics(df: DataFrame, clusterer: StationClusterer, target: str | None = None,
-                       mode: str = "exact") -> DataFrame:
-    """Silhouette of the clustering, with agreement scores when a label is given."""
+                       mode: str = "squared") -> DataFrame:
+    """Silhouette of the clustering, with agreement scores when a label is given.
+
+    The silhouette is the one on squared distances, whose cost is linear; ``mode="exact"`` compares every
+    point with every other on Euclidean ones.
+    """
     grouped = clusterer.transform(R.with_stable_row_id(df)).persist(StorageLevel.MEMORY_AND_DISK)
     if mode == "exact":
         values = grouped.withColumn("__values", vector_to_array("x"))

@@ -48,7 +48,7 @@ class BatchScorer:
                  output_format: str = "dataframe", verbose: bool = True,
                  fetch: Callable[[list[str]], DataFrame] | None = None):
         if output_format not in FORMATS:
-            raise ValueError("output_format must be 'dataframe' or 'dicts'.")
+            raise ValueError(f"no output format named {output_format!r}; there are {', '.join(FORMATS)}")
         self.spark, self.models_dir, self.best_model = spark, models_dir, best_model
         self.output_format, self.verbose, self.fetch = output_format, verbose, fetch
         for part in (CLEANER, FEATURES):
@@ -60,7 +60,7 @@ class BatchScorer:
         if not members:
             raise FileNotFoundError(f"No classifiers found in '{models_dir}'.")
         if best_model is not None and best_model not in [*members, "voting"]:
-            raise ValueError(f"best_model={best_model!r} is not among loaded models or 'voting': {members}")
+            raise ValueError(f"{best_model!r} is neither 'voting' nor stored in {models_dir}, which has {', '.join(members)}")
         self.classifier = StationClassifier.load(f"{models_dir}/{CLASSIFIERS}", members)
 
     def __repr__(self) -> str:
@@ -80,7 +80,7 @@ class BatchScorer:
         """
         form = output_format or self.output_format
         if form not in FORMATS:
-            raise ValueError("output_format must be 'dataframe' or 'dicts'.")
+            raise ValueError(f"no output format named {form!r}; there are {', '.join(FORMATS)}")
         raw = inputs.normalise(self.spark, data, self.fetch)
         members = list(self.classifier.members)
         wanted = output_columns(members, self.best_model)
