@@ -22,20 +22,31 @@ CODED_CATEGORIES = [
 ]
 CATEGORICAL = ["area_code", "timezone", TARGET, *CODED_CATEGORIES]
 
-_TOPOGRAPHY = [
+NUMERIC = [
+    "altitude",
     "mean_topography_srtm_alt_90m_year1994",
     "mean_topography_srtm_alt_1km_year1994",
     "max_topography_srtm_relative_alt_5km_year1994",
     "min_topography_srtm_relative_alt_5km_year1994",
     "stddev_topography_srtm_relative_alt_5km_year1994",
-]
-_NIGHTLIGHTS = [
+    "distance_to_major_road_year2020",
     "mean_stable_nightlights_1km_year2013",
     "mean_stable_nightlights_5km_year2013",
     "max_stable_nightlights_25km_year2013",
     "max_stable_nightlights_25km_year1992",
+    "mean_population_density_250m_year2015",
+    "mean_population_density_5km_year2015",
+    "max_population_density_25km_year2015",
+    "mean_population_density_250m_year1990",
+    "mean_population_density_5km_year1990",
+    "max_population_density_25km_year1990",
+    "mean_nox_emissions_10km_year2015",
+    "mean_nox_emissions_10km_year2000",
 ]
-_POPULATION = [
+GATE = [
+    "mean_stable_nightlights_5km_year2013",
+    "max_stable_nightlights_25km_year2013",
+    "max_stable_nightlights_25km_year1992",
     "mean_population_density_250m_year2015",
     "mean_population_density_5km_year2015",
     "max_population_density_25km_year2015",
@@ -43,17 +54,36 @@ _POPULATION = [
     "mean_population_density_5km_year1990",
     "max_population_density_25km_year1990",
 ]
-_EMISSIONS = [
+METADATA_FIELDS = [
+    "htap_region_tier1_year2010",
+    "dominant_landcover_year2012",
+    "landcover_description_25km_year2012",
+    "dominant_ecoregion_year2017",
+    "ecoregion_description_25km_year2017",
+    "climatic_zone_year2016",
+    "distance_to_major_road_year2020",
+    "mean_stable_nightlights_1km_year2013",
+    "mean_stable_nightlights_5km_year2013",
+    "max_stable_nightlights_25km_year2013",
+    "max_stable_nightlights_25km_year1992",
+    "mean_population_density_250m_year2015",
+    "mean_population_density_5km_year2015",
+    "max_population_density_25km_year2015",
+    "mean_population_density_250m_year1990",
+    "mean_population_density_5km_year1990",
+    "max_population_density_25km_year1990",
     "mean_nox_emissions_10km_year2015",
     "mean_nox_emissions_10km_year2000",
+    "mean_topography_srtm_alt_90m_year1994",
+    "mean_topography_srtm_alt_1km_year1994",
+    "max_topography_srtm_relative_alt_5km_year1994",
+    "min_topography_srtm_relative_alt_5km_year1994",
+    "stddev_topography_srtm_relative_alt_5km_year1994",
 ]
 ROAD = "distance_to_major_road_year2020"
 LANDCOVER = "dominant_landcover_year2012"
 SRTM_90M = "mean_topography_srtm_alt_90m_year1994"
-
-NUMERIC = ["altitude", *_TOPOGRAPHY, ROAD, *_NIGHTLIGHTS, *_POPULATION, *_EMISSIONS]
-GATE = [*_NIGHTLIGHTS[1:], *_POPULATION]
-METADATA_FIELDS = [*CODED_CATEGORIES, *[c for c in NUMERIC if c != "altitude"]]
+LABEL_COLUMNS = [TARGET, "type_of_area_source", "type_of_area_toar", "type_of_area_gmap", "type_of_area_pred"]
 
 SENTINELS = [-999.0, -9999.0]
 ALTITUDE_SENTINEL = 9999.0
@@ -117,5 +147,5 @@ def string_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
 
 
 def feature_columns(df: DataFrame) -> list[str]:
-    """Columns that are neither identity nor a label; every ``type_of_area...`` column is a label."""
-    return [c for c in df.columns if c not in (ROW_ID, *ID_COLUMNS) and not c.startswith(TARGET)]
+    """Columns that are neither identity nor one of the known label columns."""
+    return [c for c in df.columns if c not in (ROW_ID, *ID_COLUMNS, *LABEL_COLUMNS)]
