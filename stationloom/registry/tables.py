@@ -427,9 +427,9 @@ def _tree_chain(kind, **params):
     return run
 
 
-query("l4_chained_forest", _KEPT_VALUES)(_tree_chain("rf", numTrees=10, maxDepth=5))
-query("l5_chained_boosting_lgbm", _KEPT_VALUES)(_tree_chain("lgbm", maxIter=3, maxDepth=3))
-query("l5_chained_boosting_cboost", _KEPT_VALUES)(_tree_chain("cboost", maxIter=3, maxDepth=3))
+query("l4_chained_forest", _KEPT_VALUES)(_tree_chain("rf"))
+query("l5_chained_boosting_lgbm", _KEPT_VALUES)(_tree_chain("lgbm"))
+query("l5_chained_boosting_cboost", _KEPT_VALUES)(_tree_chain("cboost"))
 
 
 # -- E: metrics ---------------------------------------------------------------------------
