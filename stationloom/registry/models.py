@@ -26,7 +26,7 @@ from stationloom.plans.refresh import refresh
 from stationloom.registry.base import NUMERIC_HERE, over_clean, query
 from stationloom.registry.rows import MEMBERS, clean, species
 from stationloom.registry.tables import (
-    _CM, _DISTRIBUTION, _SPLIT_CTES, _box_sql, _corr_sql, _parts, report_sql, rounded,
+    _CM, _DISTRIBUTION, _SPLIT_CTES, _box_sql, _corr_sql, _parts, report_parts, report_sql, rounded,
 )
 from stationloom.session import scratch_path
 from stationloom.sources import csv_files
@@ -439,7 +439,11 @@ def t1(spark, d):
     return RP.feature_importance(model, df, "lgbm")
 
 
-@query("e9_classifier_report")
+_E9_BODY, _E9_STEPS = report_parts("type_of_area", "learnt", "scored", by="model")
+
+
+@query("e9_classifier_report", over_kept(_E9_BODY, scored="""
+SELECT model, type_of_area, learnt FROM kept, (VALUES ('rf'), ('lgbm')) m(model) WHERE type_of_area <> 'unknown'""", **_E9_STEPS))
 def e9(spark, d):
     df, model = classifier(spark, d, ["rf", "lgbm"])
     return RP.classifier_report(R.split_labelled(df)[0], model)["report"]

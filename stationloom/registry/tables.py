@@ -480,11 +480,17 @@ UNION ALL SELECT {b}'weighted avg', round(sum(prec * support) / sum(support), 4)
   round(sum(f * support) / sum(support), 4), sum(support) FROM sc {g}"""
 
 
-def report_sql(y, p, t, *blocks, by=None):
-    """Classification report as SQL."""
+def report_parts(y, p, t, by=None):
+    """Classification report as SQL: its body, and the named steps in front of it."""
     fill = {"by": f"{by}, " if by else "", "b": f"{by}, " if by else "", "on": f"USING ({by})" if by else "ON TRUE",
             "g": f"GROUP BY {by}" if by else "", "y": y, "p": p, "t": t}
-    return with_blocks(REPORT_BODY.format(**fill), *blocks, **{k: v.format(**fill) for k, v in REPORT.items()})
+    return REPORT_BODY.format(**fill), {k: v.format(**fill) for k, v in REPORT.items()}
+
+
+def report_sql(y, p, t, *blocks, by=None):
+    """Classification report as one SQL text."""
+    body, steps = report_parts(y, p, t, by)
+    return with_blocks(body, *blocks, **steps)
 
 
 @query("e3_classification_report", report_sql("type_of_area", "pred_catboost", "model_votes", VOTES))
