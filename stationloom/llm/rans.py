@@ -20,7 +20,7 @@ import numpy as np
 
 #: Frequencies add up to 2^PRECISION. States stay within [LOW, LOW * 2^32).
 PRECISION, LOW = 20, 1 << 31
-LANES, CHECKPOINT_STEPS = 256, 256
+LANES, CHECKPOINT_STEPS = 1024, 128
 _HEAD = struct.Struct("<4sIIIII")
 _MAGIC = b"SLR1"
 

@@ -13,6 +13,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ BLOCK_IDS = 1 << 18
 #: Ids of a file, about: at most the first unless there would be more than FILES, then at most the second.
 FILE_IDS, LARGE_FILE_IDS, FILES = 8 << 20, 256 << 20, 10_000
 #: Pieces between blanks that a task remembers before it starts afresh.
-REMEMBERED = 600_000
-_BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
+REMEMBERED = 1_200_000
+_BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+_BLANKS_AND_CASE = bytes(32 if b in b"\t\n\r\x0b\x0c" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SIGNS, _ALNUM = b".,;:!?*&%$#|()", b"abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 @lru_cache(maxsize=2)
@@ -43,50 +46,76 @@ def _tokenizer(file: str):
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes; made once per task.
+    """Ids of texts as little-endian bytes; a Python worker keeps it over its tasks.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its pieces between
-    blanks, and each distinct piece is encoded once. ``splits_at_blanks`` tests this for a tokenizer.
+    The tokenizer drops white space, lower-cases, and no token spans white space, so a text's ids are those of
+    its lower-cased pieces between blanks, and each distinct piece is encoded once. A run of signs behind a
+    letter or digit is a pre-token of its own, so a piece that ends with one is put together from two.
+    ``splits_at_blanks`` tests all this for a tokenizer. Texts with a special token's first signs stay in their case.
     """
 
     def __init__(self, file: str):
+        if not splits_at_blanks(file):
+            raise ValueError("this tokenizer doesn't treat blanks, case and signs as this encoder needs")
         self.tokenizer = _tokenizer(file)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {"": b""}
-        if not splits_at_blanks(file):
-            raise ValueError("this tokenizer has tokens that span blanks")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        ids = [e.ids for e in encoded]
+        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        width, at = np.dtype(self.kind).itemsize, 0
+        for p, own in zip(pieces, ids, strict=True):
+            end = at + width * len(own)
+            self.known[p] = flat[at:end]
+            at = end
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        cut = [t.translate(_BLANKS).split(" ") for t in texts]
-        rest = list({p for pieces in cut for p in pieces}.difference(self.known))
-        for a in range(0, len(rest), 20_000):
-            part = rest[a : a + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, encoded, strict=True))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            self.known = {b"": b""}
+        known = self.known
+        cut = [t.translate(_BLANKS if b"<|" in t else _BLANKS_AND_CASE).split(b" ") for t in texts]
+        rest = set(chain.from_iterable(cut)).difference(known)
+        stems = {p: stem for p in rest if (stem := p.rstrip(_SIGNS)) != p and stem and stem[-1:] in _ALNUM}
+        new = (rest.difference(stems) | set(stems.values()) | {p[len(stem):] for p, stem in stems.items()}).difference(known)
+        new = list(new)
+        for a in range(0, len(new), 20_000):
+            self._learn(new[a : a + 20_000])
+        for p, stem in stems.items():
+            known[p] = known[stem] + known[p[len(stem):]]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 @lru_cache(maxsize=2)
 def splits_at_blanks(file: str) -> bool:
-    """Whether white space is dropped and separates, on texts that join letters, marks, digits and signs by it."""
+    """Whether white space is dropped and separates, case doesn't matter, and signs behind letters and digits stand
+    alone, on texts that join letters, marks, digits and signs."""
     t = _tokenizer(file)
     kinds = ["a", "Zb", "é", "e", "́", "7", "12", "'s", "'", ".", "!?", "中", "İ", "\U0001f642", "<|endoftext|>", "|>", "Σ", "σΣ", "​"]
 
     def ids(text: str) -> list[int]:
         return t.encode(text, add_special_tokens=False).ids
 
-    return all(ids(f"{a}{blank}{b}") == ids(a) + ids(b) for a in kinds for b in kinds for blank in (" ", "\n", "\t ", "\r\n", "\x0b", "\x0c"))
+    blanks = all(ids(f"{a}{blank}{b}") == ids(a) + ids(b) for a in kinds for b in kinds for blank in (" ", "\n", "\t ", "\r\n", "\x0b", "\x0c"))
+    stems = ["a", "it's", "é7", "don't", "x.y", "a'd", "中z", "12", "abc9"]
+    signs = all(ids(a + b) == ids(a) + ids(b) for a in stems for b in (".", ",***", "!?|", "%)", "&&&", "((#$;:"))
+    case = all(ids(x) == ids("".join(c.lower() if c.isascii() else c for c in x)) for x in ("AbC", "I'LL", "I\u0307X", "A\u030a", "ÀB", "ΣAΣ", "İI"))
+    return blanks and signs and case
+
+
+@lru_cache(maxsize=2)
+def _encoder(file: str) -> Encoder:
+    return Encoder(file)
 
 
 def _tokenised(docs: DataFrame, file: str, end_id: int, id_column: str, text_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        encoder = _encoder(file)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             for part in text_slices(batch):
-                ids = [b + end for b in encoder.encode(part.column("text").to_pylist())]
+                ids = [b + end for b in encoder.encode(part.column("text").cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"))
@@ -98,11 +127,12 @@ def _counted(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[: len(own)] += own
+            ids = batch.column(0)
+            offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            own = np.bincount(np.frombuffer(ids.buffers()[2], kind, (offsets[-1] - offsets[0]) // np.dtype(kind).itemsize, int(offsets[0])))
+            if len(own) > len(total):
+                total = np.pad(total, (0, len(own) - len(total)))
+            total[: len(own)] += own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
