@@ -31,12 +31,15 @@ from stationloom.llm.text import (
     window_hashes,
     word_spans,
 )
+from stationloom.llm.url_filter import Cascade, filter_level
 from stationloom.session import checkpointed
 
 SHINGLE, SIMILARITY, LEAST_WORDS, ANCHOR_WINDOW = 5, 0.8, 30, 20
 #: At similarity 0.8, bands of so many rows miss 3 pairs in 1000; at 0.9, 3 in 100,000.
 BANDS, BAND_ROWS = 8, 3
 BLOCK_ROWS = 512
+#: A filter of wanted keys is broadcast if it takes no more than so many bytes; it lets about 1 other key in 100 pass.
+FILTER_BYTES, FILTER_RATE = 64 << 20, 0.01
 _NO_ID = -(1 << 63)
 
 
@@ -101,36 +104,64 @@ class _Part:
         return out.view(np.int64)
 
 
-def _mapped(docs: DataFrame, give: Callable[[_Part, pa.RecordBatch], list[pa.Array] | None], names: list[str], schema: str) -> DataFrame:
+Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray] | None
+
+
+def key_filter(keys: DataFrame):
+    """A Bloom filter of ``k1, k2``, broadcast, or ``None`` where it would be too large.
+
+    It only spares rows that a join drops anyway, so results don't depend on it.
+    """
+    keys = keys.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"))
+    try:
+        level = filter_level(keys, max(1, keys.count()), FILTER_RATE, 0, FILTER_BYTES)
+    except MemoryError:
+        return None
+    return keys.sparkSession.sparkContext.broadcast(Cascade([level]))
+
+
+def _mapped(docs: DataFrame, give: Callable[[_Part, pa.RecordBatch, Wanted], list[pa.Array] | None], names: list[str], schema: str,
+            only=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else lambda k1, k2: only.value.passes(k1, k2, 0)
         for batch in batches:
             for part in text_slices(batch):
-                columns = give(_Part(part.column("text")), part)
+                columns = give(_Part(part.column("text")), part, wanted)
                 if columns:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _stretches(part: _Part, batch: pa.RecordBatch) -> list[pa.Array] | None:
-    return _placed(part, batch, at := part.anchors(), at + LEAST_WORDS)
+def _stretches(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+    return _placed(part, batch, at := part.anchors(), at + LEAST_WORDS, wanted)
 
 
-def _lines(part: _Part, batch: pa.RecordBatch) -> list[pa.Array] | None:
-    return _placed(part, batch, *part.lines())
+def _lines(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+    return _placed(part, batch, *part.lines(), wanted)
 
 
-def _placed(part: _Part, batch: pa.RecordBatch, first: np.ndarray, stop: np.ndarray) -> list[pa.Array] | None:
+def _stretch_keys(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+    """Keys and ids only."""
+    if not len(at := part.anchors()):
+        return None
+    return [*map(pa.array, part.keys(at, at + LEAST_WORDS)), batch.column("doc_id").take(pa.array(part.text_of(at)))]
+
+
+def _placed(part: _Part, batch: pa.RecordBatch, first: np.ndarray, stop: np.ndarray, wanted: Wanted) -> list[pa.Array] | None:
     """Keys and places; words are counted within their text."""
     if not len(first):
         return None
-    text = part.text_of(first)
     k1, k2 = part.keys(first, stop)
+    if wanted:
+        hit = wanted(k1, k2)
+        first, stop, k1, k2 = first[hit], stop[hit], k1[hit], k2[hit]
+    text = part.text_of(first)
     return [pa.array(k1), pa.array(k2), batch.column("doc_id").take(pa.array(text)), batch.column("row").take(pa.array(text)),
             pa.array(first - part.before[text]), pa.array(stop - part.before[text])]
 
 
-def _banded(part: _Part, batch: pa.RecordBatch) -> list[pa.Array] | None:
+def _banded(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
     first, stop = part.lines()
     if not len(first):
         return None
@@ -139,12 +170,16 @@ def _banded(part: _Part, batch: pa.RecordBatch) -> list[pa.Array] | None:
     return [*map(pa.array, part.keys(first, stop)), batch.column("doc_id").take(pa.array(part.text_of(first))), lists]
 
 
-def _line_words(part: _Part, batch: pa.RecordBatch) -> list[pa.Array] | None:
+def _line_words(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
     first, stop = part.lines()
     if not len(first):
         return None
+    k1, k2 = part.keys(first, stop)
+    if wanted:
+        hit = wanted(k1, k2)
+        first, stop, k1, k2 = first[hit], stop[hit], k1[hit], k2[hit]
     words = [b" ".join(part.data[a:b].tobytes() for a, b in zip(part.starts[i:j], part.ends[i:j], strict=True)) for i, j in zip(first, stop, strict=True)]
-    return [*map(pa.array, part.keys(first, stop)), pa.array(words, pa.binary())]
+    return [pa.array(k1), pa.array(k2), pa.array(words, pa.binary())]
 
 
 def _shingle_set(words: bytes) -> set[tuple[bytes, ...]]:
@@ -187,8 +222,8 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = checkpointed(nodes.withColumn("node", node))
     buckets = in_blocks(nodes.select("k1", "k2", "node", F.explode("bands").alias("bucket")), "bucket", "node", BLOCK_ROWS)
     buckets = checkpointed(buckets)
-    wanted = buckets.select("k1", "k2").distinct()
-    words = _mapped(docs, _line_words, ["k1", "k2", "words"], "k1 long, k2 long, words binary")
+    wanted = checkpointed(buckets.select("k1", "k2").distinct())
+    words = _mapped(docs, _line_words, ["k1", "k2", "words"], "k1 long, k2 long, words binary", key_filter(wanted))
     words = words.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     dealt = buckets.join(words, ["k1", "k2"]).select("bucket", "_i", "_j", "node", "words")
     return nodes, compare_groups(dealt, "bucket", _compare, "a string, b string")
@@ -207,16 +242,19 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     rows = rows.withColumn("row", F.xxhash64("text"))
     names = ["k1", "k2", "doc_id", "row", "first", "stop"]
     schema = "k1 long, k2 long, doc_id long, row long, first long, stop long"
-    stretches = _mapped(rows.select("doc_id", "row", "text"), _stretches, names, schema)
-    shared = stretches.groupBy("k1", "k2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_high")).filter("keep < _high")
-    found = stretches.join(shared.drop("_high"), ["k1", "k2"])
+    rows = rows.select("doc_id", "row", "text")
+    keys = _mapped(rows, _stretch_keys, ["k1", "k2", "doc_id"], "k1 long, k2 long, doc_id long")
+    shared = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_high")).filter("keep < _high")
+    # written, so that it is a plain side of the join and Spark can split a hot passage's places over several tasks
+    shared = checkpointed(shared.drop("_high"))
+    found = _mapped(rows, _stretches, names, schema, key_filter(shared)).join(shared, ["k1", "k2"])
 
     nodes, links = line_links(rows.select("doc_id", "text"))
     linked = components(links)
     nodes = nodes.select("k1", "k2", "node", "low", "high").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     clusters = nodes.groupBy("component").agg(F.min("low").alias("keep"), F.max("high").alias("_high")).filter("keep < _high")
-    clusters = nodes.join(clusters.drop("_high"), "component").select("k1", "k2", "keep")
-    lines = _mapped(rows.select("doc_id", "row", "text"), _lines, names, schema).join(clusters, ["k1", "k2"])
+    clusters = checkpointed(nodes.join(clusters.drop("_high"), "component").select("k1", "k2", "keep"))
+    lines = _mapped(rows, _lines, names, schema, key_filter(clusters)).join(clusters, ["k1", "k2"])
 
     columns = ["doc_id", "row", "first", "stop", "keep"]
     spans = found.select(*columns).unionAll(lines.select(*columns)).withColumn("kept", F.col("doc_id") == F.col("keep"))

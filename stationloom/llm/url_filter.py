@@ -80,7 +80,7 @@ class Cascade:
         return depth % 2 == 1
 
 
-def _level(keys: DataFrame, n: int, rate: float, level: int, most_bytes: int) -> tuple[np.ndarray, int, int]:
+def filter_level(keys: DataFrame, n: int, rate: float, level: int, most_bytes: int) -> tuple[np.ndarray, int, int]:
     """Set bits of a level, counted out and merged in Spark; as many words come back as the filter has."""
     hashes = max(1, round(np.log2(1 / rate)))
     bits = max(64, int(np.ceil(n * hashes / np.log(2) / 64)) * 64)
@@ -115,7 +115,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST
         # the first level pays for being small against the universe, the later ones halve what is left
         first = not cascade.levels
         rate = min(0.5, n / (m * np.sqrt(2))) if first and m else 0.5
-        cascade.levels.append(_level(mine, n, max(rate, 2.0**-40), len(cascade.levels), most_bytes))
+        cascade.levels.append(filter_level(mine, n, max(rate, 2.0**-40), len(cascade.levels), most_bytes))
         shared = universe.sparkSession.sparkContext.broadcast(cascade)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
