@@ -13,8 +13,8 @@ from stationloom import schema as S
 from stationloom.functions import voting as V
 from stationloom.operators import rows as R
 from stationloom.operators.oversampling import oversample
-from stationloom.operators.sampling import balanced_weights, class_sizes
-from stationloom.plans.members import MEMBERS, Member, filled, fit_member, translate
+from stationloom.operators.sampling import balanced_weights, class_sizes, first_of_each, ids_and_labels
+from stationloom.plans.members import HELD, MEMBERS, Member, filled, fit_member, translate
 from stationloom.plans.state import read_json, write_json
 from stationloom.session import path_exists, shared_dir
 
@@ -57,22 +57,43 @@ class StationClassifier:
         rows = rows.select(*S.present(df, [S.ROW_ID]), target, *features)
         if self.use_smote and categorical:
             log.warning("oversampling skipped, categorical columns found: %s", categorical)
-        elif self.use_smote:
-            rows = oversample(R.with_stable_row_id(rows).persist(StorageLevel.MEMORY_AND_DISK), numeric, target)
-        work = filled(rows, numeric, categorical).select(target, *features).persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = class_sizes(work, target)
-        classes = sorted(sizes)
-        # every tree level is a job over all partitions, so small ones are joined
-        rows_in_all = sum(sizes.values())
-        work, cached = work.coalesce(max(1, math.ceil(rows_in_all / TASK_ROWS))), work
         translated = {n: translate(n, self.params[n]) for n in self.names}
-        weights = balanced_weights(work, target) if any(b for _, b in translated.values()) else None
-        for name, (params, balanced) in translated.items():
-            self.members[name] = fit_member(
-                name, work, numeric, categorical, classes, weights if balanced else None, params, target)
-        cached.unpersist()
+        shares = {n: params.get("heldShare", 0) for n, (params, _) in translated.items()}
+        if any(shares.values()):
+            rows = R.with_stable_row_id(rows)
+        for share in sorted(set(shares.values())):
+            held = self._held_rows(rows, target, share) if share else F.lit(False)
+            train = rows.where(~held)
+            if self.use_smote and not categorical:
+                train = oversample(R.with_stable_row_id(train).persist(StorageLevel.MEMORY_AND_DISK), numeric, target)
+            work = filled(train, numeric, categorical).select(target, *features)
+            if share:
+                watched = filled(rows.where(held), numeric, categorical).select(target, *features)
+                work = work.withColumn(HELD, F.lit(False)).unionAll(watched.withColumn(HELD, F.lit(True)))
+            work = work.persist(StorageLevel.MEMORY_AND_DISK)
+            own = work.where(~F.col(HELD)) if share else work
+            sizes = class_sizes(own, target)
+            classes = sorted(sizes)
+            # every tree level is a job over all partitions, so small ones are joined
+            rows_in_all = sum(sizes.values())
+            weights = balanced_weights(own, target) if any(b for _, b in translated.values()) else None
+            work, cached = work.coalesce(max(1, math.ceil(rows_in_all / TASK_ROWS))), work
+            for name, (params, balanced) in translated.items():
+                if shares[name] == share:
+                    self.members[name] = fit_member(
+                        name, work, numeric, categorical, classes, weights if balanced else None, params, target)
+            cached.unpersist()
+        self.members = {n: self.members[n] for n in self.names}
         return self
 
+    @staticmethod
+    def _held_rows(rows: DataFrame, target: str, share: float):
+        """Condition for ``share`` of each class by hash of the row id, one row at least of classes with two."""
+        with ids_and_labels(rows, target) as narrow:
+            sizes = class_sizes(narrow, target)
+            quotas = {c: min(n - 1, max(1, round(n * share))) for c, n in sizes.items()}
+            return first_of_each(narrow, quotas, sizes, target)
+
     def _score(self, df: DataFrame, model: str | None) -> tuple[DataFrame, list[str]]:
         self._require_fit()
         names = list(self.members) if model is None else [model]

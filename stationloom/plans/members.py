@@ -12,7 +12,7 @@ import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
@@ -62,14 +62,18 @@ _SILENT = {
     "enable_categorical", "bootstrap_type",
 }
 _MAX_SPARK_DEPTH = 30
+#: Marks the rows that are held back from boosting.
+HELD = "__held"
 
 
 def translate(name: str, given: dict) -> tuple[dict, bool]:
     """Spark parameters for merged hyper-parameters, and whether classes are to be balanced.
 
     Depths beyond Spark's 30 raise; an unlimited one (``None`` or -1) becomes 30. ``leaf_depth=True`` bounds
-    the depth by ``num_leaves``, for members that grow by leaves elsewhere. ``early_stopping_rounds`` holds back
-    every tenth row and stops boosting once its loss no longer falls.
+    the depth by ``num_leaves``, for members that grow by leaves elsewhere. ``early_stopping_rounds`` needs rows to
+    look at, as in the libraries: it only acts with ``validation_fraction``, the share of each class that is held
+    back. Boosting then ends at the round after which that many rounds don't lower the loss of those rows by more
+    than ``validationTol`` (0 unless given).
     """
     merged = {**DEFAULTS[name], **given}
     if any(k in given for k in _ROUNDS):
@@ -95,11 +99,16 @@ def translate(name: str, given: dict) -> tuple[dict, bool]:
         elif key in ("numTrees", "maxIter", "maxBins", "minInfoGain", "checkpointInterval", "validationTol"):
             out[key] = value
         elif key == "early_stopping_rounds":
-            out["stopEarly"] = bool(value)
+            out["patience"] = int(value or 0)
+        elif key == "validation_fraction":
+            out["heldShare"] = float(value or 0)
         elif key in ("num_leaves", "leaf_depth"):
             continue
         elif key not in _SILENT:
             log.warning("%s: parameter %r has no Spark counterpart and is ignored", name, key)
+    stops = {k: out.pop(k, 0) for k in ("patience", "heldShare", "validationTol")}
+    if name != "rf" and stops["patience"] > 0 and stops["heldShare"] > 0:
+        out |= stops
     if name == "rf":
         out.setdefault("featureSubsetStrategy", "sqrt")
         out.setdefault("maxDepth", _MAX_SPARK_DEPTH)
@@ -239,22 +248,41 @@ def _bins(prep: PipelineModel, name: str, params: dict) -> dict:
     return params
 
 
+def best_round(losses: list[float], patience: int, tol: float = 0.0) -> int:
+    """Rounds to keep: up to the lowest loss that ``patience`` further rounds don't undercut by more than ``tol``."""
+    best, kept = math.inf, 0
+    for k, loss in enumerate(losses, 1):
+        if loss < best - tol:
+            best, kept = loss, k
+        elif k - kept >= patience:
+            break
+    return max(1, kept)
+
+
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` rounds."""
+    java = model._java_obj
+    make = SparkContext._active_spark_context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    cut = make(java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures(), java.numClasses())
+    return GBTClassificationModel(java.copyValues(cut, java.extractParamMap()))
+
+
 def fit_member(
     name: str, df: DataFrame, numeric: list[str], categorical: list[str], classes: list[str],
     weights: dict[str, float] | None, params: dict, target: str = S.TARGET,
 ) -> Member:
-    """Fit one member on a prepared, cached frame."""
+    """Fit one member on a prepared, cached frame; rows of a column ``HELD`` are only looked at to end boosting."""
     label = literal_map({c: float(i) for i, c in enumerate(classes)})[F.col(target)]
     work = df.withColumn("__y", label)
     extra: dict = {}
     params = dict(params)
+    patience, tol = params.pop("patience", 0), params.pop("validationTol", 0.0)
+    watched = None
+    if params.pop("heldShare", 0):
+        work, watched = work.where(~F.col(HELD)), work.where(HELD)
     summed = params.pop("summedGain", 0)
     if summed:
         params["minInfoGain"] = summed / max(1, work.count())
-    if params.pop("stopEarly", False) and name != "rf":
-        held = F.pmod(F.xxhash64(*numeric, *categorical, target), F.lit(10)) == 0
-        work = work.withColumn("__held", held)
-        extra["validationIndicatorCol"] = "__held"
     if weights is not None:
         work = work.withColumn("__w", literal_map(weights)[F.col(target)])
         extra["weightCol"] = "__w"
@@ -277,8 +305,12 @@ def fit_member(
             ready, column = prep.transform(side), f"__v{i}"
         else:
             prep, ready, column = common, vectors.withColumn("__y", is_class), "__v"
-        boosted = GBTClassifier(featuresCol=column, labelCol="__y", **_bins(prep, name, params), **extra)
-        return prep, boosted.fit(ready)
+        boosted = GBTClassifier(featuresCol=column, labelCol="__y", **_bins(prep, name, params), **extra).fit(ready)
+        if watched is not None:
+            seen = prep.transform(watched.withColumn("__y", is_class))
+            losses = boosted.evaluateEachIteration(seen)
+            boosted = first_rounds(boosted, best_round(list(losses), patience, tol))
+        return prep, boosted
 
     with ThreadPoolExecutor(max_workers=len(classes)) as pool:
         fits = list(pool.map(inheritable_thread_target(df.sparkSession)(one_side), range(len(classes))))

@@ -54,8 +54,6 @@ PARAMETERS = {
     },
 }
 # End of fixed values.
-# All boosted members stop early here, as the file asks of one of them: a thousand rounds per class are an hour.
-QUERY_PARAMETERS = {k: v if k == "rf_params" else v | {"early_stopping_rounds": 50} for k, v in PARAMETERS.items()}
 CATS = ["timezone", "climatic_zone_year2016"]
 _REGIONS_HERE = ["Africa", "America", "Asia", "Europe", "nan"]
 
@@ -78,7 +76,7 @@ def numeric_features(spark, d):
 _FITTED: dict = {}
 
 
-def members(df, names, key, smote=False, parameters=QUERY_PARAMETERS):
+def members(df, names, key, smote=False, parameters=PARAMETERS):
     """A classifier of fully sized members. Each is fitted once per session, folder and kind of features,
     and shared by the queries."""
     out = StationClassifier(names, use_smote=smote, **parameters)
@@ -90,7 +88,7 @@ def members(df, names, key, smote=False, parameters=QUERY_PARAMETERS):
     return out
 
 
-def classifier(spark, d, models=None, numeric_only=False, smote=False, parameters=QUERY_PARAMETERS):
+def classifier(spark, d, models=None, numeric_only=False, smote=False, parameters=PARAMETERS):
     df = numeric_features(spark, d) if numeric_only else features(spark, d)[1]
     return df, members(df, models, (d, numeric_only), smote, parameters)
 
@@ -373,7 +371,6 @@ SELECT learnt AS pred_xgb, count(*) AS n, true AS later_trees_split FROM kept GR
 def m9(spark, d):
     # The file's own blocks; the summed-loss parameter among them must not keep later trees from splitting.
     blocks = load_parameters(spark, parameter_file(spark, PARAMETERS))
-    blocks["xgb_params"] |= {"early_stopping_rounds": 50}
     df, model = classifier(spark, d, ["xgb"], parameters=blocks)
     split = all(m.trees[min(5, len(m.trees) - 1)].numNodes > 1 for m in model.members["xgb"].models)
     return model.predict(df, "xgb").groupBy("pred_xgb").agg(F.count("*").alias("n")).withColumn("later_trees_split", F.lit(split))
@@ -422,7 +419,7 @@ def s17(spark, d):
 
 @query("s19_parameter_file", over_kept("SELECT row_id, learnt AS pred_rf, learnt AS pred_lgbm FROM kept"))
 def s19(spark, d):
-    blocks = load_parameters(spark, parameter_file(spark, QUERY_PARAMETERS))
+    blocks = load_parameters(spark, parameter_file(spark, PARAMETERS))
     df, model = classifier(spark, d, ["rf", "lgbm"], parameters=blocks)
     return model.predict(df).select(S.ROW_ID, "pred_rf", "pred_lgbm")
 

@@ -9,7 +9,7 @@ from stationloom.operators.silhouette import exact_silhouette
 from stationloom.plans import reports as RP
 from stationloom.plans.classification import StationClassifier
 from stationloom.plans.clustering import StationClusterer
-from stationloom.plans.members import translate
+from stationloom.plans.members import best_round, translate
 
 SMALL = {
     "rf_params": {"n_estimators": 5, "max_depth": 4, "class_weight": "balanced"},
@@ -203,3 +203,25 @@ def test_hyper_parameters_are_merged_and_translated():
         translate("rf", {"max_depth": 31})
     params, _ = translate("xgb", {"gamma": 0.2, "colsample_bytree": 0.8})
     assert "minInfoGain" not in params and params["summedGain"] == 0.2 and params["featureSubsetStrategy"] == "0.8" and params["maxIter"] == 500
+
+
+def test_boosting_stops_early_only_on_held_rows_and_with_patience(stations):
+    assert best_round([5, 4, 4.5, 4.5, 3, 3.1, 3.2, 3.3], 3) == 5 and best_round([5, 4, 4.5, 4.5, 3], 2) == 2
+    assert best_round([5, 4.9, 4.8, 4.7], 2, 0.5) == 1 and best_round([3, 2, 1], 2) == 3
+    given = {"n_estimators": 12, "max_depth": 3, "learning_rate": 0.9, "early_stopping_rounds": 2}
+    whole = StationClassifier(["xgb"], use_smote=False, xgb_params=given).fit(stations)
+    assert [m.getNumTrees for m in whole.members["xgb"].models] == [12, 12, 12]
+    held = given | {"validation_fraction": 0.2, "validationTol": 100.0}
+    cut = StationClassifier(["xgb"], use_smote=False, xgb_params=held).fit(stations)
+    assert [m.getNumTrees for m in cut.members["xgb"].models] == [1, 1, 1]
+    assert cut.predict(stations, "xgb").where("pred_xgb is null").count() == 0
+
+
+def test_the_queries_train_the_rounds_of_the_file():
+    from stationloom.registry import models
+
+    defaults = models.members.__defaults__ + models.classifier.__defaults__
+    assert sum(d is models.PARAMETERS for d in defaults) == 2
+    for name, block in models.PARAMETERS.items():
+        params, _ = translate(name.removesuffix("_params"), block)
+        assert "patience" not in params and (name == "rf_params" or params["maxIter"] == 1000)
