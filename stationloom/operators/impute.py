@@ -240,13 +240,16 @@ def _round_shifts(df: DataFrame, columns: list[str], means: np.ndarray, history:
 
 
 def tree_regressor(kind: str, **params):
-    """Regressor behind one of the tree-based imputers."""
+    """Regressor behind one of the tree-based imputers, by default with the rounds and depths of the libraries.
+
+    A forest of unlimited depth has Spark's deepest, 30; 31 leaves are a depth of 5.
+    """
     if kind == "rf":
-        return RandomForestRegressor(**{"numTrees": 100, "maxDepth": 10, "seed": 42, **params})
+        return RandomForestRegressor(**{"numTrees": 100, "maxDepth": 30, "seed": 42, **params})
     if kind == "lgbm":
-        return GBTRegressor(**{"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **params})
+        return GBTRegressor(**{"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **params})
     if kind == "cboost":
-        return GBTRegressor(**{"maxIter": 20, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **params})
+        return GBTRegressor(**{"maxIter": 1000, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **params})
     raise NotImplementedError(f"no imputer named {kind!r}; there are None, {', '.join(TREE_ESTIMATORS)}")
 
 

@@ -272,3 +272,14 @@ def test_correlation_with_gaps(spark):
     for j, i in [(1, 0), (2, 0), (2, 1)]:
         ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
         assert got[("abc"[j], "abc"[i])] == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1])
+
+
+def test_tree_imputers_have_the_sizes_of_the_libraries(spark):
+    forest, lgbm, cboost = (I.tree_regressor(k) for k in ("rf", "lgbm", "cboost"))
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 30)
+    assert (lgbm.getMaxIter(), lgbm.getMaxDepth(), cboost.getMaxIter(), cboost.getMaxDepth()) == (100, 5, 1000, 6)
+    rows = [(k, float(k), None if k % 20 == 7 else 10.0 * (k >= 30)) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, x double, y double").coalesce(1)
+    done = I.fit_tree_chain(df, ["x", "y"], "lgbm", rounds=1).apply(df)
+    got = {r["row_id"]: r["y"] for r in done.collect()}
+    assert all(abs(got[k] - 10.0 * (k >= 30)) < 0.01 for k in range(60))
