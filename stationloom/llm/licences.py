@@ -2,8 +2,10 @@
 
 A text is cut into sentences; each is normalised and looked up among the known licence sentences. The text
 is then a short sequence of identifiers, one letter per sentence, and a licence is found where its rule, an
-ordered list of identifiers with few other sentences between them, matches that sequence. All of it is one
-projection: no shuffle, no join, whatever the sizes of texts.
+ordered list of identifiers with few other sentences between them, matches that sequence. Texts are read twice:
+by lines, where every line break ends a sentence, and by paragraphs, where a single one is white space, since
+notices are wrapped. A rule may match either reading. All of it is one projection: no shuffle, no join, whatever
+the sizes of texts.
 """
 
 from __future__ import annotations
@@ -57,7 +59,15 @@ RULES = [
 #: Other sentences that may stand between two of a rule.
 GAP = 2
 SPLIT = r"[.!?:]+[ \t\r\n]+|[\r\n]+"
+#: In paragraphs, sentences end at punctuation and at lines that are blank but for comment signs.
+PARAGRAPH_SPLIT = r"[.!?:]+[ \t\r\n]+|\r?\n[ \t\r*#/;%-]*\n|\r[ \t*#/;%-]*\r"
 OTHER = "-"
+# Sentences as the notices really have them, which only whole paragraphs show, and their identifiers.
+NOTICE_SENTENCES = {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "aq",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "t",
+}
+# End of fixed values.
 
 
 def rule_pattern(rule: str) -> str:
@@ -65,11 +75,12 @@ def rule_pattern(rule: str) -> str:
     return f".{{0,{GAP}}}".join(rule)
 
 
-def sentence_letters(text: Column) -> Column:
-    """One letter per sentence: its identifier, or ``-``."""
+def sentence_letters(text: Column, split: str = SPLIT, more: dict[str, str] | None = None) -> Column:
+    """One letter per sentence: its identifier, or ``-``; sentences in ``more`` stand for all their letters."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    known = F.create_map(*[F.lit(x) for letter, sentence in SENTENCES.items() for x in (sentence, letter)])
-    shortest, longest = min(map(len, SENTENCES.values())), max(map(len, SENTENCES.values()))
+    sentences = {sentence: letter for letter, sentence in SENTENCES.items()} | (more or {})
+    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
+    shortest, longest = min(map(len, sentences)), max(map(len, sentences))
 
     def letter(sentence: Column) -> Column:
         plain = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
@@ -77,20 +88,21 @@ def sentence_letters(text: Column) -> Column:
         return F.when(F.length(sentence) < shortest, F.lit(OTHER)).otherwise(
             F.when(F.length(plain).between(shortest, longest), F.coalesce(F.try_element_at(known, plain), F.lit(OTHER))).otherwise(OTHER))
 
-    return F.array_join(F.transform(F.split(lower, SPLIT), letter), "")
+    return F.array_join(F.transform(F.split(lower, split), letter), "")
 
 
 def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_sentences, n_licence_sentences, licences, restricted``.
 
     ``licences`` are the names of all rules that match, sorted and comma-joined (empty: none); ``restricted``
-    is whether one of them doesn't allow training use. Null texts are empty and have no sentence. Repeated
+    is whether one of them doesn't allow training use. Sentences are counted by lines. Null texts are empty and have no sentence. Repeated
     rows each give a row; other columns aren't read.
     """
     text = whole_text(text_column)
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.when(text == "", "").otherwise(sentence_letters(text)).alias("_letters"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.when(text == "", "").otherwise(sentence_letters(text)).alias("_letters"),
+                       sentence_letters(text, PARAGRAPH_SPLIT, NOTICE_SENTENCES).alias("_wrapped"))
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(
-        *[F.when(F.col("_letters").rlike(rule_pattern(rule)), F.lit(name)) for name, _, rule in RULES]))))
+        *[F.when(F.col("_letters").rlike(rule_pattern(rule)) | F.col("_wrapped").rlike(rule_pattern(rule)), F.lit(name)) for name, _, rule in RULES]))))
     bad = F.array(*[F.lit(x) for x in sorted({name for name, free, _ in RULES if not free})])
     return rows.select(
         "doc_id",

@@ -317,6 +317,65 @@ def test_rules_need_their_order(make_docs):
     assert licences.scan_licences(make_docs([])).collect() == []
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_notices_are_found_as_they_are_wrapped(make_docs):
+    texts = [APACHE, MIT, BSD, GPL]
+    commented = ["\n".join(f" * {line}".rstrip() for line in t.split("\n")) for t in texts]
+    windows = [t.replace("\n", "\r\n") for t in texts]
+    odd = ["Copyright 2020 Someone\n\n" + t + "\n\nEnd" for t in texts]
+    pairs = list(enumerate(texts + commented + windows + odd)) + [(90, MIT.replace("charge", "fee")), (91, GPL.split("\n\n")[0])]
+    got = {r["doc_id"]: (r["licences"], r["restricted"]) for r in licences.scan_licences(make_docs(pairs)).collect()}
+    want = [("apache-2.0,apache-2.0-notice", False), ("mit-text", False), ("bsd-2-clause,bsd-3-clause", False), ("gpl-3.0-or-later", True)]
+    assert [got[k] for k in range(16)] == want * 4
+    assert got[90] == got[91] == ("", False)
+
+
 # URL rules
 
 
