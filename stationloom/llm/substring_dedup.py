@@ -1,11 +1,12 @@
-"""Passages that repeat across documents: paragraph MinHash banding.
-
-Paragraphs are of two kinds. Lines of ``LEAST_WORDS`` words or more: their MinHash bands are tuned for high
-recall at the wanted similarity, colliding lines are compared by the exact Jaccard similarity of their
-five-word shingles, and connected ones are a cluster. And, since passages are also pasted into the middle of
-other text, stretches of ``LEAST_WORDS`` words that begin at content-defined anchors: any passage of
-``ANCHOR_WINDOW + LEAST_WORDS`` words holds one wherever it stands, and equal ones meet by a 128-bit key.
-A cluster stays in the document with the smallest id and is removed elsewhere.
+"""Passages that repeat across documents: paragraph MinHash banding, and shared runs of words.
+
+Paragraphs are lines of ``LEAST_WORDS`` words or more: their MinHash bands are tuned for high recall at the wanted
+similarity, colliding lines are compared by the exact Jaccard similarity of their five-word shingles, and
+connected ones are a cluster. And, since passages are also pasted into the middle of other text, all runs of
+``LEAST_WORDS`` words that documents share, wherever they stand: each holds a seed, a stretch of ``SEED_WORDS``
+words at a content-defined anchor, and around seeds that documents share, every run of ``LEAST_WORDS`` words is
+looked up by a 128-bit key. A longer passage is the union of its runs, so it is covered from the first shared
+word to the last. A cluster or run stays in the document with the smallest id and is removed elsewhere.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from stationloom.llm.text import (
 from stationloom.llm.url_filter import Cascade, filter_level
 from stationloom.session import checkpointed
 
-SHINGLE, SIMILARITY, LEAST_WORDS, ANCHOR_WINDOW = 5, 0.8, 30, 20
+SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 30
+#: Any run of ``ANCHOR_WINDOW + SEED_WORDS - 1`` words, fewer than ``LEAST_WORDS``, holds a seed.
+SEED_WORDS, ANCHOR_WINDOW = 15, 15
 #: At similarity 0.8, bands of so many rows miss 3 pairs in 1000; at 0.9, 3 in 100,000.
 BANDS, BAND_ROWS = 8, 3
 BLOCK_ROWS = 512
@@ -74,7 +77,7 @@ class _Part:
         return first[long], stop[long]
 
     def anchors(self) -> np.ndarray:
-        """Words at which the smallest shingle hash of some window of shingles stands, with room for a stretch."""
+        """Words at which the smallest shingle hash of some window of shingles stands, with room for a seed."""
         v = self.shingles
         n = len(v) - ANCHOR_WINDOW + 1
         if n <= 0:
@@ -87,7 +90,18 @@ class _Part:
         end = np.repeat(self.before[1:], np.diff(self.before))
         first = np.arange(n)
         found = np.unique(at[first[first + ANCHOR_WINDOW + SHINGLE - 1 <= end[first]]])
-        return found[found + LEAST_WORDS <= end[found]]
+        return found[found + SEED_WORDS <= end[found]]
+
+    def runs(self, seeds: np.ndarray) -> np.ndarray:
+        """Where the runs of ``LEAST_WORDS`` words that hold one of the seeds begin."""
+        text = self.text_of(seeds)
+        first = np.maximum(seeds + SEED_WORDS - LEAST_WORDS, self.before[text])
+        last = np.minimum(seeds, self.before[text + 1] - LEAST_WORDS)
+        first, last = first[first <= last], last[first <= last]
+        change = np.zeros(len(self.starts) + 1, np.int64)
+        np.add.at(change, first, 1)
+        np.add.at(change, last + 1, -1)
+        return np.flatnonzero(np.cumsum(change) > 0)
 
     def bands(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Band hashes of lines: the minima of permuted shingle hashes, a few at a time."""
@@ -120,10 +134,14 @@ def key_filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(Cascade([level]))
 
 
+def _passing(level) -> Wanted:
+    return None if level is None else lambda k1, k2: level.value.passes(k1, k2, 0)
+
+
 def _mapped(docs: DataFrame, give: Callable[[_Part, pa.RecordBatch, Wanted], list[pa.Array] | None], names: list[str], schema: str,
             only=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if only is None else lambda k1, k2: only.value.passes(k1, k2, 0)
+        wanted = _passing(only)
         for batch in batches:
             for part in text_slices(batch):
                 columns = give(_Part(part.column("text")), part, wanted)
@@ -133,21 +151,39 @@ def _mapped(docs: DataFrame, give: Callable[[_Part, pa.RecordBatch, Wanted], lis
     return docs.mapInArrow(run, schema)
 
 
-def _stretches(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
-    return _placed(part, batch, at := part.anchors(), at + LEAST_WORDS, wanted)
+def _seed_keys(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+    """Keys and ids only."""
+    if not len(at := part.anchors()):
+        return None
+    return [*map(pa.array, part.keys(at, at + SEED_WORDS)), batch.column("doc_id").take(pa.array(part.text_of(at)))]
 
 
-def _lines(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
-    return _placed(part, batch, *part.lines(), wanted)
+def _runs(part: _Part, wanted: Wanted) -> np.ndarray:
+    """Runs around the wanted seeds."""
+    at = part.anchors()
+    return part.runs(at[wanted(*part.keys(at, at + SEED_WORDS))] if wanted and len(at) else at)
 
 
-def _stretch_keys(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+def _run_keys(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
     """Keys and ids only."""
-    if not len(at := part.anchors()):
+    if not len(at := _runs(part, wanted)):
         return None
     return [*map(pa.array, part.keys(at, at + LEAST_WORDS)), batch.column("doc_id").take(pa.array(part.text_of(at)))]
 
 
+def _run_places(seeds):
+    """Keys and places of the wanted runs around the seeds of a filter."""
+
+    def give(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+        return _placed(part, batch, at := _runs(part, _passing(seeds)), at + LEAST_WORDS, wanted)
+
+    return give
+
+
+def _lines(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+    return _placed(part, batch, *part.lines(), wanted)
+
+
 def _placed(part: _Part, batch: pa.RecordBatch, first: np.ndarray, stop: np.ndarray, wanted: Wanted) -> list[pa.Array] | None:
     """Keys and places; words are counted within their text."""
     if not len(first):
@@ -243,11 +279,16 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     names = ["k1", "k2", "doc_id", "row", "first", "stop"]
     schema = "k1 long, k2 long, doc_id long, row long, first long, stop long"
     rows = rows.select("doc_id", "row", "text")
-    keys = _mapped(rows, _stretch_keys, ["k1", "k2", "doc_id"], "k1 long, k2 long, doc_id long")
-    shared = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_high")).filter("keep < _high")
-    # written, so that it is a plain side of the join and Spark can split a hot passage's places over several tasks
-    shared = checkpointed(shared.drop("_high"))
-    found = _mapped(rows, _stretches, names, schema, key_filter(shared)).join(shared, ["k1", "k2"])
+    keyed = "k1 long, k2 long, doc_id long"
+
+    def shared(keys: DataFrame) -> DataFrame:
+        both = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_high")).filter("keep < _high")
+        # written, so that it is a plain side of the join and Spark can split a hot passage's places over several tasks
+        return checkpointed(both.drop("_high"))
+
+    seeds = key_filter(shared(_mapped(rows, _seed_keys, names[:3], keyed)))
+    runs = shared(_mapped(rows, _run_keys, names[:3], keyed, seeds))
+    found = _mapped(rows, _run_places(seeds), names, schema, key_filter(runs)).join(runs, ["k1", "k2"])
 
     nodes, links = line_links(rows.select("doc_id", "text"))
     linked = components(links)

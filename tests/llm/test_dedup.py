@@ -247,6 +247,35 @@ def test_pasted_and_edited_passages(make_docs):
     assert cut[1] == pairs[0][1] and cut[5] == "" and cut[6] == pairs[5][1] and len(cut[2]) < len(pairs[1][1])
 
 
+def shared_words(pairs, size):
+    """Per id, words in a run of ``size`` words that stands in another id too, split by whether it stands in a smaller one."""
+    where = defaultdict(set)
+    runs = [(i, k, tuple(w[k : k + size])) for i, t in pairs for w in [alnum_words(t)] for k in range(len(w) - size + 1)]
+    for i, _, r in runs:
+        where[r].add(i)
+    out = defaultdict(set)
+    for i, k, r in runs:
+        if len(where[r]) > 1:
+            out[i, min(where[r]) == i].update(range(k, k + size))
+    return out
+
+
+def test_runs_of_30_words_are_found_in_full(make_docs):
+    pairs = []
+    for k in range(12):
+        passage = word_stream(("q", k // 2), 30 + k // 2 * 7)
+        pairs.append((k, " ".join(word_stream(("h", k), 50 + k) + passage + word_stream(("t", k), 40))))
+    pairs.append((20, " ".join(alnum_words(pairs[10][1])[20:90] + word_stream("z", 9) + alnum_words(pairs[0][1])[30:75])))
+    docs = make_docs(pairs)
+    passages = substring_dedup.repeated_passages(docs)
+    got = defaultdict(set)
+    for r in passages.collect():
+        got[r["doc_id"], r["kept"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert got == shared_words(pairs, 30)
+    cut = {r["doc_id"]: alnum_words(r["text"]) for r in substring_dedup.remove_repeats(docs, passages).collect()}
+    assert cut[1] == word_stream(("h", 1), 51) + word_stream(("t", 1), 40)
+
+
 def test_passages_of_odd_rows(make_docs, odd_pairs):
     rows = substring_dedup.repeated_passages(make_docs(odd_pairs)).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in rows) == [(6, 6, True), (7, 6, False), (8, 6, False)]
