@@ -1,6 +1,6 @@
 """Passages that repeat across documents: paragraph MinHash banding, and shared runs of words.
 
-Paragraphs are lines of ``LEAST_WORDS`` words or more: their MinHash bands are tuned for high recall at the wanted
+Paragraphs are lines of ``SHINGLE`` words or more: their MinHash bands are tuned for high recall at the wanted
 similarity, colliding lines are compared by the exact Jaccard similarity of their five-word shingles, and
 connected ones are a cluster. And, since passages are also pasted into the middle of other text, all runs of
 ``LEAST_WORDS`` words that documents share, wherever they stand: each holds a seed, a stretch of ``SEED_WORDS``
@@ -64,7 +64,7 @@ class _Part:
         return np.searchsorted(self.before, first, side="right") - 1
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """First word and end of every line that is long enough."""
+        """First word and end of every line that has a shingle."""
         if not len(self.starts):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         number = np.searchsorted(np.flatnonzero(self.raw == 10), self.starts)
@@ -73,7 +73,7 @@ class _Part:
         new[self.before[:-1][self.before[:-1] < len(number)]] = True
         first = np.flatnonzero(new)
         stop = np.append(first[1:], len(number))
-        long = stop - first >= LEAST_WORDS
+        long = stop - first >= SHINGLE
         return first[long], stop[long]
 
     def anchors(self) -> np.ndarray:

@@ -276,6 +276,15 @@ def test_runs_of_30_words_are_found_in_full(make_docs):
     assert cut[1] == word_stream(("h", 1), 51) + word_stream(("t", 1), 40)
 
 
+def test_short_lines_are_compared(make_docs):
+    line = word_stream("s", 29)
+    pairs = [(1, "first\nOne two three four five.\nend"), (2, "one, two three FOUR five\nother words here"), (3, "one two three four"),
+             (4, "a b\n" + " ".join(line)), (5, " ".join(line[:28])), (6, "one two three four"), (7, "one two three four six")]
+    rows = substring_dedup.repeated_passages(make_docs(pairs)).collect()
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"], r["keep_id"], r["kept"]) for r in rows) == [
+        (1, 1, 5, 1, True), (2, 0, 5, 1, False), (4, 2, 29, 4, True), (5, 0, 28, 4, False)]
+
+
 def test_passages_of_odd_rows(make_docs, odd_pairs):
     rows = substring_dedup.repeated_passages(make_docs(odd_pairs)).collect()
     assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in rows) == [(6, 6, True), (7, 6, False), (8, 6, False)]
