@@ -94,7 +94,7 @@ def filter_level(keys: DataFrame, n: int, rate: float, level: int, most_bytes: i
                 bit = (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(bit)], ["word", "bit"])
 
-    rows = keys.select("h1", "h2").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    rows = keys.select("h1", "h2").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[rows["word"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
     return words, bits, hashes
