@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stationloom.llm import (
     decontaminate,
     exact_dedup,
     licences,
+    merkle,
     packing,
     quality,
     simhash,
@@ -140,3 +142,13 @@ SELECT page_id, host, path,
        CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.host}{r.path}'" for r in _LONGEST)} END AS rule,
        CASE {" ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in _LONGEST)} ELSE 'allow' END AS verdict
 FROM p"""
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = F.when(merkle.is_tampered_with(F.col("doc_id")), merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle.merkle_manifest(docs, altered).drop("siblings")
+
+
+ORACLES["op13_merkle"] = merkle.oracle_sql()
