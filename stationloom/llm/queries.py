@@ -18,6 +18,7 @@ from stationloom.llm import (
     substring_dedup,
     token_count,
     token_file,
+    toxicity,
     url_filter,
 )
 from stationloom.session import scratch_path
@@ -152,3 +153,9 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_merkle"] = merkle.oracle_sql()
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
