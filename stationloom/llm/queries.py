@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stationloom.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     licences,
     merkle,
     packing,
@@ -146,16 +147,40 @@ FROM p"""
 
 
 @query
-def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    altered = F.when(merkle.is_tampered_with(F.col("doc_id")), merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
-    return merkle.merkle_manifest(docs, altered).drop("siblings")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-ORACLES["op13_merkle"] = merkle.oracle_sql()
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, noisy)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                 CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 10"""
 
 
 @query
-def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    altered = F.when(merkle.is_tampered_with(F.col("doc_id")), merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle.merkle_manifest(docs, altered).drop("siblings")
+
+
+ORACLES["op13_merkle"] = merkle.oracle_sql()

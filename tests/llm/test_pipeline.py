@@ -45,5 +45,5 @@ def test_stages_take_odd_and_empty_tables(spark, sf, make_docs, odd_pairs, pairs
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n in queries.QUERIES]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
