@@ -26,7 +26,7 @@ from stationloom.llm.samples import Sample, labelled_sample
 from stationloom.llm.text import span_hashes, text_slices, whole_text, word_spans
 
 #: The training sample: documents of each label, and bytes in all, at most.
-SAMPLE, SAMPLE_BYTES = {0: 5000, 1: 2000}, 32 << 20
+SAMPLE, SAMPLE_BYTES = {0: 2000, 1: 1000}, 8 << 20
 #: The lexicon: terms at most, documents that must hold a term, and how much likelier they must be toxic.
 MOST_TERMS, LEAST_DOCS, LEAST_LIFT, MOST_WEIGHT, COMMON = 120, 3, 8.0, 6.0, 0.015
 #: Lengths of stems, and letters from which on a word may have one or two edits.
@@ -75,8 +75,8 @@ class Words:
         letters = folded[points]
         starts, ends, _ = word_spans((letters > 0).view(np.uint8), offsets, np.arange(256) > 0)
         # a word has a letter, so numbers are none
-        count = np.zeros(len(points) + 1, np.int64)
-        np.cumsum(letter[points], out=count[1:])
+        count = np.zeros(len(points) + 1, np.int32)
+        np.cumsum(letter[points], out=count[1:], dtype=np.int32)
         some = count[ends] > count[starts]
         starts, ends = starts[some], ends[some]
         return cls(points, letters, offsets, starts, ends, np.searchsorted(starts, offsets))
@@ -266,7 +266,7 @@ def context_factors(words: Words, hits: np.ndarray) -> np.ndarray:
 
 
 def span_hashes_at(words: Words, at: np.ndarray) -> np.ndarray:
-    return span_hashes(words.letters, words.starts[at], words.ends[at])
+    return _keys(words, words.starts[at], words.ends[at])
 
 
 FEATURES = 4
@@ -316,10 +316,20 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9)
 
 
+def _keys(words: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span, some words at a time to save memory."""
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), 50_000):
+        a, b = starts[k : k + 50_000], ends[k : k + 50_000]
+        out[k : k + 50_000] = span_hashes(words.letters[a[0] : b.max()], a - a[0], b - a[0])
+    return out
+
+
 def _candidates(words: Words, labels: np.ndarray) -> list[tuple[Term, float, np.ndarray]]:
     """Words and stems, their log odds and the toxic documents that hold them."""
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
-    text, length = words.text_of(np.arange(len(words.starts))), words.ends - words.starts
+    text = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(words.before))
+    length = words.ends - words.starts
     found = []
     for size in (0, *STEMS):
         own = np.flatnonzero(length > size if size else (length >= 3) & (length <= 40))
@@ -327,8 +337,8 @@ def _candidates(words: Words, labels: np.ndarray) -> list[tuple[Term, float, np.
             continue
         starts, docs = words.starts[own], text[own]
         ends = starts + size if size else words.ends[own]
-        keys = span_hashes(words.letters, starts, ends)
-        order = np.lexsort((docs, keys))
+        keys = _keys(words, starts, ends)
+        order = np.lexsort((docs, keys)).astype(np.int32)
         keys, docs = keys[order], docs[order]
         fresh = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))
         keys, docs, order = keys[fresh], docs[fresh], order[fresh]
