@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stationloom.operators import boosting
 from stationloom.operators.transforms import replaced
 from stationloom.session import checkpointed
 
@@ -239,17 +241,23 @@ def _round_shifts(df: DataFrame, columns: list[str], means: np.ndarray, history:
 # -- chained trees ------------------------------------------------------------------------
 
 
+#: Rows of a task that boosts, at least; memory of a forest's task for one pass over the rows.
+TASK_ROWS, FOREST_MB = 20_000, 1024
+
+
 def tree_regressor(kind: str, **params):
-    """Regressor behind one of the tree-based imputers, by default with the rounds and depths of the libraries.
+    """What fits one column: a Spark forest, or settings for boosting, by default of the libraries' sizes.
 
-    A forest of unlimited depth has Spark's deepest, 30; 31 leaves are a depth of 5.
+    A forest of unlimited depth has Spark's deepest, 30. Names of parameters are Spark's.
     """
     if kind == "rf":
-        return RandomForestRegressor(**{"numTrees": 100, "maxDepth": 30, "seed": 42, **params})
+        return RandomForestRegressor(**{"numTrees": 100, "maxDepth": 30, "seed": 42, "maxMemoryInMB": FOREST_MB, **params})
+    names = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "row_share"}
+    given = {names.get(k, k): v for k, v in params.items()}
     if kind == "lgbm":
-        return GBTRegressor(**{"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **params})
+        return boosting.Settings(1, **{"rounds": 100, "depth": 30, "leaves": 31, "rate": 0.1, "min_rows": 20, "min_weight": 1e-3, **given})
     if kind == "cboost":
-        return GBTRegressor(**{"maxIter": 1000, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **params})
+        return boosting.Settings(1, **{"rounds": 1000, "depth": 6, "symmetric": True, "rate": 0.1, "l2": 3.0, **given})
     raise NotImplementedError(f"no imputer named {kind!r}; there are None, {', '.join(TREE_ESTIMATORS)}")
 
 
@@ -262,38 +270,84 @@ class TreeChain:
     steps: list[tuple[str, object]]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Fill nulls by running the fitted models in order."""
+        """Fill nulls by running the fitted models in order.
+
+        Boosted steps are replayed batch by batch, so the plan has one step however long the chain. Forests are
+        models of Spark: what they have filled is written to the shared folder after every few of them.
+        """
         flags = {c: f"__gap_{c}" for c in {t for t, _ in self.steps}}
-        work = df.withColumns({f: F.col(c).isNull() for c, f in flags.items()}) if flags else df
-        work = fill(work, self.means)
-        for target, model in self.steps:
-            work = _tree_step(work, self.columns, target, flags[target], model)
+        if not flags:
+            return fill(df, self.means)
+        if all(isinstance(m, boosting.Boosted) for _, m in self.steps):
+            return self._replayed(df)
+        work = fill(df.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), self.means)
+        for k, (target, model) in enumerate(self.steps, 1):
+            work = _forest_step(work, self.columns, target, flags[target], model)
+            if k % FORESTS_AT_ONCE == 0:
+                work = checkpointed(work)
         return work.drop(*flags.values())
 
+    def _replayed(self, df: DataFrame) -> DataFrame:
+        names, start = self.columns, np.array([self.means[c] for c in self.columns])
+        shared = df.sparkSession.sparkContext.broadcast([(names.index(t), m) for t, m in self.steps])
+        kind = "struct<" + ",".join(f"`{c}`:double" for c in names) + ">"
+
+        @F.pandas_udf(kind)
+        def replay(block: pd.DataFrame) -> pd.DataFrame:
+            x = block.to_numpy(dtype=float, na_value=np.nan)
+            gaps = np.isnan(x)
+            x = np.where(gaps, start, x)
+            for target, model in shared.value:
+                at = np.flatnonzero(gaps[:, target])
+                if len(at):
+                    x[at, target] = model.margins(np.delete(x[at], target, axis=1))[:, 0]
+            return pd.DataFrame(x, columns=names)
+
+        filled = df.withColumn("__filled", replay(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))
+        return filled.select(*[F.col(f"__filled.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
+
+    def to_state(self) -> dict:
+        """Of a boosted chain."""
+        return {"columns": self.columns, "means": self.means, "steps": [[t, m.to_state()] for t, m in self.steps]}
+
+    @classmethod
+    def from_state(cls, state: dict) -> TreeChain:
+        return cls(state["columns"], state["means"], [(t, boosting.Boosted.from_state(m)) for t, m in state["steps"]])
+
+
+#: Forests in a plan, at most.
+FORESTS_AT_ONCE = 5
+
 
 def _features(columns: list[str], target: str) -> VectorAssembler:
     return VectorAssembler(inputCols=[c for c in columns if c != target], outputCol="__x")
 
 
-def _tree_step(df: DataFrame, columns: list[str], target: str, gap: str, model) -> DataFrame:
+def _forest_step(df: DataFrame, columns: list[str], target: str, gap: str, model: RandomForestRegressionModel) -> DataFrame:
     scored = model.transform(_features(columns, target).transform(df))
     value = F.when(F.col(gap), F.col(model.getPredictionCol())).otherwise(F.col(target))
     return scored.withColumn(target, value).drop("__x", model.getPredictionCol())
 
 
+def _without(binning: boosting.Binning, at: int) -> boosting.Binning:
+    return boosting.Binning([e for k, e in enumerate(binning.ends) if k != at], [n for k, n in enumerate(binning.sizes) if k != at])
+
+
 def fit_tree_chain(
     df: DataFrame, columns: list[str], kind: str, rounds: int = 10, tol: float = 1e-3, **params
 ) -> TreeChain:
     """Chained imputation where each regression is a tree ensemble.
 
-    Lineage is cut through the shared checkpoint folder after every round.
+    Lineage is cut through the shared checkpoint folder after every step, so no plan holds more than one model. For
+    boosting, bins are found once, before the first step.
     """
-    tree_regressor(kind, **params)
+    regressor = tree_regressor(kind, **params)
     means = column_means(df, columns)
     used = [c for c in columns if c in means]
     stats = df.agg(
         *[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(used)],
         *[F.max(F.abs(c)).alias(f"x{i}") for i, c in enumerate(used)],
+        F.count("*").alias("n"),
     ).first() if used else {}
     gaps = {c: stats[f"g{i}"] for i, c in enumerate(used)}
     order = sorted([c for c in used if gaps[c]], key=lambda c: gaps[c])
@@ -302,20 +356,31 @@ def fit_tree_chain(
         return chain
     limit = tol * max(stats[f"x{i}"] or 0.0 for i in range(len(used)))
     flags = {c: f"__gap_{c}" for c in order}
+    tasks = max(1, math.ceil(stats["n"] / TASK_ROWS))
     work = df.select(*[F.col(c).cast("double").alias(c) for c in used])
-    work = checkpointed(fill(work.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), means))
+    work = checkpointed(fill(work.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), means).coalesce(tasks))
+    binning = None
+    if kind != "rf":
+        binning = boosting.Binning.fit(work, F.array(*used), len(used), {})
     for _ in range(rounds):
         before = {c: f"__old_{c}" for c in order}
         work = work.withColumns({b: F.col(c) for c, b in before.items()})
         for target in order:
-            prediction = f"__p_{len(chain.steps)}"
-            regressor = tree_regressor(kind, **params).setFeaturesCol("__x").setLabelCol(target)
-            regressor = regressor.setPredictionCol(prediction)
-            known = _features(used, target).transform(work.where(~F.col(flags[target])))
-            model = regressor.fit(known)
+            known = work.where(~F.col(flags[target]))
+            rest = [c for c in used if c != target]
+            if kind == "rf":
+                forest = regressor.setFeaturesCol("__x").setLabelCol(target).setPredictionCol(f"__p_{len(chain.steps)}")
+                model = forest.fit(_features(used, target).transform(known))
+                filled = _forest_step(work, used, target, flags[target], model)
+            else:
+                model = boosting.fit(
+                    known.select(F.array(*rest).alias("__x"), target), replace(regressor, seed=regressor.seed + len(chain.steps)), None, "__x", target,
+                    binning=_without(binning, used.index(target)))
+                # only rows with a gap go through Python
+                predicted = boosting.predicted(model, F.when(F.col(flags[target]), F.array(*rest)))
+                filled = work.withColumn(target, F.when(F.col(flags[target]), predicted).otherwise(F.col(target)))
             chain.steps.append((target, model))
-            work = _tree_step(work, used, target, flags[target], model)
-        work = checkpointed(work)
+            work = checkpointed(filled)
         total = sum((F.abs(F.col(c) - F.col(b)) for c, b in before.items()), F.lit(0.0))
         moved = work.agg(F.max(total)).first()[0]
         work = work.drop(*before.values())

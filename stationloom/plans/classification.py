@@ -59,16 +59,17 @@ class StationClassifier:
             log.warning("oversampling skipped, categorical columns found: %s", categorical)
         translated = {n: translate(n, self.params[n]) for n in self.names}
         shares = {n: params.get("heldShare", 0) for n, (params, _) in translated.items()}
-        if any(shares.values()):
+        if any(shares.values()) or (categorical and "catboost" in self.names):
             rows = R.with_stable_row_id(rows)
         for share in sorted(set(shares.values())):
             held = self._held_rows(rows, target, share) if share else F.lit(False)
             train = rows.where(~held)
             if self.use_smote and not categorical:
                 train = oversample(R.with_stable_row_id(train).persist(StorageLevel.MEMORY_AND_DISK), numeric, target)
-            work = filled(train, numeric, categorical).select(target, *features)
+            kept = [*S.present(train, [S.ROW_ID]), target, *features]
+            work = filled(train, numeric, categorical).select(*kept)
             if share:
-                watched = filled(rows.where(held), numeric, categorical).select(target, *features)
+                watched = filled(rows.where(held), numeric, categorical).select(*kept)
                 work = work.withColumn(HELD, F.lit(False)).unionAll(watched.withColumn(HELD, F.lit(True)))
             work = work.persist(StorageLevel.MEMORY_AND_DISK)
             own = work.where(~F.col(HELD)) if share else work

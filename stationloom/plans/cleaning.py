@@ -146,23 +146,27 @@ class StationCleanerModel(StateModel):
     def store(self, path: str) -> None:
         super().store(path)
         if self.trees is not None:
+            from stationloom.plans.state import write_json
+            if self.opt("imputer") != "rf":
+                write_json(f"{path}/chain/boosted", self.trees.to_state())
+                return
             for i, (_, model) in enumerate(self.trees.steps):
                 model.write().overwrite().save(f"{path}/chain/{i}")
-            from stationloom.plans.state import write_json
             write_json(f"{path}/chain/index", {
-                "columns": self.trees.columns, "means": self.trees.means,
-                "targets": [t for t, _ in self.trees.steps], "kind": self.opt("imputer"),
+                "columns": self.trees.columns, "means": self.trees.means, "targets": [t for t, _ in self.trees.steps],
             })
 
     @classmethod
     def restore(cls, path: str) -> StationCleanerModel:
-        from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+        from pyspark.ml.regression import RandomForestRegressionModel
 
         from stationloom.plans.state import read_json
         model = super().restore(path)
         if model.opt("impute") and model.opt("imputer") in I.TREE_ESTIMATORS:
+            if model.opt("imputer") != "rf":
+                model.trees = I.TreeChain.from_state(read_json(f"{path}/chain/boosted"))
+                return model
             index = read_json(f"{path}/chain/index")
-            reader = RandomForestRegressionModel if index["kind"] == "rf" else GBTRegressionModel
-            steps = [(t, reader.load(f"{path}/chain/{i}")) for i, t in enumerate(index["targets"])]
+            steps = [(t, RandomForestRegressionModel.load(f"{path}/chain/{i}")) for i, t in enumerate(index["targets"])]
             model.trees = I.TreeChain(index["columns"], index["means"], steps)
         return model

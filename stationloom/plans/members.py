@@ -1,29 +1,30 @@
-"""The four ensemble members as Spark tree models.
+"""The four ensemble members as tree models.
 
-``rf`` is a random forest on one-hot categories. The boosted members are one binary
-gradient-boosted model per class, since Spark's is binary; they differ in how they see
-categories (``catboost`` by target means, ``lgbm`` and ``xgb`` as nominal splits), in
-sampling and in depth.
+``rf`` is Spark's random forest on one-hot categories. The boosted members grow the trees of all
+classes together (``operators/boosting.py``). They differ in how they see categories (``catboost`` by
+shares of the classes among earlier rows, ``lgbm`` and ``xgb`` as nominal splits), in how trees grow
+(symmetrically, best leaf first, by levels), in sampling and in regularisation.
 """
 
 from __future__ import annotations
 
 import logging
 import math
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import SparkContext, StorageLevel, inheritable_thread_target
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier,
-)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationloom import schema as S
 from stationloom.functions.cleaning import literal_map
+from stationloom.operators import boosting
+from stationloom.operators.encoding import CategoryCodes, TargetShares
+from stationloom.plans.state import read_json, write_json
 
 log = logging.getLogger(__name__)
 
@@ -53,14 +54,17 @@ _ALIASES = {
     "min_samples_leaf": "minInstancesPerNode", "min_data_in_leaf": "minInstancesPerNode",
     "min_child_samples": "minInstancesPerNode",
     "random_state": "seed", "random_seed": "seed",
-    # A loss summed over all rows, where Spark asks for the mean gain of a row: divided by the rows when fitting.
     "gamma": "summedGain", "min_split_gain": "summedGain",
+    "reg_alpha": "l1", "alpha": "l1", "lambda_l1": "l1",
+    "reg_lambda": "l2", "lambda": "l2", "lambda_l2": "l2", "l2_leaf_reg": "l2",
+    "min_child_weight": "minWeight", "min_sum_hessian_in_leaf": "minWeight",
     "criterion": "impurity", "bootstrap": "bootstrap",
 }
 _SILENT = {
     "n_jobs", "verbose", "verbosity", "objective", "num_class", "loss_function", "eval_metric", "tree_method",
     "enable_categorical", "bootstrap_type",
 }
+_BOOSTED_ONLY = {"l1", "l2", "minWeight"}
 _MAX_SPARK_DEPTH = 30
 #: Marks the rows that are held back from boosting.
 HELD = "__held"
@@ -85,6 +89,8 @@ def translate(name: str, given: dict) -> tuple[dict, bool]:
             out["numTrees" if name == "rf" else "maxIter"] = int(value)
         elif key in ("class_weight", "auto_class_weights"):
             balanced = str(value).lower() == "balanced"
+        elif name == "rf" and _ALIASES.get(key) in _BOOSTED_ONLY:
+            log.warning("%s: parameter %r has no counterpart and is ignored", name, key)
         elif key in _ALIASES:
             spark_name = _ALIASES[key]
             if spark_name == "maxDepth":
@@ -105,7 +111,7 @@ def translate(name: str, given: dict) -> tuple[dict, bool]:
         elif key in ("num_leaves", "leaf_depth"):
             continue
         elif key not in _SILENT:
-            log.warning("%s: parameter %r has no Spark counterpart and is ignored", name, key)
+            log.warning("%s: parameter %r has no counterpart and is ignored", name, key)
     stops = {k: out.pop(k, 0) for k in ("patience", "heldShare", "validationTol")}
     if name != "rf" and stops["patience"] > 0 and stops["heldShare"] > 0:
         out |= stops
@@ -116,28 +122,45 @@ def translate(name: str, given: dict) -> tuple[dict, bool]:
     elif name == "lgbm":
         if merged.get("leaf_depth"):
             out["maxDepth"] = min(out.get("maxDepth", _MAX_SPARK_DEPTH), math.ceil(math.log2(merged.get("num_leaves", 31))))
+        out["leaves"] = int(merged.get("num_leaves", 31))
+        out.setdefault("minInstancesPerNode", 20)
+        out.setdefault("minWeight", 1e-3)
         out.setdefault("seed", 7)
     elif name == "xgb":
         out.setdefault("maxDepth", 6)
         out.setdefault("stepSize", 0.3)
         out.setdefault("featureSubsetStrategy", "all")
+        out.setdefault("l2", 1.0)
+        out.setdefault("minWeight", 1.0)
     else:
         out.setdefault("seed", 42)
+        out.setdefault("l2", 3.0)
     return out, balanced
 
 
+def settings(name: str, params: dict, classes: int, features: int) -> boosting.Settings:
+    """What a boosted member grows, from translated parameters.
+
+    The libraries differ in the second derivatives of softmax and in whether a gain is halved before it is held
+    against its bound; both are kept.
+    """
+    share = params.get("featureSubsetStrategy", "all")
+    share = {"all": 1.0, "auto": 1.0, "sqrt": math.sqrt(features) / features, "onethird": 1 / 3}.get(share) or float(share)
+    return boosting.Settings(
+        outputs=classes, rounds=params.get("maxIter", 100), rate=params.get("stepSize", 0.1), depth=params.get("maxDepth", 6),
+        leaves=params.get("leaves"), symmetric=name == "catboost", l1=float(params.get("l1", 0)), l2=float(params.get("l2", 0)),
+        min_gain=float(params.get("summedGain", 0)) * (2 if name == "xgb" else 1), min_rows=params.get("minInstancesPerNode", 1),
+        min_weight=float(params.get("minWeight", 0)), row_share=float(params.get("subsamplingRate", 1)), column_share=share,
+        curvature={"xgb": 2.0, "lgbm": classes / max(1, classes - 1)}.get(name, 1.0), seed=int(params.get("seed", 42)))
+
+
 class Member:
     """One fitted ensemble member."""
 
     def __init__(self, name: str, classes: list[str], numeric: list[str], categorical: list[str],
-                 preparations: list[PipelineModel], models: list):
+                 preparation: PipelineModel | CategoryCodes | TargetShares, model):
         self.name, self.classes, self.numeric, self.categorical = name, classes, numeric, categorical
-        self.preparations, self.models = preparations, models
-
-    @property
-    def shared(self) -> bool:
-        """Whether all models see the same vectors."""
-        return len(self.preparations) == 1
+        self.preparation, self.model = preparation, model
 
     @property
     def features(self) -> list[str]:
@@ -153,21 +176,20 @@ class Member:
         work = df.withColumns({c: F.lit("0") if c in self.categorical else F.lit(0.0)
                                for c in self.features if c not in kept})
         work = filled(work, self.numeric, self.categorical)
+        proba = f"proba_{self.name}"
         if self.name == "rf":
-            ready = self.preparations[0].transform(work)
-            scored = self.models[0].transform(ready).withColumn(f"proba_{self.name}", vector_to_array("probability"))
+            scored = self.model.transform(self.preparation.transform(work)).withColumn(proba, vector_to_array("probability"))
         else:
-            scored, sides = work, []
-            if self.shared:
-                scored = self.preparations[0].transform(scored)
-            for i, model in enumerate(self.models):
-                before = scored.columns
-                ready = scored if self.shared else self.preparations[i].transform(scored)
-                sides.append(f"__side_{i}")
-                one = model.transform(ready)
-                scored = one.select(*before, vector_to_array(F.col(model.getProbabilityCol()))[1].alias(sides[-1]))
-            total = sum((F.col(s) for s in sides), F.lit(0.0))
-            scored = scored.withColumn(f"proba_{self.name}", F.array(*[F.col(s) / total for s in sides]))
+            # as large as the parameters say: rounds x classes x leaves
+            shared = df.sparkSession.sparkContext.broadcast(self.model)
+
+            @F.pandas_udf("array<double>")
+            def probabilities(x: pd.Series) -> pd.Series:
+                if not len(x):
+                    return pd.Series([], dtype=object)
+                return pd.Series(list(shared.value.probabilities(np.stack(x.to_list()))))
+
+            scored = work.withColumn(proba, probabilities(_numbers(self.numeric, self.preparation)))
         names = F.array(*[F.lit(c) for c in self.classes])
         probs = F.col(f"proba_{self.name}")
         top = F.array_position(probs, F.array_max(probs)).cast("int")
@@ -176,31 +198,40 @@ class Member:
         return scored.select(*kept, f"proba_{self.name}", f"pred_{self.name}")
 
     def importances(self) -> list[tuple[str, float]]:
-        """Importance per input column of the model, averaged over its binary models."""
+        """Importance per input column of the model."""
+        if self.name == "rf":
+            names, values = vector_names(self.preparation, self.numeric, self.categorical), self.model.featureImportances.toArray()
+        else:
+            each = len(self.classes) if self.name == "catboost" else 1
+            names, values = [*self.numeric, *[c for c in self.categorical for _ in range(each)]], self.model.importances()
         totals: dict[str, float] = {}
-        for i, model in enumerate(self.models):
-            prep = self.preparations[0 if self.shared else i]
-            names = vector_names(prep, self.numeric, self.categorical)
-            for name, value in zip(names, model.featureImportances.toArray(), strict=True):
-                totals[name] = totals.get(name, 0.0) + float(value) / len(self.models)
+        for name, value in zip(names, values, strict=True):
+            totals[name] = totals.get(name, 0.0) + float(value)
         return sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))
 
     def save(self, path: str) -> dict:
-        """Store the models; gives back what is needed to read them again."""
-        for i, prep in enumerate(self.preparations):
-            prep.write().overwrite().save(f"{path}/preparation_{i}")
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/model_{i}")
-        return {"name": self.name, "classes": self.classes, "numeric": self.numeric,
-                "categorical": self.categorical, "preparations": len(self.preparations), "models": len(self.models)}
+        """Store the model; gives back what is needed to read it again."""
+        if self.name == "rf":
+            self.preparation.write().overwrite().save(f"{path}/preparation")
+            self.model.write().overwrite().save(f"{path}/model")
+        else:
+            write_json(f"{path}/boosted", {"model": self.model.to_state(), "preparation": self.preparation.to_state()})
+        return {"name": self.name, "classes": self.classes, "numeric": self.numeric, "categorical": self.categorical}
 
     @classmethod
     def load(cls, path: str, meta: dict) -> Member:
         """Read a stored member."""
-        reader = RandomForestClassificationModel if meta["name"] == "rf" else GBTClassificationModel
-        return cls(meta["name"], meta["classes"], meta["numeric"], meta["categorical"],
-                   [PipelineModel.load(f"{path}/preparation_{i}") for i in range(meta["preparations"])],
-                   [reader.load(f"{path}/model_{i}") for i in range(meta["models"])])
+        parts = [meta[k] for k in ("name", "classes", "numeric", "categorical")]
+        if meta["name"] == "rf":
+            return cls(*parts, PipelineModel.load(f"{path}/preparation"), RandomForestClassificationModel.load(f"{path}/model"))
+        state = read_json(f"{path}/boosted")
+        encoding = (TargetShares if meta["name"] == "catboost" else CategoryCodes)(**state["preparation"])
+        return cls(*parts, encoding, boosting.Boosted.from_state(state["model"]))
+
+
+def _numbers(numeric: list[str], encoding: CategoryCodes | TargetShares):
+    """The features of a boosted member as one array."""
+    return F.array(*[F.col(c) for c in numeric], *encoding.expressions()).cast("array<double>")
 
 
 def filled(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -220,34 +251,21 @@ def vector_names(prep: PipelineModel, numeric: list[str], categorical: list[str]
     return [*numeric, *[f"{c}_{v}" for c, labels in zip(categorical, indexer.labelsArray, strict=True) for v in labels]]
 
 
-def _preparation(name: str, numeric: list[str], categorical: list[str], out: str, label: str) -> Pipeline:
+def _one_hot(numeric: list[str], categorical: list[str]) -> Pipeline:
+    """Numbers and one-hot categories in a vector."""
     stages, parts = [], list(numeric)
     if categorical:
-        indexed = [f"{out}_i_{c}" for c in categorical]
+        indexed = [f"__v_i_{c}" for c in categorical]
+        coded = [f"__v_e_{c}" for c in categorical]
         stages.append(StringIndexer(
             inputCols=categorical, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
-        if name in ("rf", "catboost"):
-            coded = [f"{out}_e_{c}" for c in categorical]
-            # The indexer's extra slot for unseen values is the last one, so it is the one dropped.
-            stages.append(
-                OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True) if name == "rf" else
-                TargetEncoder(inputCols=indexed, outputCols=coded, labelCol=label, targetType="binary",
-                              handleInvalid="keep", smoothing=1.0))
-            parts += coded
-        else:
-            parts += indexed
-    stages.append(VectorAssembler(inputCols=parts, outputCol=out))
+        # The indexer's extra slot for unseen values is the last one, so it is the one dropped.
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True))
+        parts += coded
+    stages.append(VectorAssembler(inputCols=parts, outputCol="__v"))
     return Pipeline(stages=stages)
 
 
-def _bins(prep: PipelineModel, name: str, params: dict) -> dict:
-    """``maxBins`` large enough for the largest nominal feature."""
-    if name in ("lgbm", "xgb") and len(prep.stages) > 1:
-        most = max(len(labels) + 1 for labels in prep.stages[0].labelsArray)
-        return {**params, "maxBins": max(params.get("maxBins", 32), most)}
-    return params
-
-
 def best_round(losses: list[float], patience: int, tol: float = 0.0) -> int:
     """Rounds to keep: up to the lowest loss that ``patience`` further rounds don't undercut by more than ``tol``."""
     best, kept = math.inf, 0
@@ -259,62 +277,47 @@ def best_round(losses: list[float], patience: int, tol: float = 0.0) -> int:
     return max(1, kept)
 
 
-def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model of the first ``n`` rounds."""
-    java = model._java_obj
-    make = SparkContext._active_spark_context._jvm.org.apache.spark.ml.classification.GBTClassificationModel
-    cut = make(java.uid(), java.trees()[:n], java.treeWeights()[:n], java.numFeatures(), java.numClasses())
-    return GBTClassificationModel(java.copyValues(cut, java.extractParamMap()))
-
-
 def fit_member(
     name: str, df: DataFrame, numeric: list[str], categorical: list[str], classes: list[str],
     weights: dict[str, float] | None, params: dict, target: str = S.TARGET,
 ) -> Member:
-    """Fit one member on a prepared, cached frame; rows of a column ``HELD`` are only looked at to end boosting."""
+    """Fit one member on a prepared, cached frame; rows of a column ``HELD`` are only looked at to end boosting.
+
+    ``catboost`` with categories needs the rows' ``row_id``.
+    """
     label = literal_map({c: float(i) for i, c in enumerate(classes)})[F.col(target)]
     work = df.withColumn("__y", label)
-    extra: dict = {}
     params = dict(params)
     patience, tol = params.pop("patience", 0), params.pop("validationTol", 0.0)
-    watched = None
-    if params.pop("heldShare", 0):
-        work, watched = work.where(~F.col(HELD)), work.where(HELD)
-    summed = params.pop("summedGain", 0)
-    if summed:
-        params["minInfoGain"] = summed / max(1, work.count())
+    held = HELD if params.pop("heldShare", 0) else None
+    weight = None
     if weights is not None:
+        weight = "__w"
         work = work.withColumn("__w", literal_map(weights)[F.col(target)])
-        extra["weightCol"] = "__w"
     if name == "rf":
-        prep = _preparation(name, numeric, categorical, "__v", "__y").fit(work)
+        params.pop("summedGain", None)
+        prep = _one_hot(numeric, categorical).fit(work)
+        extra = {"weightCol": weight} if weight else {}
         forest = RandomForestClassifier(featuresCol="__v", labelCol="__y", **params, **extra)
-        return Member(name, classes, numeric, categorical, [prep], [forest.fit(prep.transform(work))])
-
-    common = vectors = None
-    if name != "catboost":
-        common = _preparation(name, numeric, categorical, "__v", "__y").fit(work)
-        kept = ["__v", "__y", *extra.values()]
-        vectors = common.transform(work).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one_side(i: int):
-        is_class = (F.col("__y") == i).cast("double")
-        if common is None:
-            side = work.withColumn("__y", is_class)
-            prep = _preparation(name, numeric, categorical, f"__v{i}", "__y").fit(side)
-            ready, column = prep.transform(side), f"__v{i}"
-        else:
-            prep, ready, column = common, vectors.withColumn("__y", is_class), "__v"
-        boosted = GBTClassifier(featuresCol=column, labelCol="__y", **_bins(prep, name, params), **extra).fit(ready)
-        if watched is not None:
-            seen = prep.transform(watched.withColumn("__y", is_class))
-            losses = boosted.evaluateEachIteration(seen)
-            boosted = first_rounds(boosted, best_round(list(losses), patience, tol))
-        return prep, boosted
-
-    with ThreadPoolExecutor(max_workers=len(classes)) as pool:
-        fits = list(pool.map(inheritable_thread_target(df.sparkSession)(one_side), range(len(classes))))
-    if vectors is not None:
-        vectors.unpersist()
-    preparations = [common] if common is not None else [p for p, _ in fits]
-    return Member(name, classes, numeric, categorical, preparations, [m for _, m in fits])
+        return Member(name, classes, numeric, categorical, prep, forest.fit(prep.transform(work)))
+
+    known = work.where(~F.col(HELD)) if held else work
+    nominal: dict[int, int] = {}
+    if name == "catboost":
+        encoding = TargetShares.fit(known, categorical, "__y", len(classes))
+        told = [f"__t{k}" for k in range(len(categorical) * len(classes))]
+        if categorical:
+            tasks = df.rdd.getNumPartitions()
+            work = encoding.ordered(work, S.ROW_ID, "__y", int(params.get("seed", 42)), told, held).coalesce(tasks)
+        vector = F.array(*[F.col(c) for c in [*numeric, *told]])
+    else:
+        encoding = CategoryCodes.fit(known, categorical)
+        nominal = {len(numeric) + k: n for k, n in enumerate(encoding.sizes())}
+        vector = _numbers(numeric, encoding)
+    features = len(numeric) + len(categorical) * (len(classes) if name == "catboost" else 1)
+    kept = [c for c in ("__y", weight, held) if c]
+    boosted = boosting.fit(
+        work.select(vector.cast("array<double>").alias("__x"), *kept), settings(name, params, len(classes), features), nominal, "__x", "__y", weight, held)
+    if held:
+        boosted = boosted.first(best_round(boosted.losses, patience, tol))
+    return Member(name, classes, numeric, categorical, encoding, boosted)

@@ -372,7 +372,7 @@ def m9(spark, d):
     # The file's own blocks; the summed-loss parameter among them must not keep later trees from splitting.
     blocks = load_parameters(spark, parameter_file(spark, PARAMETERS))
     df, model = classifier(spark, d, ["xgb"], parameters=blocks)
-    split = all(m.trees[min(5, len(m.trees) - 1)].numNodes > 1 for m in model.members["xgb"].models)
+    split = all(max(t.feature) >= 0 for t in model.members["xgb"].model.rounds[5])
     return model.predict(df, "xgb").groupBy("pred_xgb").agg(F.count("*").alias("n")).withColumn("later_trees_split", F.lit(split))
 
 
