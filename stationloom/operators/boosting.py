@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stationloom.session import checkpointed, shared_dir
 
 #: Bins of a numeric feature, rounds between writes of the tasks' sums, rounds of a one-task job.
-BINS, REFRESH, SEGMENT = 255, 10, 250
+BINS, REFRESH, SEGMENT = 255, 10, 1000
 
 
 @dataclass(frozen=True)
@@ -229,6 +229,14 @@ class Part:
                 some = np.flatnonzero(at >= 0)
                 at, bins, rows = at[some] * size, self.own_bins[some], self.rows[some]
             g, h, cells = self.g[c][rows], self.h[c][rows], len(nodes) * size
+            if bins.size <= 20_000:  # few rows: one call for all features costs less
+                keys = (at[:, None] * width + (bins + np.arange(width, dtype=np.int64) * size)).ravel()
+                cells *= width
+                counts = np.bincount(keys, minlength=cells)
+                for k, sums in enumerate((np.bincount(keys, np.repeat(g, width), cells), counts if self.plain else np.bincount(keys, np.repeat(h, width), cells), counts)):
+                    out[k, begin : begin + len(nodes)] = sums.reshape(len(nodes), width, size)
+                begin += len(nodes)
+                continue
             for f in range(width):
                 keys = at + bins[:, f]
                 counts = np.bincount(keys, minlength=cells)
@@ -312,7 +320,10 @@ class Chooser:
         """One choice per node."""
         gain, order, left = self.gains(sums, allowed)
         flat = gain.reshape(len(gain), -1)
-        top = flat.argmax(axis=1)
+        # of cuts that gain the same the first, whatever the order in which tasks were added up
+        most = flat.max(axis=1)
+        with np.errstate(invalid="ignore"):
+            top = (flat >= (most - 1e-9 * (1 + np.abs(most)))[:, None]).argmax(axis=1)
         out = []
         for i, at in enumerate(top.tolist()):
             if not flat[i, at] > self.s.min_gain + 1e-10:
@@ -327,13 +338,18 @@ class Chooser:
     def same(self, sums: np.ndarray, allowed: np.ndarray) -> tuple[int, int, float] | None:
         """The cut that gains most over all nodes together."""
         s = self.s
-        left = np.cumsum(sums, axis=3)
+        sums = sums[:, sums[2, :, 0].any(axis=1)]  # leaves without rows gain nothing
+        left = np.cumsum(sums[:2], axis=3)
         total = left[..., -1:]
         right = total - left
         gain = (_worth(left[0], left[1], s) + _worth(right[0], right[1], s)).sum(axis=0)
-        fits = ((left[2] >= max(1, s.min_rows)) & (right[2] >= max(1, s.min_rows))).any(axis=0) & allowed[:, None]
+        fits = np.broadcast_to(allowed[:, None], gain.shape)
+        if s.min_rows > 1:
+            count = np.cumsum(sums[2], axis=2)
+            fits = fits & ((count >= s.min_rows) & (count[..., -1:] - count >= s.min_rows)).any(axis=0)
         gain = np.where(fits, gain - _worth(total[0, :, :, 0], total[1, :, :, 0], s).sum(axis=0)[:, None], -np.inf)
-        f, b = divmod(int(gain.argmax()), gain.shape[1])
+        most = gain.max()
+        f, b = divmod(int((gain >= most - 1e-9 * (1 + abs(most))).argmax()) if np.isfinite(most) else 0, gain.shape[1])
         return (f, b, float(gain[f, b])) if gain[f, b] > s.min_gain + 1e-10 else None
 
     def values(self, *sides: np.ndarray) -> tuple[float, ...]:
@@ -508,31 +524,35 @@ def predicted(model: Boosted, vector: Column) -> Column:
     return run(vector)
 
 
+def starting_margins(s: Settings, weights: dict[int, float], mean: float) -> np.ndarray:
+    """The mean, or the logarithms of the classes' shares."""
+    if s.outputs == 1:
+        return np.array([mean])
+    total = sum(weights.values())
+    return np.log([max(weights.get(c, 0.0), 1e-9) / total for c in range(s.outputs)])
+
+
 def fit(
     rows: DataFrame, s: Settings, nominal: dict[int, int] | None = None, vector: str = "x", label: str = "y", weight: str | None = None, held: str | None = None,
-    bins: int = BINS, binning: Binning | None = None,
+    bins: int = BINS, binning: Binning | None = None, tasks: int = 1,
 ) -> Boosted:
     """Boost on ``vector`` (array of numbers without nulls) and ``label``; rows of ``held`` are only looked at.
 
-    ``nominal`` names the features that are codes, with their number. The rows keep their partitions: give few for a
-    small table, as with more than one every level is a job.
+    ``nominal`` names the features that are codes, with their number. ``tasks`` is what the rows are joined into: one
+    for a small table, as with more than one every level is a job.
     """
     data = rows.select(
         F.col(vector).alias("x"), F.col(label).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
-        (F.col(held) if held else F.lit(False)).alias("held"))
+        (F.col(held) if held else F.lit(False)).alias("held")).coalesce(tasks)
     known = data.filter("not held")
-    first = known.agg(F.max(F.size("x")).alias("width"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).first()
-    if first["width"] is None:
-        raise ValueError("There are no rows to learn from")
-    width = first["width"]
-    binning = binning or Binning.fit(known, F.col("x"), width, nominal or {}, bins)
-    if s.outputs == 1:
-        start = np.array([first["wy"] / first["w"]])
-    else:
-        shares = {int(r["y"]): r["w"] for r in known.groupBy("y").agg(F.sum("w").alias("w")).collect()}
-        start = np.log([max(shares.get(c, 0.0), 1e-9) / first["w"] for c in range(s.outputs)])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if binning is None:
+        first = known.select(F.size("x")).first()
+        if first is None:
+            raise ValueError("There are no rows to learn from")
+        binning = Binning.fit(known, F.col("x"), first[0], nominal or {}, bins)
+    width = len(binning.sizes)
+
+    def gathered(batches: Iterator[pa.RecordBatch], start: np.ndarray | None) -> Part | None:
         from pyspark import TaskContext
 
         xs, ys, ws, hs = [], [], [], []
@@ -540,15 +560,29 @@ def fit(
             if batch.num_rows:
                 xs.append(binning.apply(_matrix(batch.column(0), width)))
                 ys.append(batch.column(1).to_numpy()), ws.append(batch.column(2).to_numpy()), hs.append(batch.column(3).to_numpy(zero_copy_only=False))
-        if xs:
-            own = Part(TaskContext.get().partitionId(), np.concatenate(xs), np.concatenate(ys), np.concatenate(ws), np.concatenate(hs).astype(bool), start)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own, 5)], pa.large_binary())], ["part"])
+        if not xs:
+            return None
+        y, w, held = np.concatenate(ys), np.concatenate(ws), np.concatenate(hs).astype(bool)
+        if start is None:
+            sums = np.bincount(y[~held].astype(int), w[~held]) if s.outputs > 1 else []
+            start = starting_margins(s, dict(enumerate(sums)), float(np.average(y[~held], weights=w[~held])))
+        return Part(TaskContext.get().partitionId(), np.concatenate(xs), y, w, held, start)
 
     chooser = Chooser(s, binning)
+    model = Boosted(s, binning, np.zeros(s.outputs), [], [])
+    if tasks == 1:
+        return _in_one_task(data, gathered, model, chooser)
+    sums = known.groupBy("y" if s.outputs > 1 else F.lit(0)).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).collect()
+    total = sum(r["w"] for r in sums)
+    model.start = start = starting_margins(s, {int(r[0]): r["w"] for r in sums}, sum(r["wy"] for r in sums) / total)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = gathered(batches, start)
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own, 5)], pa.large_binary())], ["part"])
+
     # one row per task, and everything that follows reads these
-    parts = checkpointed(data.mapInArrow(part, "part binary"))
-    model = Boosted(s, binning, start, [], [])
-    return (_in_one_task if parts.count() == 1 else _level_by_level)(parts, model, chooser)
+    return _level_by_level(checkpointed(data.mapInArrow(part, "part binary")), model, chooser)
 
 
 def _rounds(part: Part, s: Settings, chooser: Chooser, begin: int, end: int) -> tuple[list[list[Tree]], list[float]]:
@@ -564,21 +598,31 @@ def _rounds(part: Part, s: Settings, chooser: Chooser, begin: int, end: int) ->
     return grown, losses
 
 
-def _in_one_task(parts: DataFrame, model: Boosted, chooser: Chooser) -> Boosted:
+def _in_one_task(data: DataFrame, gathered: Callable, model: Boosted, chooser: Chooser) -> Boosted:
     """``SEGMENT`` rounds per job: a lost executor costs no more than these."""
-    s = model.settings
+    s, parts = model.settings, None
     while len(model.rounds) < s.rounds:
         begin, end = len(model.rounds), min(s.rounds, len(model.rounds) + SEGMENT)
 
         def segment(batches: Iterator[pa.RecordBatch], begin=begin, end=end) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for blob in batch.column(0).to_pylist():
-                    part = pickle.loads(blob)
-                    found = _rounds(part, s, chooser, begin, end)
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(part, 5)], pa.large_binary()), pa.array([pickle.dumps(found, 5)], pa.large_binary())], ["part", "found"])
-
-        done = checkpointed(parts.mapInArrow(segment, "part binary, found binary"))
-        rounds, losses = pickle.loads(done.select("found").first()[0])
+            if begin == 0:
+                part = gathered(batches, None)
+                held = [] if part is None else [part]
+            else:
+                held = [pickle.loads(blob) for batch in batches for blob in batch.column(0).to_pylist()]
+            for part in held:
+                found = part.margin[0].copy(), *_rounds(part, s, chooser, begin, end)
+                more = pickle.dumps(part, 5) if end < s.rounds else b""
+                yield pa.RecordBatch.from_arrays([pa.array([more], pa.large_binary()), pa.array([pickle.dumps(found, 5)], pa.large_binary())], ["part", "found"])
+
+        done = (data if parts is None else parts).mapInArrow(segment, "part binary, found binary")
+        done = checkpointed(done) if end < s.rounds else done
+        found = done.select("found").collect()
+        if not found:
+            raise ValueError("There are no rows to learn from")
+        start, rounds, losses = pickle.loads(found[0][0])
+        if begin == 0:
+            model.start = start.copy()
         model.rounds += rounds
         model.losses += losses
         parts = done.select("part")

@@ -61,7 +61,7 @@ class TargetShares:
         for c in columns:
             known_levels(df, c)
             found: dict[str, np.ndarray] = {}
-            for r in df.groupBy(c, label).count().collect():
+            for r in df.where(F.col(c).isNotNull()).groupBy(c, label).count().collect():
                 found.setdefault(r[0], np.zeros(classes))[int(r[1])] = r[2]
             shares[c] = {v: ((n + weight * np.array(overall)) / (n.sum() + weight)).tolist() for v, n in found.items()}
         return cls(shares, overall, weight)

@@ -12,7 +12,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationloom.operators import boosting
+from stationloom.operators import boosting, forest
 from stationloom.operators.transforms import replaced
 from stationloom.session import checkpointed
 
@@ -269,6 +269,11 @@ class TreeChain:
     means: dict[str, float]
     steps: list[tuple[str, object]]
 
+    @property
+    def of_spark(self) -> bool:
+        """Whether the steps are models of Spark."""
+        return any(not isinstance(m, boosting.Boosted) for _, m in self.steps)
+
     def apply(self, df: DataFrame) -> DataFrame:
         """Fill nulls by running the fitted models in order.
 
@@ -278,7 +283,7 @@ class TreeChain:
         flags = {c: f"__gap_{c}" for c in {t for t, _ in self.steps}}
         if not flags:
             return fill(df, self.means)
-        if all(isinstance(m, boosting.Boosted) for _, m in self.steps):
+        if not self.of_spark:
             return self._replayed(df)
         work = fill(df.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), self.means)
         for k, (target, model) in enumerate(self.steps, 1):
@@ -307,12 +312,13 @@ class TreeChain:
         return filled.select(*[F.col(f"__filled.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
     def to_state(self) -> dict:
-        """Of a boosted chain."""
-        return {"columns": self.columns, "means": self.means, "steps": [[t, m.to_state()] for t, m in self.steps]}
+        """Of a chain without models of Spark."""
+        return {"columns": self.columns, "means": self.means, "steps": [[t, isinstance(m, forest.Forest), m.to_state()] for t, m in self.steps]}
 
     @classmethod
     def from_state(cls, state: dict) -> TreeChain:
-        return cls(state["columns"], state["means"], [(t, boosting.Boosted.from_state(m)) for t, m in state["steps"]])
+        return cls(state["columns"], state["means"], [
+            (t, (forest.Forest if mean else boosting.Boosted).from_state(m)) for t, mean, m in state["steps"]])
 
 
 #: Forests in a plan, at most.
@@ -338,8 +344,8 @@ def fit_tree_chain(
 ) -> TreeChain:
     """Chained imputation where each regression is a tree ensemble.
 
-    Lineage is cut through the shared checkpoint folder after every step, so no plan holds more than one model. For
-    boosting, bins are found once, before the first step.
+    Lineage is cut through the shared checkpoint folder after every step, so no plan holds more than one model. Bins are
+    found once, before the first step. Forests are Spark's where the table is larger than ``forest.MOST_ROWS``.
     """
     regressor = tree_regressor(kind, **params)
     means = column_means(df, columns)
@@ -360,7 +366,8 @@ def fit_tree_chain(
     work = df.select(*[F.col(c).cast("double").alias(c) for c in used])
     work = checkpointed(fill(work.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), means).coalesce(tasks))
     binning = None
-    if kind != "rf":
+    in_task = stats["n"] <= forest.MOST_ROWS
+    if kind != "rf" or in_task:
         binning = boosting.Binning.fit(work, F.array(*used), len(used), {})
     for _ in range(rounds):
         before = {c: f"__old_{c}" for c in order}
@@ -368,14 +375,20 @@ def fit_tree_chain(
         for target in order:
             known = work.where(~F.col(flags[target]))
             rest = [c for c in used if c != target]
-            if kind == "rf":
-                forest = regressor.setFeaturesCol("__x").setLabelCol(target).setPredictionCol(f"__p_{len(chain.steps)}")
-                model = forest.fit(_features(used, target).transform(known))
+            if kind == "rf" and in_task:
+                own = {"trees": regressor.getNumTrees(), "min_rows": regressor.getMinInstancesPerNode(), "seed": regressor.getSeed() + len(chain.steps)}
+                model = forest.fit_forest(
+                    known.select(F.array(*rest).alias("__x"), target), "__x", target, _without(binning, used.index(target)), depth=regressor.getMaxDepth(), **own)
+                predicted = boosting.predicted(model, F.when(F.col(flags[target]), F.array(*rest)))
+                filled = work.withColumn(target, F.when(F.col(flags[target]), predicted).otherwise(F.col(target)))
+            elif kind == "rf":
+                trees = regressor.setFeaturesCol("__x").setLabelCol(target).setPredictionCol(f"__p_{len(chain.steps)}")
+                model = trees.fit(_features(used, target).transform(known))
                 filled = _forest_step(work, used, target, flags[target], model)
             else:
                 model = boosting.fit(
                     known.select(F.array(*rest).alias("__x"), target), replace(regressor, seed=regressor.seed + len(chain.steps)), None, "__x", target,
-                    binning=_without(binning, used.index(target)))
+                    binning=_without(binning, used.index(target)), tasks=tasks)
                 # only rows with a gap go through Python
                 predicted = boosting.predicted(model, F.when(F.col(flags[target]), F.array(*rest)))
                 filled = work.withColumn(target, F.when(F.col(flags[target]), predicted).otherwise(F.col(target)))

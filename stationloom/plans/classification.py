@@ -78,11 +78,12 @@ class StationClassifier:
             # every tree level is a job over all partitions, so small ones are joined
             rows_in_all = sum(sizes.values())
             weights = balanced_weights(own, target) if any(b for _, b in translated.values()) else None
-            work, cached = work.coalesce(max(1, math.ceil(rows_in_all / TASK_ROWS))), work
+            tasks = max(1, math.ceil(rows_in_all / TASK_ROWS))
+            work, cached = work.coalesce(tasks), work
             for name, (params, balanced) in translated.items():
                 if shares[name] == share:
                     self.members[name] = fit_member(
-                        name, work, numeric, categorical, classes, weights if balanced else None, params, target)
+                        name, work, numeric, categorical, classes, weights if balanced else None, params, target, tasks)
             cached.unpersist()
         self.members = {n: self.members[n] for n in self.names}
         return self

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationloom import schema as S
@@ -15,6 +15,7 @@ from stationloom.operators import rows as R
 from stationloom.operators.summaries import cleaning_audit
 from stationloom.operators.transforms import replaced
 from stationloom.plans.state import OptionsEstimator, StateModel
+from stationloom.session import path_exists
 
 log = logging.getLogger(__name__)
 
@@ -147,7 +148,7 @@ class StationCleanerModel(StateModel):
         super().store(path)
         if self.trees is not None:
             from stationloom.plans.state import write_json
-            if self.opt("imputer") != "rf":
+            if not self.trees.of_spark:
                 write_json(f"{path}/chain/boosted", self.trees.to_state())
                 return
             for i, (_, model) in enumerate(self.trees.steps):
@@ -163,7 +164,7 @@ class StationCleanerModel(StateModel):
         from stationloom.plans.state import read_json
         model = super().restore(path)
         if model.opt("impute") and model.opt("imputer") in I.TREE_ESTIMATORS:
-            if model.opt("imputer") != "rf":
+            if not path_exists(SparkSession.active(), f"{path}/chain/index"):
                 model.trees = I.TreeChain.from_state(read_json(f"{path}/chain/boosted"))
                 return model
             index = read_json(f"{path}/chain/index")

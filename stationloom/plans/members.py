@@ -279,11 +279,11 @@ def best_round(losses: list[float], patience: int, tol: float = 0.0) -> int:
 
 def fit_member(
     name: str, df: DataFrame, numeric: list[str], categorical: list[str], classes: list[str],
-    weights: dict[str, float] | None, params: dict, target: str = S.TARGET,
+    weights: dict[str, float] | None, params: dict, target: str = S.TARGET, tasks: int = 1,
 ) -> Member:
     """Fit one member on a prepared, cached frame; rows of a column ``HELD`` are only looked at to end boosting.
 
-    ``catboost`` with categories needs the rows' ``row_id``.
+    ``catboost`` with categories needs the rows' ``row_id``. Boosting joins the rows into ``tasks``.
     """
     label = literal_map({c: float(i) for i, c in enumerate(classes)})[F.col(target)]
     work = df.withColumn("__y", label)
@@ -307,8 +307,7 @@ def fit_member(
         encoding = TargetShares.fit(known, categorical, "__y", len(classes))
         told = [f"__t{k}" for k in range(len(categorical) * len(classes))]
         if categorical:
-            tasks = df.rdd.getNumPartitions()
-            work = encoding.ordered(work, S.ROW_ID, "__y", int(params.get("seed", 42)), told, held).coalesce(tasks)
+            work = encoding.ordered(work, S.ROW_ID, "__y", int(params.get("seed", 42)), told, held)
         vector = F.array(*[F.col(c) for c in [*numeric, *told]])
     else:
         encoding = CategoryCodes.fit(known, categorical)
@@ -317,7 +316,8 @@ def fit_member(
     features = len(numeric) + len(categorical) * (len(classes) if name == "catboost" else 1)
     kept = [c for c in ("__y", weight, held) if c]
     boosted = boosting.fit(
-        work.select(vector.cast("array<double>").alias("__x"), *kept), settings(name, params, len(classes), features), nominal, "__x", "__y", weight, held)
+        work.select(vector.cast("array<double>").alias("__x"), *kept), settings(name, params, len(classes), features), nominal, "__x", "__y", weight, held,
+        tasks=tasks)
     if held:
         boosted = boosted.first(best_round(boosted.losses, patience, tol))
     return Member(name, classes, numeric, categorical, encoding, boosted)

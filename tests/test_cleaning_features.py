@@ -277,7 +277,7 @@ def test_correlation_with_gaps(spark):
 def test_tree_imputers_have_the_sizes_of_the_libraries(spark):
     forest, lgbm, cboost = (I.tree_regressor(k) for k in ("rf", "lgbm", "cboost"))
     assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 30)
-    assert (lgbm.getMaxIter(), lgbm.getMaxDepth(), cboost.getMaxIter(), cboost.getMaxDepth()) == (100, 5, 1000, 6)
+    assert (lgbm.rounds, lgbm.leaves, cboost.rounds, cboost.depth, cboost.symmetric) == (100, 31, 1000, 6, True)
     rows = [(k, float(k), None if k % 20 == 7 else 10.0 * (k >= 30)) for k in range(60)]
     df = spark.createDataFrame(rows, "row_id bigint, x double, y double").coalesce(1)
     done = I.fit_tree_chain(df, ["x", "y"], "lgbm", rounds=1).apply(df)

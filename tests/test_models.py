@@ -9,7 +9,7 @@ from stationloom.operators.silhouette import exact_silhouette
 from stationloom.plans import reports as RP
 from stationloom.plans.classification import StationClassifier
 from stationloom.plans.clustering import StationClusterer
-from stationloom.plans.members import best_round, translate
+from stationloom.plans.members import best_round, settings, translate
 
 SMALL = {
     "rf_params": {"n_estimators": 5, "max_depth": 4, "class_weight": "balanced"},
@@ -201,6 +201,11 @@ def test_hyper_parameters_are_merged_and_translated():
     assert params["maxDepth"] == 5 and params["maxIter"] == 3
     with pytest.raises(ValueError, match="31"):
         translate("rf", {"max_depth": 31})
+    params, _ = translate("lgbm", {"reg_alpha": 0.1, "reg_lambda": 1.0, "min_child_samples": 5, "num_leaves": 20})
+    assert (params["l1"], params["l2"], params["minInstancesPerNode"], params["leaves"], params["minWeight"]) == (0.1, 1.0, 5, 20, 1e-3)
+    whole = settings("xgb", translate("xgb", {"alpha": 0.1, "lambda": 2, "gamma": 0.2, "min_child_weight": 3, "subsample": 0.8})[0], 3, 10)
+    assert (whole.l1, whole.l2, whole.min_gain, whole.min_weight, whole.row_share, whole.column_share) == (0.1, 2.0, 0.4, 3.0, 0.8, 1.0)
+    assert settings("catboost", translate("catboost", {"depth": 5, "l2_leaf_reg": 5})[0], 3, 10).symmetric
     params, _ = translate("xgb", {"gamma": 0.2, "colsample_bytree": 0.8})
     assert "minInfoGain" not in params and params["summedGain"] == 0.2 and params["featureSubsetStrategy"] == "0.8" and params["maxIter"] == 500
 
@@ -210,10 +215,10 @@ def test_boosting_stops_early_only_on_held_rows_and_with_patience(stations):
     assert best_round([5, 4.9, 4.8, 4.7], 2, 0.5) == 1 and best_round([3, 2, 1], 2) == 3
     given = {"n_estimators": 12, "max_depth": 3, "learning_rate": 0.9, "early_stopping_rounds": 2}
     whole = StationClassifier(["xgb"], use_smote=False, xgb_params=given).fit(stations)
-    assert [m.getNumTrees for m in whole.members["xgb"].models] == [12, 12, 12]
+    assert len(whole.members["xgb"].model.rounds) == 12
     held = given | {"validation_fraction": 0.2, "validationTol": 100.0}
     cut = StationClassifier(["xgb"], use_smote=False, xgb_params=held).fit(stations)
-    assert [m.getNumTrees for m in cut.members["xgb"].models] == [1, 1, 1]
+    assert len(cut.members["xgb"].model.rounds) == 1
     assert cut.predict(stations, "xgb").where("pred_xgb is null").count() == 0
 
 
