@@ -187,11 +187,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 class Part:
     """The rows of one task, and what they add to an exchange."""
 
-    def __init__(self, number: int, bins: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, start: np.ndarray):
+    def __init__(self, number: int, bins: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, start: np.ndarray, plain: bool = False):
         self.number, self.bins, self.y, self.w, self.held = number, bins, y, w, held
         self.margin = np.tile(start.astype(float), (len(y), 1))
-        # with squared error and no weights second derivatives are counts
-        self.plain = len(start) == 1 and bool((w == 1).all())
+        # with squared error and no weights second derivatives are counts; all tasks must see it alike
+        self.plain = plain
 
     def begin(self, s: Settings, k: int) -> None:
         """Derivatives for round ``k``, of the rows drawn for it."""
@@ -201,7 +201,7 @@ class Part:
             drawn = drawn & (np.random.default_rng((s.seed, k, self.number)).random(len(w)) < s.row_share)
             w = np.where(drawn, w, 0.0)
         if s.outputs == 1:
-            self.g, self.h = (w * (self.margin[:, 0] - self.y))[None, :], w[None, :]
+            self.g, self.h = (w * (self.margin[:, 0] - self.y))[None, :], w[None, :].astype(float)
         else:
             p = softmax(self.margin)
             own = np.zeros_like(p)
@@ -212,9 +212,10 @@ class Part:
         self.own_bins = self.bins[self.rows]
 
     def sums(self, trees: list[Tree], asked: list[list[int]], size: int) -> np.ndarray:
-        """For each tree and asked node: first and second derivatives and rows, per feature and bin."""
+        """For each tree and asked node: first and second derivatives and rows, per feature and bin. The rows come last."""
         width = self.bins.shape[1]
-        out = np.empty((3, sum(map(len, asked)), width, size))
+        # second derivatives that are counts are sent once
+        out = np.empty((2 if self.plain else 3, sum(map(len, asked)), width, size))
         begin = 0
         for c, nodes in enumerate(asked):
             if not nodes:
@@ -233,14 +234,16 @@ class Part:
                 keys = (at[:, None] * width + (bins + np.arange(width, dtype=np.int64) * size)).ravel()
                 cells *= width
                 counts = np.bincount(keys, minlength=cells)
-                for k, sums in enumerate((np.bincount(keys, np.repeat(g, width), cells), counts if self.plain else np.bincount(keys, np.repeat(h, width), cells), counts)):
+                second = [] if self.plain else [np.bincount(keys, np.repeat(h, width), cells)]
+                for k, sums in enumerate((np.bincount(keys, np.repeat(g, width), cells), *second, counts)):
                     out[k, begin : begin + len(nodes)] = sums.reshape(len(nodes), width, size)
                 begin += len(nodes)
                 continue
             for f in range(width):
                 keys = at + bins[:, f]
                 counts = np.bincount(keys, minlength=cells)
-                for k, sums in enumerate((np.bincount(keys, g, cells), counts if self.plain else np.bincount(keys, h, cells), counts)):
+                second = [] if self.plain else [np.bincount(keys, h, cells)]
+                for k, sums in enumerate((np.bincount(keys, g, cells), *second, counts)):
                     out[k, begin : begin + len(nodes), f] = sums.reshape(len(nodes), size)
             begin += len(nodes)
         return out
@@ -305,15 +308,15 @@ class Chooser:
         s, order = self.s, None
         if self.nominal.any():
             order = np.tile(np.arange(sums.shape[3]), (*sums.shape[1:3], 1))
-            ratio = np.where(sums[2] > 0, sums[0] / (sums[1] + s.l2 + 1e-12), np.inf)[:, self.nominal]
+            ratio = np.where(sums[-1] > 0, sums[0] / (sums[1] + s.l2 + 1e-12), np.inf)[:, self.nominal]
             order[:, self.nominal] = np.argsort(ratio, axis=2, kind="stable")
             sums = np.take_along_axis(sums, order[None], axis=3)
         left = np.cumsum(sums, axis=3)
         total = left[..., -1:]
         right = total - left
         gain = _worth(left[0], left[1], s) + _worth(right[0], right[1], s) - _worth(total[0], total[1], s)
-        fits = (left[2] >= s.min_rows) & (right[2] >= s.min_rows) & (left[1] >= s.min_weight) & (right[1] >= s.min_weight)
-        fits &= (left[2] > 0) & (right[2] > 0) & allowed[None, :, None]
+        fits = (left[-1] >= s.min_rows) & (right[-1] >= s.min_rows) & (left[1] >= s.min_weight) & (right[1] >= s.min_weight)
+        fits &= (left[-1] > 0) & (right[-1] > 0) & allowed[None, :, None]
         return np.where(fits, gain, -np.inf), order, left
 
     def best(self, sums: np.ndarray, allowed: np.ndarray) -> list[Choice]:
@@ -332,20 +335,20 @@ class Chooser:
             f, b = divmod(at, gain.shape[2])
             group = order[i, f, : b + 1].tolist() if order is not None and self.nominal[f] else None
             one, other = left[:, i, f, b], left[:, i, f, -1] - left[:, i, f, b]
-            out.append(Choice(float(flat[i, at]), f, b, group, self.values(one, other), (one[2], other[2])))
+            out.append(Choice(float(flat[i, at]), f, b, group, self.values(one, other), (one[-1], other[-1])))
         return out
 
     def same(self, sums: np.ndarray, allowed: np.ndarray) -> tuple[int, int, float] | None:
         """The cut that gains most over all nodes together."""
         s = self.s
-        sums = sums[:, sums[2, :, 0].any(axis=1)]  # leaves without rows gain nothing
+        sums = sums[:, sums[-1, :, 0].any(axis=1)]  # leaves without rows gain nothing
         left = np.cumsum(sums[:2], axis=3)
         total = left[..., -1:]
         right = total - left
         gain = (_worth(left[0], left[1], s) + _worth(right[0], right[1], s)).sum(axis=0)
         fits = np.broadcast_to(allowed[:, None], gain.shape)
         if s.min_rows > 1:
-            count = np.cumsum(sums[2], axis=2)
+            count = np.cumsum(sums[-1], axis=2)
             fits = fits & ((count >= s.min_rows) & (count[..., -1:] - count >= s.min_rows)).any(axis=0)
         gain = np.where(fits, gain - _worth(total[0, :, :, 0], total[1, :, :, 0], s).sum(axis=0)[:, None], -np.inf)
         most = gain.max()
@@ -404,7 +407,7 @@ def grow(s: Settings, chooser: Chooser, k: int, exchange: Callable[[list[Tree],
                 if parent >= 0:
                     rest = kept[c].pop(parent) - found[node]
                     np.maximum(rest[1:], 0, out=rest[1:])  # what rounding left below
-                    found[sibling] = np.where(rest[2] > 0, rest, 0)
+                    found[sibling] = np.where(rest[-1] > 0, rest, 0)
             kept[c].update(found)
             nodes = sorted(found)
             stacked = np.stack([found[n] for n in nodes], axis=1)
@@ -566,7 +569,7 @@ def fit(
         if start is None:
             sums = np.bincount(y[~held].astype(int), w[~held]) if s.outputs > 1 else []
             start = starting_margins(s, dict(enumerate(sums)), float(np.average(y[~held], weights=w[~held])))
-        return Part(TaskContext.get().partitionId(), np.concatenate(xs), y, w, held, start)
+        return Part(TaskContext.get().partitionId(), np.concatenate(xs), y, w, held, start, s.outputs == 1 and weight is None)
 
     chooser = Chooser(s, binning)
     model = Boosted(s, binning, np.zeros(s.outputs), [], [])
