@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationloom.llm.samples import labelled_sample
 from stationloom.llm.text import raw_bytes, text_slices, whole_text
 
 BLOCK, WIDTH, FILTERS, EMBEDDED, HIDDEN = 128, 8, 16, 8, 16
@@ -26,15 +27,19 @@ THRESHOLD = 0.3
 
 
 def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts as rows of ``BLOCK`` bytes, each text filled up with zeros (an empty one is a block of
-    zeros), and the number of rows before each text."""
+    """Texts as rows of ``BLOCK`` bytes and the ``WIDTH - 1`` that follow in the text, each text filled up with
+    zeros (an empty one is a block of zeros), and the number of rows before each text."""
     sizes = np.diff(offsets)
     rows = np.maximum(1, -(-sizes // BLOCK))
     before = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(rows, out=before[1:])
     out = np.zeros(int(before[-1]) * BLOCK, np.uint8)
     out[np.arange(len(data)) + np.repeat(before[:-1] * BLOCK - offsets[:-1], sizes)] = data
-    return out.reshape(-1, BLOCK), before
+    out = out.reshape(-1, BLOCK)
+    after = np.zeros((len(out), WIDTH - 1), np.uint8)
+    after[:-1] = out[1:, : WIDTH - 1]
+    after[before[1:] - 1] = 0
+    return np.hstack([out, after]), before
 
 
 @dataclass
@@ -67,10 +72,10 @@ class ByteNet:
     def pooled(self, rows: np.ndarray, positions: bool = False):
         """The largest output of each filter in each block, and where it starts.
 
-        A filter reads on into the following bytes of the flat rows, also of the next text; places whose
-        filter would leave the block's own bytes are left out, so a text never depends on its neighbour.
+        A filter that starts at the end of a block reads on into the bytes that follow in the text, or zeros behind
+        its end, so every position counts and a text never depends on its neighbour.
         """
-        tables, last = self.tables(), BLOCK - WIDTH + 1
+        tables, last = self.tables(), BLOCK
         best = np.empty((len(rows), FILTERS), np.float32)
         where = np.empty((len(rows), FILTERS), np.int64) if positions else None
         for a in range(0, len(rows), 256):
@@ -125,7 +130,7 @@ class ByteNet:
         chunk, f = np.nonzero(d_pooled)
         g = d_pooled[chunk, f]
         row = source[chunk, f]
-        at = row * BLOCK + where[row, f]
+        at = row * rows.shape[1] + where[row, f]
         flat, d_tables = rows.ravel(), np.empty((WIDTH, 256, FILTERS), np.float32)
         for k in range(WIDTH):
             d_tables[k] = np.bincount(flat[at + k].astype(np.int64) * FILTERS + f, g, 256 * FILTERS).reshape(256, FILTERS)
@@ -172,25 +177,10 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> ByteNet:
     """Train on a bounded sample of the labelled documents that aren't held out.
 
-    The sample is the ``per_class`` ids of each label with the smallest hashes, as far as their texts
-    fit into ``sample_bytes``. Labels other than 0 and 1, and null ids, are no labels; an id labelled
-    twice counts once, as its larger label.
+    See ``samples.labelled_sample``: ``per_class`` documents of each label and ``sample_bytes`` of text at most.
     """
-    known = labels.filter("doc_id is not null and quality in (0, 1)").filter(~is_held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    totals = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    if not totals:
-        return train([], np.empty(0), 0.0)
-    ranked = known.withColumn("_order", F.xxhash64("doc_id"))
-    parts = [ranked.filter(F.col("quality") == q).orderBy("_order", "doc_id").limit(per_class) for q in (0, 1)]
-    picked = parts[0].unionAll(parts[1])
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    # the sample is bounded by its parameter, so it may travel to the documents
-    found = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    found = found.withColumn("_sum", F.expr("sum(octet_length(text)) over (order by _order, doc_id)"))
-    rows = found.filter(F.col("_sum") <= sample_bytes).select("text", "quality").collect()
-    odds = np.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
-    return train([r["text"] for r in rows], np.array([r["quality"] for r in rows]), float(odds))
+    sample = labelled_sample(docs, labels, "quality", is_held_out(F.col("doc_id")), {0: per_class, 1: per_class}, sample_bytes)
+    return train(sample.texts, sample.labels, sample.log_odds)
 
 
 def quality_scores(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD) -> DataFrame:

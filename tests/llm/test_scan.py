@@ -89,6 +89,30 @@ def test_the_whole_text_counts():
     assert good > 0.8 and tail < good - 0.1
 
 
+def test_pooling_is_a_plain_convolution_over_every_position():
+    net = quality.ByteNet.fresh(np.random.default_rng(4))
+    texts = ["", "ab", "x" * 127 + "yz", "".join(chr(33 + k * 7 % 90) for k in range(700)), "q" * 128, "end"]
+    best, _ = net.pooled(*quality.blocks_of(*quality.raw_bytes(pa.array(texts)))[:1])
+    row = 0
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        blocks = max(1, -(-len(data) // quality.BLOCK))
+        padded = np.append(data, np.zeros(blocks * quality.BLOCK + quality.WIDTH - len(data), np.uint8))
+        at = [sum(net.embedding[padded[p + k]] @ net.filters[k] for k in range(quality.WIDTH)) for p in range(blocks * quality.BLOCK)]
+        want = np.array(at).reshape(blocks, quality.BLOCK, -1).max(axis=1)
+        assert np.allclose(best[row : row + blocks], want, atol=1e-4)
+        row += blocks
+
+
+def test_a_text_beyond_the_bound_is_passed_over(spark, make_docs, monkeypatch):
+    pairs = [(i, "long " * 3000 if i % 9 == 0 else f"text {i} " * 5) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda texts, y, odds: seen.update(texts=texts, y=y))
+    quality.fit(make_docs(pairs), labels, per_class=100, sample_bytes=10_000)
+    assert len(seen["texts"]) > 100 and max(map(len, seen["texts"])) < 100 and set(seen["y"].tolist()) == {0, 1}
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(3)
     net = quality.ByteNet.fresh(rng)
