@@ -10,6 +10,9 @@ from check_queries import TABLES, rows_of
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
+# With a hundred labelled rows the class shares of categories are noise, and one row in 128 is misjudged.
+NEEDS_MORE_ROWS = {"m5_catboost_member": "/root/testdata/sf0.01", "s17_classifier_round_trip": "/root/testdata/sf0.01"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -24,8 +27,9 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n in ORACLES and n != "r3_balanced_sample"))
 def test_matches_sql(spark, sf, duck, name):
-    df = QUERIES[name](spark, sf)
-    cur = duck(sf).execute(ORACLES[name])
+    folder = NEEDS_MORE_ROWS.get(name, sf)
+    df = QUERIES[name](spark, folder)
+    cur = duck(folder).execute(ORACLES[name])
     columns = [c[0] for c in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
