@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationloom.operators import boosting, forest
@@ -17,6 +17,8 @@ from stationloom.operators.transforms import replaced
 from stationloom.session import checkpointed
 
 TREE_ESTIMATORS = ("rf", "lgbm", "cboost")
+#: Missing-value patterns up to which the linear chain works on one matrix per pattern.
+MAX_PATTERNS = 256
 
 
 def column_means(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -135,20 +137,23 @@ def bayesian_ridge(
     return basis @ (rotated / (eigen + weight / noise))
 
 
+def _pattern(columns: list[str]) -> Column:
+    """Missing-value pattern of a row as text, ``1`` for a gap."""
+    return F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+
+
 def _pattern_moments(df: DataFrame, columns: list[str], means: np.ndarray) -> dict[tuple, np.ndarray]:
     """Second-moment matrix of ``(1, x - mean)`` per missing-value pattern, in one pass.
 
-    A row only contributes through its pattern's matrix, whatever the chain does later. The
-    number of patterns is at most two to the number of incomplete columns.
+    A row only contributes through its pattern's matrix, whatever the chain does later.
     """
     d = len(columns)
     z = [F.coalesce(F.col(c).cast("double") - F.lit(float(m)), F.lit(0.0)) for c, m in zip(columns, means, strict=True)]
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
     sums = [F.count("*").alias("n")]
     sums += [F.sum(z[i]).alias(f"s{i}") for i in range(d)]
     sums += [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
     out = {}
-    for row in df.groupBy(pattern.alias("pattern")).agg(*sums).collect():
+    for row in df.groupBy(_pattern(columns).alias("pattern")).agg(*sums).collect():
         m = np.zeros((d + 1, d + 1))
         m[0, 0] = row["n"]
         for i in range(d):
@@ -159,13 +164,31 @@ def _pattern_moments(df: DataFrame, columns: list[str], means: np.ndarray) -> di
     return out
 
 
-def fit_linear_chain(df: DataFrame, columns: list[str], rounds: int = 10, tol: float = 1e-3) -> LinearChain:
-    """Chained Bayesian-ridge imputation fitted from three passes over the data.
+def _regression(total: np.ndarray, t: int, means: np.ndarray) -> tuple[np.ndarray, Step]:
+    """Regression of column ``t`` from second moments, on ``(1, z)`` and as a step on plain values."""
+    d = len(means)
+    n = total[0, 0]
+    first = total[0, 1:] / n
+    cov = total[1:, 1:] - n * np.outer(first, first)
+    rest = [i for i in range(d) if i != t]
+    coef = bayesian_ridge(cov[np.ix_(rest, rest)], cov[rest, t], cov[t, t], n)
+    row = np.zeros(d + 1)
+    row[0] = first[t] - coef @ first[rest]
+    row[[i + 1 for i in rest]] = coef
+    return row, Step(int(t), row[1:].copy(), float(row[0] + means[t] - row[1:] @ means))
+
+
+def fit_linear_chain(
+    df: DataFrame, columns: list[str], rounds: int = 10, tol: float = 1e-3, max_patterns: int = MAX_PATTERNS
+) -> LinearChain:
+    """Chained Bayesian-ridge imputation.
 
     Every imputed value is an affine function of a row's observed values, and which one
-    depends only on the row's missing pattern. So the regressions of all rounds follow from
-    the patterns' moment matrices; a last pass measures how far each round moved the imputed
-    values and cuts the chain at the first round that stays below the tolerance.
+    depends only on the row's missing pattern. Where the rows have at most ``max_patterns``
+    patterns, the regressions of all rounds follow from the patterns' moment matrices, in four
+    passes over the data. With more of them the chain runs over the rows themselves, one job per
+    regression; then the driver holds a single matrix. Either way the chain ends with the first
+    round that moves no row by the tolerance.
     """
     d = len(columns)
     stats = df.agg(
@@ -176,9 +199,22 @@ def fit_linear_chain(df: DataFrame, columns: list[str], rounds: int = 10, tol: f
     ).first()
     means = np.array([stats[f"m{i}"] or 0.0 for i in range(d)])
     gaps = [stats["n"] - stats[f"n{i}"] for i in range(d)]
-    order = [i for i in np.argsort(gaps, kind="stable") if 0 < gaps[i] < stats["n"]]
+    order = [int(i) for i in np.argsort(gaps, kind="stable") if 0 < gaps[i] < stats["n"]]
     if not order or d < 2:
         return LinearChain(list(columns), means.tolist(), [])
+    smallest = tol * max(stats[f"x{i}"] or 0.0 for i in range(d))
+    # Up to log2(max_patterns) incomplete columns can't have more patterns, so nothing is counted.
+    incomplete = sum(g > 0 for g in gaps)
+    few = 2**incomplete <= max_patterns or (
+        df.select(_pattern(columns)).distinct().limit(max_patterns + 1).count() <= max_patterns)
+    run = _chain_of_patterns if few else _chain_of_rows
+    return LinearChain(list(columns), means.tolist(), run(df, columns, means, order, rounds, smallest))
+
+
+def _chain_of_patterns(
+    df: DataFrame, columns: list[str], means: np.ndarray, order: list[int], rounds: int, smallest: float
+) -> list[Step]:
+    """All rounds from one moment matrix per pattern."""
     moments = _pattern_moments(df, columns, means)
     # maps[p] turns the observed (1, z) of pattern p into the current completed (1, z).
     maps = {p: np.diag([1.0, *[0.0 if hole else 1.0 for hole in p]]) for p in moments}
@@ -186,26 +222,86 @@ def fit_linear_chain(df: DataFrame, columns: list[str], rounds: int = 10, tol: f
     history = [{p: m.copy() for p, m in maps.items()}]
     for _ in range(rounds):
         for t in order:
-            total = sum(maps[p] @ moments[p] @ maps[p].T for p in moments if not p[t])
-            n = total[0, 0]
-            first = total[0, 1:] / n
-            cov = total[1:, 1:] - n * np.outer(first, first)
-            rest = [i for i in range(d) if i != t]
-            coef = bayesian_ridge(cov[np.ix_(rest, rest)], cov[rest, t], cov[t, t], n)
-            row = np.zeros(d + 1)
-            row[0] = first[t] - coef @ first[rest]
-            row[[i + 1 for i in rest]] = coef
+            row, step = _regression(sum(maps[p] @ moments[p] @ maps[p].T for p in moments if not p[t]), t, means)
             for p, m in maps.items():
                 if p[t]:
                     m[t + 1] = row @ m
-            weights = np.zeros(d)
-            weights[rest] = coef
-            steps.append(Step(int(t), weights, float(row[0] + means[t] - weights @ means)))
+            steps.append(step)
         history.append({p: m.copy() for p, m in maps.items()})
-    largest = max(stats[f"x{i}"] or 0.0 for i in range(d))
     moved = _round_shifts(df, columns, means, history)
-    last = next((r + 1 for r, shift in enumerate(moved) if shift < tol * largest), rounds)
-    return LinearChain(list(columns), means.tolist(), steps[: last * len(order)])
+    last = next((r + 1 for r, shift in enumerate(moved) if shift < smallest), rounds)
+    return steps[: last * len(order)]
+
+
+def _chain_of_rows(
+    df: DataFrame, columns: list[str], means: np.ndarray, order: list[int], rounds: int, smallest: float
+) -> list[Step]:
+    """The chain over centred rows with gaps, completed so far, which each round writes anew.
+
+    A job replays the steps of the present round on its rows and adds up one matrix; complete
+    rows are added up once. So a task holds a batch, and the driver one matrix and the steps.
+    """
+    d = len(columns)
+    names = [f"z{i}" for i in range(d)]
+    centred = df.select(
+        *[(F.col(c).cast("double") - F.lit(float(m))).alias(z) for c, m, z in zip(columns, means, names, strict=True)],
+        _pattern(columns).alias("holes"), F.lit(0.0).alias("shift"))
+    complete = F.col("holes") == "0" * d
+    whole = _second_moments(centred.where(complete), names, [], None)
+    state = checkpointed(centred.where(~complete).fillna(0.0, subset=names))
+    steps: list[Step] = []
+    for _ in range(rounds):
+        present: list[tuple[int, np.ndarray]] = []
+        for t in order:
+            row, step = _regression(whole + _second_moments(state, names, present, t), t, means)
+            present.append((t, row))
+            steps.append(step)
+        state = checkpointed(state.mapInPandas(_completed(names, present), state.schema))
+        if state.agg(F.max("shift")).first()[0] < smallest:
+            break
+    return steps
+
+
+def _replayed(block: pd.DataFrame, names: list[str], present: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as ``(1, z)`` after the given steps, and where they have gaps."""
+    z = np.hstack([np.ones((len(block), 1)), block[names].to_numpy(dtype=float)])
+    holes = np.frombuffer("".join(block["holes"]).encode(), dtype=np.uint8).reshape(len(block), len(names)) == ord("1")
+    for target, row in present:
+        at = holes[:, target]
+        z[at, target + 1] = z[at] @ row
+    return z, holes
+
+
+def _completed(names: list[str], present: list[tuple[int, np.ndarray]]):
+    def run(batches):
+        for block in batches:
+            z, _ = _replayed(block, names, present)
+            moved = np.abs(z[:, 1:] - block[names].to_numpy(dtype=float)).sum(axis=1)
+            yield pd.DataFrame(z[:, 1:], columns=names).assign(holes=block["holes"].to_numpy(), shift=moved)
+    return run
+
+
+def _second_moments(
+    frame: DataFrame, names: list[str], present: list[tuple[int, np.ndarray]], target: int | None
+) -> np.ndarray:
+    """Second moments of ``(1, z)`` after the given steps, over rows in which ``target`` is observed."""
+    size = len(names) + 1
+
+    def add_up(batches):
+        total = np.zeros((size, size))
+        for block in batches:
+            if len(block):
+                z, holes = _replayed(block, names, present)
+                if target is not None:
+                    z = z[~holes[:, target]]
+                total += z.T @ z
+        yield pd.DataFrame({"cell": np.arange(size * size), "part": total.ravel()})
+
+    cells = frame.mapInPandas(add_up, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("part")).collect()
+    out = np.zeros(size * size)
+    for cell in cells:
+        out[cell["cell"]] = cell["part"]
+    return out.reshape(size, size)
 
 
 def _round_shifts(df: DataFrame, columns: list[str], means: np.ndarray, history: list[dict]) -> list[float]:

@@ -419,6 +419,63 @@ def l3b(spark, d):
     return _observed(I.fit_linear_chain(df, NUMERIC_HERE).apply(df), df)
 
 
+# One column with gaps and one predictor: its evidence rounds as a recursion over four sums.
+_ONE_GAP = """
+WITH RECURSIVE given AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x,
+    CASE WHEN l_suppkey % 3 > 0 THEN l_extendedprice / 1000 END AS y FROM lineitem),
+sums AS (
+  SELECT count(*) AS n, avg(m.x) AS mx, avg(m.y) AS my, regr_sxx(m.y, m.x) AS gram, regr_sxy(m.y, m.x) AS moment,
+    regr_syy(m.y, m.x) AS energy FROM given m WHERE y IS NOT NULL),
+rounds AS (
+  SELECT 0 AS r, CAST(NULL AS DOUBLE) AS old, 1 / (energy / n + 2.220446049250313e-16) AS noise, CAST(1 AS DOUBLE) AS weight,
+    moment / (gram + energy / n + 2.220446049250313e-16) AS coef, false AS done FROM sums
+  UNION ALL
+  SELECT r + 1, coef, noise2, weight2, moment / (gram + weight2 / noise2),
+    coalesce(abs(moment / (gram + weight2 / noise2) - coef) < 1e-3, false) OR r = 298
+  FROM (
+    SELECT *, (n - used + 2e-6) / (greatest(energy - 2 * coef * moment + coef * coef * gram, 0) + 2e-6) AS noise2
+    FROM (SELECT *, (used + 2e-6) / (coef * coef + 2e-6) AS weight2
+      FROM (SELECT *, noise * gram / (weight + noise * gram) AS used FROM rounds, sums) a) b) c
+  WHERE NOT done),
+-- the weights of the round that ended the search are those of one more update
+last AS (SELECT * FROM rounds ORDER BY r DESC LIMIT 1),
+ended AS (
+  SELECT moment / (gram + w / ((n - used + 2e-6) / (greatest(energy - 2 * coef * moment + coef * coef * gram, 0) + 2e-6))) AS slope, mx, my
+  FROM (SELECT *, (used + 2e-6) / (coef * coef + 2e-6) AS w
+    FROM (SELECT *, noise * gram / (weight + noise * gram) AS used FROM last, sums) a) b)
+SELECT l_orderkey, l_linenumber, x, round(coalesce(y, my + slope * (x - mx)), 6) AS y FROM given, ended"""
+
+
+@query("l3_one_gap_column", _ONE_GAP)
+def l3c(spark, d):
+    y = F.when(F.col("l_suppkey") % 3 > 0, F.col("l_extendedprice") / 1000)
+    df = X.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"), y.alias("y"))
+    return I.fit_linear_chain(df, ["x", "y"]).apply(df).withColumn("y", F.round("y", 6))
+
+
+# Twelve columns with gaps at random, so that most rows have a pattern of their own; observed values stay.
+_MANY = [f"v{i}" for i in range(12)]
+_MANY_SQL = f"""
+SELECT l_orderkey, l_linenumber, 0 AS gaps, {", ".join(
+    f"CASE WHEN (l_orderkey * 31 + l_linenumber * 17 + l_partkey * {2 * i + 3} + l_suppkey * {i + 1}) % 7 > 1 "
+    f"THEN l_quantity * {i + 1} + l_discount * {100 - i} END AS {c}" for i, c in enumerate(_MANY))} FROM lineitem"""
+
+
+@query("l3_pattern_per_row", _MANY_SQL)
+def l3d(spark, d):
+    def value(i):
+        spot = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_partkey") * (2 * i + 3) + F.col("l_suppkey") * (i + 1)
+        return F.when(spot % 7 > 1, F.col("l_quantity") * (i + 1) + F.col("l_discount") * (100 - i)).cast("double")
+    keys = ["l_orderkey", "l_linenumber"]
+    df = X.table(spark, d, "lineitem").select(*keys, *[value(i).alias(c) for i, c in enumerate(_MANY)])
+    filled = I.fit_linear_chain(df, _MANY, rounds=2).apply(df.select(*keys, *_MANY, *[F.col(c).alias(f"old_{c}") for c in _MANY]))
+    gaps = sum((F.col(c).isNull().cast("int") for c in _MANY), F.lit(0))
+    kept = [F.when(F.col(f"old_{c}").isNotNull(), F.col(c)).alias(c) for c in _MANY]
+    return filled.select(*keys, gaps.alias("gaps"), *kept)
+
+
 def _tree_chain(kind, **params):
     def run(spark, d):
         df = P.structural(X.stations_raw(spark, d))

@@ -117,7 +117,8 @@ def ridge_by_rows(x, rounds, tol=1e-3):
     return z
 
 
-def test_linear_chain_equals_row_by_row(spark):
+@pytest.mark.parametrize("max_patterns", [I.MAX_PATTERNS, 0])
+def test_linear_chain_equals_row_by_row(spark, max_patterns):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 2))
     x = np.column_stack([base[:, 0] * 5 + 100, base @ [1.0, 2.0] + rng.normal(0, 0.1, 300), base[:, 1] * 3,
@@ -127,13 +128,40 @@ def test_linear_chain_equals_row_by_row(spark):
     names = list("abcd")
     rows = [(i, *[None if math.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "row_id bigint, a double, b double, c double, d double").repartition(4)
-    chain = I.fit_linear_chain(df, names)
+    chain = I.fit_linear_chain(df, names, max_patterns=max_patterns)
     got = np.array([[r[c] for c in names] for r in chain.apply(df).orderBy("row_id").collect()])
     assert np.allclose(got, ridge_by_rows(x.copy(), 10), atol=1e-6)
     again = I.LinearChain.from_state(chain.to_state()).apply(df).orderBy("row_id").collect()
     assert np.allclose(got, [[r[c] for c in names] for r in again])
 
 
+def test_linear_chain_with_a_pattern_per_row(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(600, 3))
+    x = base @ rng.normal(size=(3, 12)) + rng.normal(0, 0.3, (600, 12)) + np.arange(12)
+    x[rng.random(x.shape) < 0.35] = np.nan
+    x[:5] = np.nan
+    assert len(np.unique(np.isnan(x), axis=0)) > I.MAX_PATTERNS
+    names = [f"c{i}" for i in range(12)]
+    rows = [(i, *[None if math.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id bigint, " + ", ".join(f"{c} double" for c in names)).repartition(4)
+    chain = I.fit_linear_chain(df, names, rounds=3)
+    got = np.array([[r[c] for c in names] for r in chain.apply(df).orderBy("row_id").collect()])
+    assert np.allclose(got, ridge_by_rows(x.copy(), 3), atol=1e-6)
+    same = I.fit_linear_chain(df, names, rounds=3, max_patterns=1 << 12)
+    assert [s.target for s in same.steps] == [s.target for s in chain.steps]
+    assert np.allclose([s.weights for s in same.steps], [s.weights for s in chain.steps], atol=1e-8)
+
+
+def test_linear_chain_with_an_empty_column_and_no_row(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2.0, None), (2.0, None, None), (3.0, 6.1, None), (None, 8.0, None)], "a double, b double, c double")
+    few, many = (I.fit_linear_chain(df, list("abc"), max_patterns=n) for n in (I.MAX_PATTERNS, 0))
+    assert {s.target for s in few.steps} == {0, 1}
+    assert np.allclose([s.weights for s in few.steps], [s.weights for s in many.steps])
+    assert I.fit_linear_chain(df.where("a > 9"), list("abc"), max_patterns=0).steps == []
+
+
 def test_tree_chain_fills_everything_and_survives_storage(spark, sf, tmp_path):
     from stationloom import fixtures as X
     raw = X.stations_raw(spark, sf)
