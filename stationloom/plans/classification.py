@@ -16,7 +16,8 @@ from stationloom.operators.oversampling import oversample
 from stationloom.operators.sampling import balanced_weights, class_sizes, first_of_each, ids_and_labels
 from stationloom.plans.members import HELD, MEMBERS, Member, filled, fit_member, translate
 from stationloom.plans.state import read_json, write_json
-from stationloom.session import path_exists, shared_dir
+from stationloom.plans.versions import committed, current, versions
+from stationloom.session import shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -138,21 +139,21 @@ class StationClassifier:
         self._require_fit()
         paths = []
         for name in [model] if model else list(self.members):
-            path = f"{folder}/{name}"
-            write_json(f"{path}/meta", self.members[name].save(path))
+            member, path = self.members[name], f"{folder}/{name}"
+            committed(path, lambda p, member=member: write_json(f"{p}/meta", member.save(p)))
             paths.append(path)
         return paths
 
     @classmethod
     def load(cls, folder: str, models: list[str]) -> StationClassifier:
-        """Read stored members."""
+        """Read the newest whole version of stored members."""
         out = cls(models=models, use_smote=False)
         for name in out.names:
-            path = f"{folder}/{name}"
+            path = current(f"{folder}/{name}")
             out.members[name] = Member.load(path, read_json(f"{path}/meta"))
         return out
 
     @classmethod
     def stored(cls, spark, folder: str) -> list[str]:
         """Members found in a folder."""
-        return [m for m in MEMBERS if path_exists(spark, f"{folder}/{m}/meta")]
+        return [m for m in MEMBERS if versions(f"{folder}/{m}")]

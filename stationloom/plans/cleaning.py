@@ -144,25 +144,25 @@ class StationCleanerModel(StateModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         return self.impute(structural(df, self.opt("gate"), self.opt("gate_mode"), self.opt("sentinels_first")))
 
-    def store(self, path: str) -> None:
-        super().store(path)
+    def _put(self, path: str) -> None:
+        super()._put(path)
         if self.trees is not None:
             from stationloom.plans.state import write_json
             if not self.trees.of_spark:
                 write_json(f"{path}/chain/boosted", self.trees.to_state())
                 return
             for i, (_, model) in enumerate(self.trees.steps):
-                model.write().overwrite().save(f"{path}/chain/{i}")
+                model.write().save(f"{path}/chain/{i}")
             write_json(f"{path}/chain/index", {
                 "columns": self.trees.columns, "means": self.trees.means, "targets": [t for t, _ in self.trees.steps],
             })
 
     @classmethod
-    def restore(cls, path: str) -> StationCleanerModel:
+    def _get(cls, path: str) -> StationCleanerModel:
         from pyspark.ml.regression import RandomForestRegressionModel
 
         from stationloom.plans.state import read_json
-        model = super().restore(path)
+        model = super()._get(path)
         if model.opt("impute") and model.opt("imputer") in I.TREE_ESTIMATORS:
             if not path_exists(SparkSession.active(), f"{path}/chain/index"):
                 model.trees = I.TreeChain.from_state(read_json(f"{path}/chain/boosted"))

@@ -14,7 +14,7 @@ from stationloom.operators import rows as R
 from stationloom.plans.classification import StationClassifier
 from stationloom.plans.cleaning import StationCleanerModel
 from stationloom.plans.features import FeatureEngineerModel
-from stationloom.session import path_exists
+from stationloom.plans.versions import committed, current
 from stationloom.sources import inputs, sinks
 
 log = logging.getLogger(__name__)
@@ -32,36 +32,38 @@ def output_columns(members: list[str], best: str | None = None) -> list[str]:
 def save_artifacts(
     folder: str, cleaner: StationCleanerModel, features: FeatureEngineerModel, classifier: StationClassifier
 ) -> None:
-    """Store everything scoring needs."""
-    cleaner.store(f"{folder}/{CLEANER}")
-    features.store(f"{folder}/{FEATURES}")
-    classifier.save(f"{folder}/{CLASSIFIERS}")
+    """Store everything scoring needs as one new version of the folder."""
+    def parts(path: str) -> None:
+        cleaner.store(f"{path}/{CLEANER}")
+        features.store(f"{path}/{FEATURES}")
+        classifier.save(f"{path}/{CLASSIFIERS}")
+
+    committed(folder, parts)
 
 
 class BatchScorer:
     """Loads stored artefacts once and scores any number of tables.
 
-    ``fetch`` resolves station codes, see ``sources.inputs.normalise``.
+    ``version`` names a saved version, else the newest whole one is taken. ``fetch`` resolves
+    station codes, see ``sources.inputs.normalise``.
     """
 
     def __init__(self, spark: SparkSession, models_dir: str, best_model: str | None = None,
                  output_format: str = "dataframe", verbose: bool = True,
-                 fetch: Callable[[list[str]], DataFrame] | None = None):
+                 fetch: Callable[[list[str]], DataFrame] | None = None, version: str | None = None):
         if output_format not in FORMATS:
             raise ValueError(f"no output format named {output_format!r}; there are {', '.join(FORMATS)}")
         self.spark, self.models_dir, self.best_model = spark, models_dir, best_model
         self.output_format, self.verbose, self.fetch = output_format, verbose, fetch
-        for part in (CLEANER, FEATURES):
-            if not path_exists(spark, f"{models_dir}/{part}"):
-                raise FileNotFoundError(f"{part} not found in '{models_dir}'. Train and save it first.")
-        self.cleaner = StationCleanerModel.restore(f"{models_dir}/{CLEANER}")
-        self.features = FeatureEngineerModel.restore(f"{models_dir}/{FEATURES}")
-        members = StationClassifier.stored(spark, f"{models_dir}/{CLASSIFIERS}")
+        stored = current(models_dir, version)
+        self.cleaner = StationCleanerModel.restore(f"{stored}/{CLEANER}")
+        self.features = FeatureEngineerModel.restore(f"{stored}/{FEATURES}")
+        members = StationClassifier.stored(spark, f"{stored}/{CLASSIFIERS}")
         if not members:
-            raise FileNotFoundError(f"No classifiers found in '{models_dir}'.")
+            raise FileNotFoundError(f"{stored} holds no trained member")
         if best_model is not None and best_model not in [*members, "voting"]:
             raise ValueError(f"{best_model!r} is neither 'voting' nor stored in {models_dir}, which has {', '.join(members)}")
-        self.classifier = StationClassifier.load(f"{models_dir}/{CLASSIFIERS}", members)
+        self.classifier = StationClassifier.load(f"{stored}/{CLASSIFIERS}", members)
 
     def __repr__(self) -> str:
         return (f"BatchScorer(models_dir={self.models_dir!r}, models={list(self.classifier.members)}, "

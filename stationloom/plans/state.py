@@ -12,6 +12,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import SparkSession
 
+from stationloom.plans.versions import committed, current
 from stationloom.session import path_exists
 
 __all__ = ["OptionsEstimator", "StateModel", "read_json", "write_json", "require_path"]
@@ -60,14 +61,20 @@ class StateModel(Model, _Options, DefaultParamsReadable, DefaultParamsWritable):
         return json.loads(self.getOrDefault(self.state))
 
     def store(self, path: str) -> None:
-        """Write the model, replacing what is there."""
-        self.write().overwrite().save(path)
+        """Write the model as a new version of the folder."""
+        committed(path, self._put)
+
+    def _put(self, path: str) -> None:
+        self.write().save(f"{path}/model")
 
     @classmethod
     def restore(cls, path: str):
-        """Read a stored model; a missing path raises ``FileNotFoundError``."""
-        require_path(path)
-        return cls.load(path)
+        """Read the newest whole version; where there is none, ``FileNotFoundError`` is raised."""
+        return cls._get(current(path))
+
+    @classmethod
+    def _get(cls, path: str):
+        return cls.load(f"{path}/model")
 
 
 def require_path(path: str) -> None:

@@ -204,6 +204,17 @@ def s14(spark, d):
     return StationCleanerModel.restore(path).transform(raw).select(S.ROW_ID, "area_code")
 
 
+@query("s14_learned_state_round_trip", over_clean(
+    "SELECT row_id, " + ", ".join(f"round(coalesce({c}, (SELECT avg({c}) FROM structural)), 4) AS {c}" for c in NUMERIC_HERE)
+    + f" FROM structural WHERE coalesce({S.ROAD}, (SELECT avg({S.ROAD}) FROM structural)) >= 0", upto="structural"))
+def s14b(spark, d):
+    raw, path = X.stations_raw(spark, d), scratch_path(spark, "cleaner")
+    StationCleaner(imputer="mean").fit(raw.limit(20)).store(path)
+    StationCleaner(imputer="mean").fit(raw).store(path)
+    out = StationCleanerModel.restore(path).transform(raw)
+    return out.select(S.ROW_ID, *[F.round(c, 4).alias(c) for c in NUMERIC_HERE])
+
+
 @query("s15_features_round_trip", over_clean("SELECT row_id, " + ", ".join(
     f"round(({c} - (SELECT median({c}) FROM cleaned)) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM cleaned), 6) AS {c}"
     for c in NUMERIC_HERE) + " FROM cleaned"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stationloom import fixtures as X
 from stationloom import schema as S
 from stationloom.plans import scoring as SC
+from stationloom.plans import versions as BV
 from stationloom.plans.classification import StationClassifier
 from stationloom.plans.cleaning import StationCleaner
 from stationloom.plans.features import FeatureEngineer
@@ -190,6 +191,29 @@ def test_scoring_by_code(spark, sf, artifacts):
     assert {r["area_code"] for r in got} == {"ST0000003", "ST0000007"}
 
 
+def test_a_save_that_dies_leaves_the_version_before(spark, sf, artifacts):
+    raw = X.stations_raw(spark, sf)
+    before = BV.current(artifacts)
+    scorer = SC.BatchScorer(spark, artifacts)
+
+    class Dying:
+        def save(self, folder):
+            raise OSError("lost")
+
+    other, _ = StationCleaner(imputer="mean").fit_transform(raw.limit(30))
+    with pytest.raises(OSError):
+        SC.save_artifacts(artifacts, other, scorer.features, Dying())
+    assert BV.current(artifacts) == before
+    assert SC.BatchScorer(spark, artifacts).cleaner.learned == scorer.cleaner.learned
+    SC.save_artifacts(artifacts, other, scorer.features, scorer.classifier)
+    assert BV.current(artifacts) > before and len(BV.versions(artifacts)) == 2
+    assert SC.BatchScorer(spark, artifacts).cleaner.learned == other.learned
+    first = SC.BatchScorer(spark, artifacts, version=BV.versions(artifacts)[0])
+    assert first.cleaner.learned == scorer.cleaner.learned
+    with pytest.raises(FileNotFoundError):
+        SC.BatchScorer(spark, artifacts, version="9")
+
+
 def test_scorer_arguments(spark, artifacts, tmp_path):
     with pytest.raises(FileNotFoundError):
         SC.BatchScorer(spark, str(tmp_path))
