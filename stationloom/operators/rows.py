@@ -34,6 +34,35 @@ def with_stable_row_id(df: DataFrame) -> DataFrame:
     return df if S.ROW_ID in df.columns else checkpointed(with_row_id(df))
 
 
+# -- rows marked instead of dropped ---------------------------------------------------
+
+#: Whether a row is kept so far, and its identifiers and target as they came.
+MARK, GIVEN = "__kept", "__given"
+
+
+def marked(df: DataFrame) -> DataFrame:
+    """The frame with all rows marked as kept; what drops rows of other frames unmarks them in this one."""
+    given = F.struct(S.ROW_ID, *S.present(df, [*S.ID_COLUMNS, S.TARGET]))
+    return df.withColumns({GIVEN: given, MARK: F.lit(True)})
+
+
+def keep(df: DataFrame, passes: Column) -> DataFrame:
+    """Rows that pass; in a marked frame all rows, with those unmarked that don't."""
+    if MARK not in df.columns:
+        return df.where(passes)
+    return df.withColumn(MARK, F.col(MARK) & F.coalesce(passes, F.lit(False)))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of a marked frame that are kept; any other frame as it is."""
+    return df.where(F.col(MARK)) if MARK in df.columns else df
+
+
+def handed_back(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Row id, identifiers and target of a marked frame as they came, ``columns``, and ``survived``."""
+    return df.select(f"{GIVEN}.*", *columns, F.col(MARK).alias("survived"))
+
+
 # -- projections and filters ----------------------------------------------------------
 
 
@@ -51,7 +80,7 @@ def drop_sentinels(df: DataFrame) -> DataFrame:
 def gate_missing(df: DataFrame, gate: list[str] = S.GATE, mode: str = "any") -> DataFrame:
     """Drop rows whose gate columns are all (mode ``all``) or in part (otherwise) null."""
     passes = gate_condition(df, gate, mode)
-    return df if passes is None else df.where(passes)
+    return df if passes is None else keep(df, passes)
 
 
 def gate_condition(df: DataFrame, gate: list[str] = S.GATE, mode: str = "any") -> Column | None:
@@ -76,7 +105,7 @@ def cross_fill_altitude(df: DataFrame) -> DataFrame:
 
 def road_in_range(df: DataFrame) -> DataFrame:
     """Rows with a known, non-negative distance to the next major road."""
-    return df.where(F.col(S.ROAD) >= 0) if S.ROAD in df.columns else df
+    return keep(df, F.col(S.ROAD) >= 0) if S.ROAD in df.columns else df
 
 
 def categories_to_text(df: DataFrame) -> DataFrame:
@@ -140,12 +169,6 @@ def join_species(frames: list[DataFrame]) -> DataFrame:
     return reduce(join_on_keys, frames)
 
 
-def attach_scores(ids: DataFrame, scored: DataFrame, columns: list[str]) -> DataFrame:
-    """Scores put back on the identifiers; ``survived`` tells which rows have one."""
-    flagged = scored.select(S.ROW_ID, *columns, F.lit(True).alias("survived"))
-    return ids.join(flagged, S.ROW_ID, "left").withColumn("survived", F.coalesce("survived", F.lit(False)))
-
-
 def fill_not_scored(df: DataFrame, columns: list[str]) -> DataFrame:
     """Constant message where a row has no prediction."""
     return df.withColumns({c: F.when(F.col("survived"), F.col(c)).otherwise(F.lit(S.NOT_SCORED)) for c in columns})
@@ -158,10 +181,16 @@ def keep_first(df: DataFrame, keys: list[str] = S.KEYS, order: str = S.ROW_ID) -
     """First row per key in input order.
 
     The ``= 1`` filter on ``row_number`` lets Spark cut each map task's output to one row
-    per key before the shuffle, so a hot key costs one row per task.
+    per key before the shuffle, so a hot key costs one row per task. A marked frame keeps all
+    its rows and isn't shuffled by key: those of repeated keys look up the first ``order`` of
+    their key, counted map-side, which Spark broadcasts or splits by measured size.
     """
     if len(S.present(df, keys)) < len(keys):
         return df
+    if MARK in df.columns:
+        counted = kept(df).groupBy(*keys).agg(F.min(order).alias("__first"), F.count("*").alias("__n"))
+        found = join_on_keys(df, counted.where(F.col("__n") > 1).drop("__n"), "left", keys)
+        return keep(found, F.col("__first").isNull() | (F.col(order) == F.col("__first"))).drop("__first")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")
 

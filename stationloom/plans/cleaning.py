@@ -27,6 +27,8 @@ def decode(df: DataFrame) -> DataFrame:
         exprs["timezone"] = C.timezone_region(F.col("timezone"))
     if S.LANDCOVER in exprs:
         exprs[S.LANDCOVER] = C.landcover_parent(exprs[S.LANDCOVER])
+    if R.MARK in df.columns:  # text that raises must not do so in a row that is out already
+        exprs = {c: F.when(F.col(R.MARK), e) for c, e in exprs.items()}
     return replaced(df, exprs)
 
 
@@ -39,6 +41,7 @@ def before_gate(df: DataFrame, sentinels_first: bool = False) -> DataFrame:
     first = R.keep_first(R.with_row_id(df))
     if sentinels_first and S.LANDCOVER in df.columns:
         code = C.code_of(F.col(S.LANDCOVER).cast("string"))
+        code = F.when(F.col(R.MARK), code) if R.MARK in first.columns else code
         first = first.withColumn(S.LANDCOVER, F.when(~code.isin(S.SENTINELS), F.col(S.LANDCOVER)))
     return R.drop_sentinels(decode(first))
 
@@ -132,7 +135,7 @@ class StationCleanerModel(StateModel):
             return finish(clean)
         state, trees = self.learned, self.trees
         if self.opt("refit_on_transform") and self.opt("imputer") != "mean":
-            trees = _learn_numeric(self, clean, state)
+            trees = _learn_numeric(self, R.kept(clean), state)
         if "means" in state:
             filled = I.fill(clean, state["means"])
         elif "chain" in state:
@@ -144,6 +147,10 @@ class StationCleanerModel(StateModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         return self.impute(structural(df, self.opt("gate"), self.opt("gate_mode"), self.opt("sentinels_first")))
 
+    def marked(self, df: DataFrame) -> DataFrame:
+        """All rows, cleaned as far as they get; ``R.MARK`` tells those that ``transform`` keeps."""
+        return self.transform(R.marked(R.with_stable_row_id(df)))
+
     def _put(self, path: str) -> None:
         super()._put(path)
         if self.trees is not None:

@@ -81,10 +81,10 @@ class FeatureEngineer(OptionsEstimator):
 
 
 def _selection(df: DataFrame, selected: list[str] | None) -> list[str] | None:
-    """Selected columns together with the row identity, which every stage carries."""
+    """Selected columns together with the row identity and marks, which every stage carries."""
     if selected is None:
         return None
-    carried = [c for c in S.present(df, [S.ROW_ID, *S.KEYS]) if c not in selected]
+    carried = [c for c in S.present(df, [S.ROW_ID, *S.KEYS, R.GIVEN, R.MARK]) if c not in selected]
     return [*carried, *selected]
 
 

@@ -76,8 +76,8 @@ class BatchScorer:
     def predict(self, data, output_format: str | None = None, ordered: bool = False):
         """Identifiers, label where known, and predictions for every input row.
 
-        Rows that cleaning drops, later duplicates of a coordinate among them, carry a message
-        instead. ``ordered`` puts them last, each part in input order. The format ``dicts``
+        Rows that cleaning drops, later duplicates of a coordinate among them, travel along marked
+        and carry a message instead, so nothing is joined back. ``ordered`` puts them last, each part in input order. The format ``dicts``
         gives one JSON object per row, still as a DataFrame.
         """
         form = output_format or self.output_format
@@ -87,9 +87,8 @@ class BatchScorer:
         members = list(self.classifier.members)
         wanted = output_columns(members, self.best_model)
         model = self.best_model if self.best_model in members else None
-        scored = self.classifier.predict(self.preprocess(raw), model)
-        joined = R.attach_scores(R.identifiers(raw), scored, wanted)
-        result = R.fill_not_scored(joined, wanted)
+        scored = self.classifier.predict(self.features.transform(self.cleaner.marked(raw)), model)
+        result = R.fill_not_scored(R.handed_back(scored, wanted), wanted)
         if ordered:
             result = result.orderBy(F.desc("survived"), S.ROW_ID)
         result = result.drop("survived", S.ROW_ID)

@@ -31,6 +31,11 @@ def clean(spark, d):
     return P.finish(P.structural(X.stations_raw(spark, d)))
 
 
+def marked(spark, d):
+    """All stations, cleaned without imputation, those dropped by cleaning unmarked."""
+    return P.finish(P.structural(R.marked(X.stations_raw(spark, d))))
+
+
 # -- P: projections and filters ---------------------------------------------------------
 
 
@@ -135,9 +140,8 @@ _SURVIVORS = over_clean(
 def p14(spark, d):
     k = F.col(S.ROW_ID)
     pred = F.when(k % 5 == 0, "suburban").when(k % 5 == 1, "urban").otherwise(F.col(S.TARGET))
-    scored = clean(spark, d).withColumn("pred_lgbm", pred)
-    joined = R.attach_scores(R.identifiers(X.stations_raw(spark, d)), scored, ["pred_lgbm"])
-    return R.fill_not_scored(joined, ["pred_lgbm"]).select(S.ROW_ID, "area_code", "pred_lgbm")
+    scored = R.handed_back(marked(spark, d).withColumn("pred_lgbm", pred), ["pred_lgbm"])
+    return R.fill_not_scored(scored, ["pred_lgbm"]).select(S.ROW_ID, "area_code", "pred_lgbm")
 
 
 @query("p15_class_masks", with_blocks("""
@@ -207,14 +211,13 @@ def j4(spark, d):
 SELECT s.row_id, s.lat, s.lon, s.area_code, s.type_of_area, c.altitude, c.row_id IS NOT NULL AS survived
 FROM stations_raw s LEFT JOIN cleaned c ON s.row_id = c.row_id"""))
 def j5(spark, d):
-    return R.attach_scores(R.identifiers(X.stations_raw(spark, d)), clean(spark, d), ["altitude"])
+    return R.handed_back(marked(spark, d), [F.when(F.col(R.MARK), F.col("altitude")).alias("altitude")])
 
 
 @query("j6_dropped_rows", over_clean("""
 SELECT s.row_id, s.area_code FROM stations_raw s WHERE s.row_id NOT IN (SELECT row_id FROM cleaned)"""))
 def j6(spark, d):
-    joined = R.attach_scores(R.identifiers(X.stations_raw(spark, d)), clean(spark, d), [])
-    return joined.where("NOT survived").select(S.ROW_ID, "area_code")
+    return R.handed_back(marked(spark, d), []).where("NOT survived").select(S.ROW_ID, "area_code")
 
 
 @query("j8_timezone_lookup", with_blocks(f"SELECT row_id, {REGION_SQL} AS region FROM stations_raw"))

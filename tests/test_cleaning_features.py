@@ -162,6 +162,37 @@ def test_linear_chain_with_an_empty_column_and_no_row(spark):
     assert I.fit_linear_chain(df.where("a > 9"), list("abc"), max_patterns=0).steps == []
 
 
+def marked_frame(spark, rows):
+    schema = ("row_id bigint, lat double, lon double, area_code string, timezone string, altitude double, "
+              f"{S.GATE[0]} double, {S.ROAD} double, {S.LANDCOVER} string")
+    return spark.createDataFrame(rows, schema)
+
+
+def test_marked_cleaning_keeps_the_rows_that_cleaning_keeps(spark):
+    rows = [(i, 1.0, 2.0, "hot", "Europe/Rome", 5.0, 1.0, 3.0, "10 a") for i in range(40)]  # one hot coordinate
+    rows += [(50, None, 3.0, "n1", "Asia/Baku", 1.0, 1.0, 2.0, "20 b"), (49, None, 3.0, "n0", "Asia/Baku", 1.0, 1.0, 2.0, "20 b")]
+    rows += [(60, 7.0, 7.0, "gate", None, 1.0, None, 2.0, None), (61, 8.0, 7.0, "road", None, 1.0, 2.0, -999.0, None),
+             (62, 9.0, 7.0, "alone", None, 9999.0, 2.0, 0.0, None)]
+    df = marked_frame(spark, rows).repartition(5)
+    plain = P.StationCleaner(impute=False, gate=[S.GATE[0]]).fit(df)
+    got = plain.marked(df)
+    back = R.handed_back(got, ["altitude"])
+    assert back.count() == len(rows) and back.columns == ["row_id", "lat", "lon", "area_code", "altitude", "survived"]
+    assert {r["row_id"] for r in back.where("survived").collect()} == {0, 49, 62}
+    columns = plain.transform(df).columns
+    same = lambda d: sorted(map(repr, d.select(*columns).collect()))
+    assert same(R.kept(got)) == same(plain.transform(df))
+    assert plain.marked(df.limit(0)).count() == 0
+
+
+def test_marked_cleaning_does_not_read_codes_of_dropped_rows(spark):
+    rows = [(0, 1.0, 2.0, "a", None, 5.0, 1.0, 3.0, "10 a"), (1, 1.0, 2.0, "b", None, 5.0, 1.0, 3.0, "no code")]
+    df = marked_frame(spark, rows)
+    for first in (False, True):
+        model = P.StationCleaner(impute=False, gate=[S.GATE[0]], sentinels_first=first).fit(df.where("row_id = 0"))
+        assert [r[R.MARK] for r in model.marked(df).orderBy("row_id").collect()] == [True, False]
+
+
 def test_tree_chain_fills_everything_and_survives_storage(spark, sf, tmp_path):
     from stationloom import fixtures as X
     raw = X.stations_raw(spark, sf)
