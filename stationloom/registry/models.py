@@ -29,7 +29,7 @@ from stationloom.registry.tables import (
     _CM, _DISTRIBUTION, _SPLIT_CTES, _box_sql, _corr_sql, _parts, report_parts, report_sql, rounded,
 )
 from stationloom.session import scratch_path
-from stationloom.sources import csv_files
+from stationloom.sources import csv_files, sinks
 from stationloom.sources.parameters import load_parameters
 
 # The settings of the members in the parameter file that ships with the task.
@@ -495,6 +495,14 @@ def s18(spark, d):
     return scorer.predict(X.stations_raw(spark, d)).groupBy("pred_rf").agg(F.count("*").alias("n"))
 
 
+@query("s12_exported_predictions", over_kept(f"SELECT area_code, type_of_area, pred AS pred_rf FROM ({_SCORED}) q"))
+def s12b(spark, d):
+    scored = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]), best_model="rf").predict(X.stations_raw(spark, d))
+    path = scratch_path(spark, "predictions")
+    sinks.write_parquet(scored.select("area_code", S.TARGET, "pred_rf"), path, ["pred_rf"])
+    return spark.read.parquet(path).select("area_code", S.TARGET, "pred_rf")
+
+
 @query("c10_preprocess_for_scoring", over_kept("SELECT row_id, area_code, type_of_area, timezone FROM kept"))
 def c10(spark, d):
     scorer = SC.BatchScorer(spark, artifacts(spark, d, ["rf"]))

@@ -419,6 +419,14 @@ def l3b(spark, d):
     return _observed(I.fit_linear_chain(df, NUMERIC_HERE).apply(df), df)
 
 
+@query("c3_cleaner_transform_default", f"{_KEPT_VALUES} WHERE {S.ROAD} >= 0")
+def c3_default(spark, d):
+    """The default cleaner; rows whose road distance was imputed are judged by the value it got and left out here."""
+    df = P.structural(X.stations_raw(spark, d))
+    model, out = P.StationCleaner().fit_transform(X.stations_raw(spark, d))
+    return _observed(out, df).where(F.col(S.ROAD).isNotNull())
+
+
 # One column with gaps and one predictor: its evidence rounds as a recursion over four sums.
 _ONE_GAP = """
 WITH RECURSIVE given AS (
@@ -733,6 +741,18 @@ def s9(spark, d):
     return inputs.normalise(spark, X.stations_raw(spark, d)).select(S.ROW_ID, "area_code", "altitude")
 
 
+@query("s9_json_input", with_blocks("SELECT area_code, lat, lon, altitude FROM stations_raw"))
+def s9b(spark, d):
+    path = f"{scratch_path(spark, 'stations')}.json"
+    docs = X.stations_raw(spark, d).withColumn("file", F.floor(F.col(S.ROW_ID) / 500)).groupBy("file").agg(
+        F.to_json(F.collect_list(F.struct("lat", "lon", "area_code", "altitude"))).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    rows = inputs.normalise(spark, path)
+    # every station has an id of its own
+    once = rows.groupBy(S.ROW_ID).count().where("count > 1").select(S.ROW_ID)
+    return rows.join(once, S.ROW_ID, "left_anti").select("area_code", "lat", "lon", "altitude")
+
+
 @query("s10_species_files", with_blocks(
     "SELECT no2.lat, no2.lon, no2, nox FROM no2 JOIN nox ON no2.lat = nox.lat AND no2.lon = nox.lon",
     *SPECIES_BLOCKS, **_SPECIES))
