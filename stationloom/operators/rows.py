@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationloom import schema as S
 from stationloom.functions import cleaning as C
-from stationloom.session import checkpointed
+from stationloom.session import checkpointed, written
 
 log = logging.getLogger(__name__)
 
@@ -182,14 +182,16 @@ def keep_first(df: DataFrame, keys: list[str] = S.KEYS, order: str = S.ROW_ID) -
 
     The ``= 1`` filter on ``row_number`` lets Spark cut each map task's output to one row
     per key before the shuffle, so a hot key costs one row per task. A marked frame keeps all
-    its rows and isn't shuffled by key: those of repeated keys look up the first ``order`` of
-    their key, counted map-side, which Spark broadcasts or splits by measured size.
+    its rows: those of repeated keys look up the first ``order`` of their key. The repeated keys are
+    counted map-side and written first, so Spark knows their size when it plans: it broadcasts
+    them and moves no row, or, if they are many, joins by key and splits hot ones.
     """
     if len(S.present(df, keys)) < len(keys):
         return df
     if MARK in df.columns:
         counted = kept(df).groupBy(*keys).agg(F.min(order).alias("__first"), F.count("*").alias("__n"))
-        found = join_on_keys(df, counted.where(F.col("__n") > 1).drop("__n"), "left", keys)
+        repeated = written(counted.where(F.col("__n") > 1).drop("__n"), "repeated-keys")
+        found = join_on_keys(df, repeated, "left", keys)
         return keep(found, F.col("__first").isNull() | (F.col(order) == F.col("__first"))).drop("__first")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")

@@ -185,6 +185,15 @@ def test_marked_cleaning_keeps_the_rows_that_cleaning_keeps(spark):
     assert plain.marked(df.limit(0)).count() == 0
 
 
+def test_marked_cleaning_moves_no_row_where_few_keys_repeat(spark, tmp_path):
+    from stationloom import fixtures as X
+    X.stations_raw(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "raw"))
+    model = P.StationCleaner(impute=False).fit(spark.read.parquet(str(tmp_path / "raw")))
+    plan = model.marked(spark.read.parquet(str(tmp_path / "raw")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+    assert plan.count("FileScan") == 2
+
+
 def test_marked_cleaning_does_not_read_codes_of_dropped_rows(spark):
     rows = [(0, 1.0, 2.0, "a", None, 5.0, 1.0, 3.0, "10 a"), (1, 1.0, 2.0, "b", None, 5.0, 1.0, 3.0, "no code")]
     df = marked_frame(spark, rows)
