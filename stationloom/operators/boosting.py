@@ -192,6 +192,10 @@ class Part:
         self.margin = np.tile(start.astype(float), (len(y), 1))
         # with squared error and no weights second derivatives are counts; all tasks must see it alike
         self.plain = plain
+        self.own_columns: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("number", "bins", "y", "w", "held", "margin", "plain")} | {"own_columns": None}
 
     def begin(self, s: Settings, k: int) -> None:
         """Derivatives for round ``k``, of the rows drawn for it."""
@@ -209,7 +213,20 @@ class Part:
             self.g, self.h = (w[:, None] * (p - own)).T, (w[:, None] * np.maximum(s.curvature * p * (1 - p), 1e-16)).T
         self.rows = np.flatnonzero(drawn)
         self.node = np.zeros((s.outputs, len(self.rows)), np.int32)
-        self.own_bins = self.bins[self.rows]
+        if len(self.rows) < len(w):
+            self.own_bins = self.bins[self.rows]
+            self.own_columns = np.ascontiguousarray(self.own_bins.T)
+        elif self.own_columns is None or self.own_columns.shape[1] < len(w):
+            self.own_bins, self.own_columns = self.bins, np.ascontiguousarray(self.bins.T)
+        self.leaf = [(0, np.zeros(len(self.rows), np.int64))] * s.outputs
+
+    def leaves(self, c: int, tree: Even) -> np.ndarray:
+        """The leaf of each drawn row, from the one it was in before the last cuts."""
+        steps, at = self.leaf[c]
+        for k in range(steps, len(tree.feature)):
+            at = at + ((self.own_columns[tree.feature[k]] > tree.cut[k]).astype(np.int64) << k)
+        self.leaf[c] = (len(tree.feature), at)
+        return at
 
     def sums(self, trees: list[Tree], asked: list[list[int]], size: int) -> np.ndarray:
         """For each tree and asked node: first and second derivatives and rows, per feature and bin. The rows come last."""
@@ -221,15 +238,18 @@ class Part:
             if not nodes:
                 continue
             if isinstance(trees[c], Even):
-                at, bins, rows = trees[c].route(self.own_bins) * size, self.own_bins, self.rows
+                at, bins, columns, rows = self.leaves(c, trees[c]) * size, self.own_bins, self.own_columns, self.rows
             else:
                 self.node[c] = trees[c].route(self.own_bins, self.node[c])
                 place = np.full(len(trees[c].feature), -1, np.int64)
                 place[nodes] = np.arange(len(nodes))
                 at = place[self.node[c]]
                 some = np.flatnonzero(at >= 0)
-                at, bins, rows = at[some] * size, self.own_bins[some], self.rows[some]
-            g, h, cells = self.g[c][rows], self.h[c][rows], len(nodes) * size
+                at, bins, columns, rows = at[some] * size, self.own_bins, self.own_columns, self.rows[some]
+                if len(some) < len(self.rows):
+                    bins = bins[some]
+                    columns = bins.T
+            g, h, cells = (self.g[c], self.h[c], len(nodes) * size) if len(rows) == len(self.y) else (self.g[c][rows], self.h[c][rows], len(nodes) * size)
             if bins.size <= 20_000:  # few rows: one call for all features costs less
                 keys = (at[:, None] * width + (bins + np.arange(width, dtype=np.int64) * size)).ravel()
                 cells *= width
@@ -240,7 +260,7 @@ class Part:
                 begin += len(nodes)
                 continue
             for f in range(width):
-                keys = at + bins[:, f]
+                keys = at + columns[f]
                 counts = np.bincount(keys, minlength=cells)
                 second = [] if self.plain else [np.bincount(keys, h, cells)]
                 for k, sums in enumerate((np.bincount(keys, g, cells), *second, counts)):
@@ -250,7 +270,8 @@ class Part:
 
     def add(self, trees: list[Tree]) -> None:
         for c, tree in enumerate(trees):
-            self.margin[:, c] += tree.predict(self.bins)
+            known = isinstance(tree, Even) and self.own_columns is not None and self.own_columns.shape[1] == len(self.y)
+            self.margin[:, c] += np.array(tree.value)[self.leaves(c, tree)] if known else tree.predict(self.bins)
 
     def loss(self) -> tuple[float, float]:
         """Summed loss of the rows held back, and how many they are."""
@@ -575,9 +596,10 @@ def fit(
     model = Boosted(s, binning, np.zeros(s.outputs), [], [])
     if tasks == 1:
         return _in_one_task(data, gathered, model, chooser)
-    sums = known.groupBy("y" if s.outputs > 1 else F.lit(0)).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).collect()
+    # a literal would count as the position of a column
+    sums = known.groupBy(*["y"] if s.outputs > 1 else []).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy")).collect()
     total = sum(r["w"] for r in sums)
-    model.start = start = starting_margins(s, {int(r[0]): r["w"] for r in sums}, sum(r["wy"] for r in sums) / total)
+    model.start = start = starting_margins(s, {int(r["y"]): r["w"] for r in sums} if s.outputs > 1 else {}, sum(r["wy"] for r in sums) / total)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = gathered(batches, start)

@@ -337,8 +337,8 @@ def _round_shifts(df: DataFrame, columns: list[str], means: np.ndarray, history:
 # -- chained trees ------------------------------------------------------------------------
 
 
-#: Rows of a task that boosts, at least; memory of a forest's task for one pass over the rows.
-TASK_ROWS, FOREST_MB = 20_000, 1024
+#: Rows of a task that boosts, at least, and of one of Spark's forests; memory of a forest's task for one pass over the rows.
+TASK_ROWS, FOREST_ROWS, FOREST_MB = 200_000, 20_000, 1024
 
 
 def tree_regressor(kind: str, **params):
@@ -458,7 +458,7 @@ def fit_tree_chain(
         return chain
     limit = tol * max(stats[f"x{i}"] or 0.0 for i in range(len(used)))
     flags = {c: f"__gap_{c}" for c in order}
-    tasks = max(1, math.ceil(stats["n"] / TASK_ROWS))
+    tasks = max(1, math.ceil(stats["n"] / (FOREST_ROWS if kind == "rf" else TASK_ROWS)))
     work = df.select(*[F.col(c).cast("double").alias(c) for c in used])
     work = checkpointed(fill(work.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), means).coalesce(tasks))
     binning = None

@@ -77,6 +77,28 @@ def test_interacting_features_are_learnt_and_tasks_agree(spark, kind):
     assert one.importances()[:3].min() > 0.05 > one.importances()[3]
 
 
+@pytest.mark.parametrize("kind", GROWN)
+def test_squared_error_in_several_tasks(spark, kind):
+    x, y = two_features(300)
+    s = B.Settings(1, rounds=6, rate=0.3, **GROWN[kind])
+    one = B.fit(rows_of(spark, x, y * 10), s, binning=binned(x))
+    several = B.fit(rows_of(spark, x, y * 10, 3), s, binning=binned(x), tasks=3)
+    assert several.start == pytest.approx(np.mean(y * 10)) and np.allclose(one.margins(x), several.margins(x), atol=1e-6)
+
+
+def test_symmetric_margins_follow_from_the_trees():
+    x, y = two_features(900)
+    binning = binned(x)
+    for share in (1.0, 0.6):
+        s = B.Settings(3, rounds=4, rate=0.3, depth=4, symmetric=True, l2=3.0, row_share=share)
+        part = B.Part(0, binning.apply(x), y.astype(float), np.ones(len(y)), np.zeros(len(y), bool), np.zeros(3))
+        rounds, _ = B._rounds(part, s, B.Chooser(s, binning), 0, 4)
+        assert part.bins.size < 20_000 and np.allclose(part.margin, B.Boosted(s, binning, np.zeros(3), rounds, []).margins(x))
+        large = B.Part(0, np.tile(part.bins, (30, 1)), np.tile(part.y, 30), np.ones(30 * len(y)), np.zeros(30 * len(y), bool), np.zeros(3))
+        rounds, _ = B._rounds(large, s, B.Chooser(s, binning), 0, 4)
+        assert np.allclose(large.margin, np.tile(B.Boosted(s, binning, np.zeros(3), rounds, []).margins(x), (30, 1)))
+
+
 def test_leaf_wise_growth_takes_the_most_gaining_leaves():
     x, y = two_features()
     binning = binned(x)
@@ -115,6 +137,15 @@ def test_rows_held_back_are_only_looked_at(spark):
         B.fit(df.limit(0), s)
 
 
+@pytest.mark.parametrize("kind", ["lgbm", "cboost"])
+def test_a_chain_over_several_tasks(spark, kind, monkeypatch):
+    monkeypatch.setattr(impute, "TASK_ROWS", 100)
+    rows = [(float(k % 30), None if k % 7 == 3 else 100.0 * (k % 30 >= 15)) for k in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double").repartition(3)
+    chain = impute.fit_tree_chain(df, ["x", "y"], kind, rounds=1, maxIter=25, maxDepth=3)
+    assert all(abs(r["y"] - 100.0 * (r["x"] >= 15)) < 10 for r in chain.apply(df).collect())
+
+
 def test_bins_lie_between_neighbouring_values(spark):
     x = np.array([[-1e9, 0], [1, 1], [1, 1], [4, 2], [10, 0]])
     binning = B.Binning.fit(rows_of(spark, x, x[:, 0], 3), F.col("x"), 2, {1: 3})
