@@ -10,7 +10,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2_000
+#: Rows of a block, and distances that a task holds at once.
+BLOCK_ROWS, PAIRS = 20_000, 2_000_000
 
 
 def squared_silhouette(df: DataFrame, vector: str = "x", cluster: str = "cluster") -> float:
@@ -23,14 +24,24 @@ def _block_sums(_key, points: pd.DataFrame, others: pd.DataFrame) -> pd.DataFram
     """Distance sums from each point of one block to each cluster of another."""
     parts = []
     if len(points) and len(others):
-        b = np.stack(others["other_v"].to_numpy())
+        b = np.stack(others["other_v"].to_numpy()).astype(float)
         clusters, code = np.unique(others["other_c"].to_numpy(), return_inverse=True)
         member = np.eye(len(clusters))[code]
-        a = np.stack(points["v"].to_numpy())
-        step = max(1, 4_000_000 // b.size)
+        a = np.stack(points["v"].to_numpy()).astype(float)
+        centre = b.mean(axis=0)
+        a, b = a - centre, b - centre
+        of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        step = max(1, PAIRS // len(b))
         for at in range(0, len(a), step):
-            gap = a[at:at + step, None, :] - b[None, :, :]
-            sums = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap)) @ member
+            own = a[at:at + step]
+            size = of_a[at:at + step, None] + of_b[None, :]
+            square = size - 2.0 * (own @ b.T)
+            # the product loses what is much closer than the points are far out; there differences decide
+            row, col = np.nonzero(square <= 1e-6 * size)
+            for k in range(0, len(row), PAIRS // 16):
+                r, c = row[k:k + PAIRS // 16], col[k:k + PAIRS // 16]
+                square[r, c] = ((own[r] - b[c]) ** 2).sum(axis=1)
+            sums = np.sqrt(square) @ member
             parts += [
                 pd.DataFrame({"id": points["id"].to_numpy()[at:at + step], "own": points["c"].to_numpy()[at:at + step],
                               "c": c, "s": sums[:, i]})

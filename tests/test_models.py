@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -49,6 +50,22 @@ def test_nearest_neighbours_are_exact(spark, block_rows):
         assert np.linalg.norm(near[tuple(v)] - v, axis=1) == pytest.approx(d)
 
 
+def test_neighbours_by_bundles_of_groups(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 6)) + 1e3, np.repeat(rng.normal(size=(1, 6)), 20, axis=0)])
+    df = points_frame(spark, x).repartition(3)
+    near = {tuple(r["v"]): np.array(r["near"]) for r in O.nearest_neighbours(df, 5, 40, bundle_rows=70).collect()}
+    for v in x:
+        d = np.sort(np.linalg.norm(x - v, axis=1))[1:6]
+        assert np.linalg.norm(near[tuple(v)] - v, axis=1) == pytest.approx(d)
+    bundle = O._bundles(np.array([30, 30, 5, 90, 10, 60, 1]), 70)
+    assert bundle.tolist() == [0, 0, 0, 1, 2, 2, 3]
+    # a point that must visit all groups goes once to each bundle
+    everywhere = O._candidates(rng.normal(size=(7, 6)), np.full(7, 1e9), np.full(7, 1e9), bundle)
+    (out,) = everywhere([pd.DataFrame({"id": [1], "v": [np.zeros(6)]})])
+    assert out["cells"][0].tolist() == [0, 1, 2, 3]
+
+
 def test_fewer_points_than_neighbours(spark):
     near = O.nearest_neighbours(points_frame(spark, [[0.0, 0], [1, 0], [5, 0]]), 5)
     assert {tuple(r["v"]): r["near"] for r in near.collect()}[(1.0, 0.0)] == [[0.0, 0.0], [5.0, 0.0]]
@@ -88,6 +105,23 @@ def test_silhouette_by_brute_force(spark, block_rows):
         assert got[i] == pytest.approx(0.0 if n == 1 else (b - a) / max(a, b))
 
 
+def test_silhouette_of_copies_and_points_far_out(spark, monkeypatch):
+    from stationloom.operators import silhouette as SI
+    monkeypatch.setattr(SI, "PAIRS", 64)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat([[1e6, 2.0]], 30, axis=0), rng.normal(size=(30, 2)) * 1e-3 + [1e6, 2.0], rng.normal(size=(20, 2)) + [1e6, 3.0]])
+    c = np.array([0] * 30 + [1] * 30 + [2] * 20)
+    df = points_frame(spark, x).withColumn("cluster", F.when(F.col("id") < 30, 0).when(F.col("id") < 60, 1).otherwise(2))
+    got = {r["id"]: r["silhouette"] for r in exact_silhouette(df, "id", "v").collect()}
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for i in range(len(x)):
+        a = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    # a vector is copied per block, so blocks are large
+    assert SI.BLOCK_ROWS >= 20_000
+
+
 def test_components_match_numpy(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(200, 4)) * [5, 2, 1, 0.1] + [100, 0, 0, 7]
