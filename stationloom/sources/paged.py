@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from functools import reduce
 from urllib.error import URLError
 from urllib.parse import quote
@@ -91,13 +92,36 @@ def _stored_page(spark: SparkSession, url: str, size: int, page: int) -> DataFra
     return text.select(F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "body")).select(place, "body")
 
 
+def _offset_pattern(url: str, size: int) -> str | None:
+    """Pattern that finds the offset in the path of a page's file; none where the path's parts don't tell it."""
+    if "{offset}" not in url or set("*?[]\\") & set(url) or set("{}") & set(url.format(limit="", offset="")):
+        return None
+    parts = url.replace("{limit}", str(size)).split("/")
+    told = "/".join(parts[next(i for i, p in enumerate(parts) if "{offset}" in p):]).rstrip("/")
+    first, *more = [re.escape(text) for text in told.split("{offset}")]
+    return ".*/" + first + r"(\d+)" + r"\1".join(more) + "(?:/.*)?$"
+
+
+def _stored_pages(spark: SparkSession, url: str, size: int, pages: int, pattern: str) -> DataFrame:
+    """All pages in one scan; the path of a file tells its page."""
+    text = spark.read.text([url.format(limit=size, offset=i * size) for i in range(pages)], wholetext=True)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    offset = F.regexp_extract(path, pattern, 1).cast("long")
+    listed = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    found = text.select(offset.alias("offset"), F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "body"))
+    return found.select((F.col("offset") + F.col("pos")).alias("row_id"), "body")
+
+
 def read_pages(spark: SparkSession, url: str, page_size: int = 1000, n_pages: int = 26) -> DataFrame:
     """Raw records of the first ``n_pages`` pages; a page that fails raises.
 
     Web addresses are opened by the executors. Any other template names files or folders, one per page, on
-    a store that Spark reads, and is read by Spark.
+    a store that Spark reads, and is read by Spark, in one scan where the path of a file tells its page.
     """
     if not url.startswith(("http:", "https:")):
+        pattern = _offset_pattern(url, page_size)
+        if pattern is not None:
+            return _stored_pages(spark, url, page_size, n_pages, pattern)
         return reduce(DataFrame.unionAll, [_stored_page(spark, url, page_size, i) for i in range(n_pages)])
     spark.dataSource.register(StationPages)
     reader = spark.read.format(SOURCE_NAME).option("url", url)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -98,6 +99,22 @@ def test_paged_source(spark, tmp_path):
     assert csv_files.read_csv(spark, path, S.STATION_SCHEMA).count() == 3 and bad.count() == 3
 
 
+def test_stored_pages_are_one_scan(spark, tmp_path):
+    root = tmp_path / "a+b c%41"
+    for i in range(40):
+        folder = root / f"size=2,offset={i * 2}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text(json.dumps([record(f"S{i}a"), record(f"S{i}b")] if i % 2 else record(f"S{i}a")))
+    url = f"{root}/size={{limit}},offset={{offset}}"
+    raw = paged.read_pages(spark, url, 2, 40)
+    found = {r["row_id"]: json.loads(r["body"])["codes"][0] for r in raw.collect()}
+    assert found == {i * 2 + k: f"S{i}{'ab'[k]}" for i in range(40) for k in range(1 + i % 2)}
+    assert raw._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert paged._offset_pattern("/x/*/p{offset}", 2) is None and paged._offset_pattern("/x/p{offset:04d}", 2) is None
+    twice = paged._offset_pattern("/x/{offset}/p{offset}.json", 2)
+    assert re.match(twice, "file:/x/6/p6.json").group(1) == "6" and not re.match(twice, "file:/x/6/p8.json")
+
+
 def test_stations_by_code(spark, tmp_path):
     for c in ("A", "B"):
         (tmp_path / f"{c}.json").write_text(json.dumps(record(c)))
