@@ -21,8 +21,8 @@ from stationloom.session import shared_dir
 
 log = logging.getLogger(__name__)
 
-#: Rows of a training task, at least.
-TASK_ROWS = 20_000
+#: Rows of a boosting task, at least: below, a job per level costs more than it saves. Rows of a forest's task.
+TASK_ROWS, FOREST_ROWS = 200_000, 2_000
 
 
 class StationClassifier:
@@ -76,15 +76,16 @@ class StationClassifier:
             own = work.where(~F.col(HELD)) if share else work
             sizes = class_sizes(own, target)
             classes = sorted(sizes)
-            # every tree level is a job over all partitions, so small ones are joined
+            # every level of boosting is a job over all partitions, so small ones are joined; a forest's levels are few and large
             rows_in_all = sum(sizes.values())
             weights = balanced_weights(own, target) if any(b for _, b in translated.values()) else None
             tasks = max(1, math.ceil(rows_in_all / TASK_ROWS))
+            spread = min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows_in_all / FOREST_ROWS))
             work, cached = work.coalesce(tasks), work
             for name, (params, balanced) in translated.items():
                 if shares[name] == share:
                     self.members[name] = fit_member(
-                        name, work, numeric, categorical, classes, weights if balanced else None, params, target, tasks)
+                        name, cached.repartition(spread) if name == "rf" and spread > 1 else work, numeric, categorical, classes, weights if balanced else None, params, target, tasks)
             cached.unpersist()
         self.members = {n: self.members[n] for n in self.names}
         return self

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stationloom import fixtures as X
 from stationloom import schema as S
 from stationloom.functions import cleaning as C
 from stationloom.functions import numeric as N
@@ -228,6 +229,21 @@ def test_chained_cleaner_learns_at_fit(spark, sf):
     assert {r["row_id"]: r["altitude"] for r in refit.collect()} == pytest.approx(whole)
 
 
+def test_what_fitting_hands_back_does_not_read_the_raw_rows_again(spark, sf):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    raw = X.stations_raw(spark, sf)
+    raw = raw.mapInArrow(counted, raw.schema)
+    _, clean = P.StationCleaner(imputer="mean").fit_transform(raw)
+    seen = read.value
+    assert clean.count() > 0 and clean.where("altitude is null").isEmpty() and read.value == seen
+
+
 def test_mode_ties_go_to_the_smallest(spark):
     df = spark.createDataFrame([(5.0, "b"), (2.0, "a"), (5.0, "a"), (2.0, "b"), (None, None)], "n double, s string")
     assert I.column_modes(df, ["n", "s"]) == {"n": 2.0, "s": "a"}
