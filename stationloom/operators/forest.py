@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stationloom.operators.boosting import Binning, Boosted, Settings, Tree, _matrix
 
 #: Rows of a broadcast table, at most, and trees that a task grows together.
-MOST_ROWS, TREES_AT_ONCE = 20_000, 16
+MOST_ROWS, TREES_AT_ONCE = 100_000, 16
 
 
 def grow_forest(bins: np.ndarray, y: np.ndarray, numbers: np.ndarray, size: int, depth: int, min_rows: int, seed: int) -> list[Tree]:
