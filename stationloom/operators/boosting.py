@@ -8,7 +8,8 @@ needs no exchange, so its task grows many rounds in one job; larger ones take a
 
 The losses are softmax over the classes, with its second derivatives, or squared error. Leaves are shrunk by
 ``l1`` and ``l2``; a split must gain ``min_gain``, leave ``min_rows`` rows and ``min_weight`` second derivatives
-on both sides. Trees grow by levels, by leaves (best first, up to ``leaves``) or symmetrically.
+on both sides. Trees grow by levels, by leaves (best first, up to ``leaves``) or symmetrically; symmetric ones only
+know ``min_gain``.
 """
 
 from __future__ import annotations
@@ -367,11 +368,8 @@ class Chooser:
         total = left[..., -1:]
         right = total - left
         gain = (_worth(left[0], left[1], s) + _worth(right[0], right[1], s)).sum(axis=0)
-        fits = np.broadcast_to(allowed[:, None], gain.shape)
-        if s.min_rows > 1:
-            count = np.cumsum(sums[-1], axis=2)
-            fits = fits & ((count >= s.min_rows) & (count[..., -1:] - count >= s.min_rows)).any(axis=0)
-        gain = np.where(fits, gain - _worth(total[0, :, :, 0], total[1, :, :, 0], s).sum(axis=0)[:, None], -np.inf)
+        # a level has one cut, so a bound on the rows of a leaf can't hold in each of its leaves: as in the library it doesn't act
+        gain = np.where(allowed[:, None], gain - _worth(total[0, :, :, 0], total[1, :, :, 0], s).sum(axis=0)[:, None], -np.inf)
         most = gain.max()
         f, b = divmod(int((gain >= most - 1e-9 * (1 + abs(most))).argmax()) if np.isfinite(most) else 0, gain.shape[1])
         return (f, b, float(gain[f, b])) if gain[f, b] > s.min_gain + 1e-10 else None

@@ -78,13 +78,14 @@ _FITTED: dict = {}
 
 def members(df, names, key, smote=False, parameters=PARAMETERS):
     """A classifier of fully sized members. Each is fitted once per session, folder and kind of features,
-    and shared by the queries."""
+    and shared by the queries; those that miss are fitted together, on the same prepared rows."""
     out = StationClassifier(names, use_smote=smote, **parameters)
-    for name in out.names:
-        own = (df.sparkSession.sparkContext.applicationId, *key, smote, name, str(parameters[f"{name}_params"]))
-        if own not in _FITTED:
-            _FITTED[own] = StationClassifier([name], use_smote=smote, **parameters).fit(df).members[name]
-        out.members[name] = _FITTED[own]
+    own = {n: (df.sparkSession.sparkContext.applicationId, *key, smote, n, str(parameters[f"{n}_params"])) for n in out.names}
+    missing = [n for n in out.names if own[n] not in _FITTED]
+    if missing:
+        fitted = StationClassifier(missing, use_smote=smote, **parameters).fit(df).members
+        _FITTED.update({own[n]: fitted[n] for n in missing})
+    out.members.update({n: _FITTED[own[n]] for n in out.names})
     return out
 
 

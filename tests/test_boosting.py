@@ -214,3 +214,14 @@ def test_chained_trees_find_the_rule_that_fills_a_column(spark, kind, monkeypatc
         monkeypatch.setattr(forest, "MOST_ROWS", 10)
         large = impute.fit_tree_chain(df, ["x", "y", "z"], kind, rounds=1, numTrees=5, maxDepth=8)
         assert large.of_spark and large.apply(df).filter("y is null or z is null").isEmpty()
+
+
+def test_symmetric_levels_cut_off_classes_smaller_than_the_bound_on_leaves():
+    # 40 rows in three classes: no cut leaves 30 rows on both sides, yet the classes follow from the one feature
+    x = np.arange(40.0)[:, None]
+    y = np.digitize(x[:, 0], [10, 25])
+    s = B.Settings(3, rounds=30, rate=0.3, depth=2, symmetric=True, l2=3.0, min_rows=30)
+    binning = binned(x)
+    part = B.Part(0, binning.apply(x), y, np.ones(40), np.zeros(40, bool), np.zeros(3))
+    B._rounds(part, s, B.Chooser(s, binning), 0, 30)
+    assert (part.margin.argmax(axis=1) == y).all()

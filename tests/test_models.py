@@ -264,3 +264,15 @@ def test_the_queries_train_the_rounds_of_the_file():
     for name, block in models.PARAMETERS.items():
         params, _ = translate(name.removesuffix("_params"), block)
         assert "patience" not in params and (name == "rf_params" or params["maxIter"] == 1000)
+
+
+def test_members_that_miss_are_fitted_together(stations, monkeypatch):
+    from stationloom.registry import models as M
+
+    fits, fit = [], StationClassifier.fit
+    monkeypatch.setattr(StationClassifier, "fit", lambda self, df: fits.append(self.names) or fit(self, df))
+    monkeypatch.setattr(M, "_FITTED", {})
+    small = {f"{n}_params": {"n_estimators": 2, "max_depth": 2} for n in ("rf", "lgbm", "xgb")}
+    assert list(M.members(stations, ["rf", "lgbm"], ("here",), parameters=small).members) == ["rf", "lgbm"]
+    assert list(M.members(stations, ["xgb", "rf"], ("here",), parameters=small).members) == ["xgb", "rf"]
+    assert fits == [["rf", "lgbm"], ["xgb"]]
