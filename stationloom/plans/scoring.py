@@ -15,6 +15,7 @@ from stationloom.plans.classification import StationClassifier
 from stationloom.plans.cleaning import StationCleanerModel
 from stationloom.plans.features import FeatureEngineerModel
 from stationloom.plans.versions import committed, current
+from stationloom.session import checkpointed
 from stationloom.sources import inputs, sinks
 
 log = logging.getLogger(__name__)
@@ -76,8 +77,8 @@ class BatchScorer:
     def predict(self, data, output_format: str | None = None, ordered: bool = False):
         """Identifiers, label where known, and predictions for every input row.
 
-        Rows that cleaning drops, later duplicates of a coordinate among them, travel along marked
-        and carry a message instead, so nothing is joined back. ``ordered`` puts them last, each part in input order. The format ``dicts``
+        Rows that cleaning drops, later duplicates of a coordinate among them, are marked and carry a message instead.
+        They pass by the models and are put beside the scored rows, so nothing is joined back. ``ordered`` puts them last, each part in input order. The format ``dicts``
         gives one JSON object per row, still as a DataFrame.
         """
         form = output_format or self.output_format
@@ -87,8 +88,11 @@ class BatchScorer:
         members = list(self.classifier.members)
         wanted = output_columns(members, self.best_model)
         model = self.best_model if self.best_model in members else None
-        scored = self.classifier.predict(self.features.transform(self.cleaner.marked(raw)), model)
-        result = R.fill_not_scored(R.handed_back(scored, wanted), wanted)
+        # written once, as both halves read it: models only see the rows that survive
+        marked = checkpointed(self.cleaner.marked(raw))
+        scored = self.classifier.predict(self.features.transform(R.kept(marked)), model)
+        dropped = marked.where(~F.col(R.MARK)).withColumns({c: F.lit(None).cast("string") for c in wanted})
+        result = R.fill_not_scored(R.handed_back(scored, wanted).unionByName(R.handed_back(dropped, wanted)), wanted)
         if ordered:
             result = result.orderBy(F.desc("survived"), S.ROW_ID)
         result = result.drop("survived", S.ROW_ID)

@@ -186,6 +186,18 @@ def test_scoring_covers_every_input_row(spark, sf, artifacts):
     assert "rf" in repr(scorer)
 
 
+def test_models_see_only_rows_that_survive(spark, sf, artifacts, monkeypatch):
+    raw = X.stations_raw(spark, sf)
+    scorer = SC.BatchScorer(spark, artifacts)
+    seen, predict = [], scorer.classifier.predict
+    monkeypatch.setattr(scorer.classifier, "predict", lambda df, model: seen.append(df) or predict(df, model))
+    assert scorer.predict(raw).count() == 150
+    survivors = {r["row_id"] for r in scorer.cleaner.transform(raw).collect()}
+    assert len(survivors) < 150 and sorted(r["row_id"] for r in seen[0].collect()) == sorted(survivors)
+    none = scorer.predict(raw.withColumn(S.ROAD, F.lit(-5.0)))
+    assert {r["pred_voting"] for r in none.collect()} == {S.NOT_SCORED} and none.count() == 150
+
+
 def test_scoring_input_without_row_id_and_without_label(spark, sf, artifacts):
     raw = X.stations_raw(spark, sf)
     scorer = SC.BatchScorer(spark, artifacts, best_model="rf")
