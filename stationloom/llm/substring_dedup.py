@@ -5,8 +5,9 @@ similarity, colliding lines are compared by the exact Jaccard similarity of thei
 connected ones are a cluster. And, since passages are also pasted into the middle of other text, all runs of
 ``LEAST_WORDS`` words that documents share, wherever they stand: each holds a seed, a stretch of ``SEED_WORDS``
 words at a content-defined anchor, and around seeds that documents share, every run of ``LEAST_WORDS`` words is
-looked up by a 128-bit key. A longer passage is the union of its runs, so it is covered from the first shared
-word to the last. A cluster or run stays in the document with the smallest id and is removed elsewhere.
+looked up by a 128-bit key, once for all equal stretches of such runs. A longer passage is the union of its runs,
+so it is covered from the first shared word to the last. Filters of the keys that occur twice (``repeated.py``)
+spare what nothing else shares; results don't depend on them. A cluster or run stays in the document with the smallest id and is removed elsewhere.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stationloom.llm.buckets import compare_groups, in_blocks
 from stationloom.llm.components import components
+from stationloom.llm.repeated import key_filter, repeated_keys
 from stationloom.llm.text import (
     ALPHANUMERIC,
     LOWER,
@@ -32,8 +34,7 @@ from stationloom.llm.text import (
     window_hashes,
     word_spans,
 )
-from stationloom.llm.url_filter import Cascade, filter_level
-from stationloom.session import checkpointed
+from stationloom.session import checkpointed, written
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 30
 #: Any run of ``ANCHOR_WINDOW + SEED_WORDS - 1`` words, fewer than ``LEAST_WORDS``, holds a seed.
@@ -41,8 +42,9 @@ SEED_WORDS, ANCHOR_WINDOW = 15, 15
 #: At similarity 0.8, bands of so many rows miss 3 pairs in 1000; at 0.9, 3 in 100,000.
 BANDS, BAND_ROWS = 8, 3
 BLOCK_ROWS = 512
-#: A filter of wanted keys is broadcast if it takes no more than so many bytes; it lets about 1 other key in 100 pass.
-FILTER_BYTES, FILTER_RATE = 64 << 20, 0.01
+#: Runs of a stretch; a longer one is cut.
+STRETCH_RUNS = 4096
+SEEDS, BUCKETS = 0, 1
 _NO_ID = -(1 << 63)
 
 
@@ -58,7 +60,11 @@ class _Part:
 
     def keys(self, first: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
         """Two independent hashes of stretches of words."""
-        return [span_hashes(self.words, first, stop, base).view(np.int64) for base in (0xD6E8FEB86659FD93, SECOND)]
+        return [self.key(first, stop), span_hashes(self.words, first, stop, SECOND).view(np.int64)]
+
+    def key(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The first of them."""
+        return span_hashes(self.words, first, stop, 0xD6E8FEB86659FD93).view(np.int64)
 
     def text_of(self, first: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.before, first, side="right") - 1
@@ -118,24 +124,11 @@ class _Part:
         return out.view(np.int64)
 
 
-Wanted = Callable[[np.ndarray, np.ndarray], np.ndarray] | None
-
-
-def key_filter(keys: DataFrame):
-    """A Bloom filter of ``k1, k2``, broadcast, or ``None`` where it would be too large.
+Wanted = Callable[[np.ndarray], np.ndarray] | None
 
-    It only spares rows that a join drops anyway, so results don't depend on it.
-    """
-    keys = keys.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"))
-    try:
-        level = filter_level(keys, max(1, keys.count()), FILTER_RATE, 0, FILTER_BYTES)
-    except MemoryError:
-        return None
-    return keys.sparkSession.sparkContext.broadcast(Cascade([level]))
 
-
-def _passing(level) -> Wanted:
-    return None if level is None else lambda k1, k2: level.value.passes(k1, k2, 0)
+def _passing(only) -> Wanted:
+    return None if only is None else only.value.passes
 
 
 def _mapped(docs: DataFrame, give: Callable[[_Part, pa.RecordBatch, Wanted], list[pa.Array] | None], names: list[str], schema: str,
@@ -151,35 +144,133 @@ def _mapped(docs: DataFrame, give: Callable[[_Part, pa.RecordBatch, Wanted], lis
     return docs.mapInArrow(run, schema)
 
 
-def _seed_keys(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
-    """Keys and ids only."""
-    if not len(at := part.anchors()):
-        return None
-    return [*map(pa.array, part.keys(at, at + SEED_WORDS)), batch.column("doc_id").take(pa.array(part.text_of(at)))]
+def _in_text(part: _Part, first: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which stretches are the first with their key in their text."""
+    text = part.text_of(first)
+    order = np.lexsort((keys, text))
+    new = np.ones(len(keys), bool)
+    new[1:] = (np.diff(text[order]) != 0) | (np.diff(keys[order]) != 0)
+    return order[new]
+
+
+def _seeds_and_buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Keys of seeds, once per text, and buckets of lines, of each distinct line of a text."""
+    for slice_ in text_slices(batch):
+        part = _Part(slice_.column("text"))
+        at = part.anchors()
+        k1 = part.key(at, at + SEED_WORDS)
+        yield SEEDS, k1[_in_text(part, at, k1)]
+        first, stop = part.lines()
+        if len(first):
+            own = _in_text(part, first, part.key(first, stop))
+            yield BUCKETS, part.bands(first[own], stop[own]).ravel()
 
 
 def _runs(part: _Part, wanted: Wanted) -> np.ndarray:
     """Runs around the wanted seeds."""
     at = part.anchors()
-    return part.runs(at[wanted(*part.keys(at, at + SEED_WORDS))] if wanted and len(at) else at)
+    return part.runs(at[wanted(part.key(at, at + SEED_WORDS))] if wanted and len(at) else at)
 
 
-def _run_keys(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
-    """Keys and ids only."""
-    if not len(at := _runs(part, wanted)):
-        return None
-    return [*map(pa.array, part.keys(at, at + LEAST_WORDS)), batch.column("doc_id").take(pa.array(part.text_of(at)))]
+def _run_keys(seeds):
+    def give(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        """Keys of the runs around wanted seeds, once per text."""
+        for slice_ in text_slices(batch):
+            part = _Part(slice_.column("text"))
+            at = _runs(part, _passing(seeds))
+            k1 = part.key(at, at + LEAST_WORDS)
+            yield 0, k1[_in_text(part, at, k1)]
 
+    return give
 
-def _run_places(seeds):
-    """Keys and places of the wanted runs around the seeds of a filter."""
+
+def _stretches(seeds):
+    """Maximal stretches of wanted runs: key of their words, place, and the keys of their runs."""
 
     def give(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
-        return _placed(part, batch, at := _runs(part, _passing(seeds)), at + LEAST_WORDS, wanted)
+        at = _runs(part, _passing(seeds))
+        if wanted and len(at):
+            at = at[wanted(part.key(at, at + LEAST_WORDS))]
+        if not len(at):
+            return None
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1] + 1
+        begin = np.flatnonzero(new)
+        since = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+        begin = np.flatnonzero(since % STRETCH_RUNS == 0)
+        n = np.diff(np.append(begin, len(at)))
+        first = at[begin]
+        text = part.text_of(first)
+        keys = np.ascontiguousarray(np.stack(part.keys(at, at + LEAST_WORDS), 1))
+        runs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(at)).astype(np.int32) * 16), pa.py_buffer(keys)])
+        return [*map(pa.array, part.keys(first, first + n + LEAST_WORDS - 1)), batch.column("doc_id").take(pa.array(text)),
+                batch.column("row").take(pa.array(text)), pa.array(first - part.before[text]), pa.array(n), runs]
 
     return give
 
 
+def _distinct_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Keys of the runs of each stretch, once each."""
+    for runs in batch.column("runs"):
+        yield 0, np.unique(np.frombuffer(runs.as_buffer(), np.int64)[::2])
+
+
+def _doubtful(only):
+    """Runs of stretches that pass a filter: those that may stand in another stretch too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _passing(only)
+        for batch in batches:
+            for a in range(batch.num_rows):
+                keys = np.frombuffer(batch.column("runs")[a].as_buffer(), np.int64).reshape(-1, 2)
+                at = np.flatnonzero(wanted(keys[:, 0])) if wanted else np.arange(len(keys))
+                if len(at):
+                    own = [pa.repeat(batch.column(c)[a], len(at)) for c in ("s1", "s2", "low", "high")]
+                    yield pa.RecordBatch.from_arrays([*own, *map(pa.array, keys[at].T.copy()), pa.array(at)], ["s1", "s2", "low", "high", "k1", "k2", "at"])
+
+    return run
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each stretch, the ranges of shared runs that stay in the same document."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            keep, high = np.full(r["n"], r["low"]), np.full(r["n"], r["high"])
+            for x in r["others"] or ():
+                keep[x["at"]], high[x["at"]] = x["keep"], x["high"]
+            shared = keep < high
+            change = np.ones(r["n"], bool)
+            change[1:] = (keep[1:] != keep[:-1]) | (shared[1:] != shared[:-1])
+            begin = np.flatnonzero(change)
+            stop = np.append(begin[1:], r["n"])
+            out += [(r["s1"], r["s2"], a, b, keep[a]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True) if shared[a]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["s1", "s2", "a", "b", "keep"])
+
+
+def shared_runs(rows: DataFrame, seeds, runs) -> DataFrame:
+    """Where runs of ``LEAST_WORDS`` words stand that two ids share: ``doc_id, row, first, stop, keep``.
+
+    Equal stretches are looked at once: of their runs, only those that other stretches may hold too are looked up.
+    """
+    columns = "s1 long, s2 long, doc_id long, row long, first long, n long, runs binary"
+    placed = written(_mapped(rows, _stretches(seeds), [c.split()[0] for c in columns.split(", ")], columns, runs), "stretches")
+    stretches = placed.groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n").alias("n"), F.first("runs").alias("runs"))
+    stretches = written(stretches, "distinct-stretches")
+    (only,) = repeated_keys(stretches.select("runs"), _distinct_runs, 1)
+    doubtful = written(stretches.select("s1", "s2", "low", "high", "runs").mapInArrow(
+        _doubtful(only), "s1 long, s2 long, low long, high long, k1 long, k2 long, at long"), "doubtful-runs")
+    known = doubtful.groupBy("k1", "k2").agg(F.min("low").alias("keep"), F.max("high").alias("high"))
+    others = doubtful.select("s1", "s2", "k1", "k2", "at").join(known, ["k1", "k2"])
+    others = others.groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "keep", "high")).alias("others"))
+    segments = stretches.select("s1", "s2", "low", "high", "n").join(others, ["s1", "s2"], "left")
+    segments = written(segments.mapInArrow(_segments, "s1 long, s2 long, a long, b long, keep long"), "segments")
+    found = placed.select("s1", "s2", "doc_id", "row", "first").join(segments, ["s1", "s2"])
+    return found.select("doc_id", "row", (F.col("first") + F.col("a")).alias("first"),
+                        (F.col("first") + F.col("b") + (LEAST_WORDS - 1)).alias("stop"), "keep")
+
+
 def _lines(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
     return _placed(part, batch, *part.lines(), wanted)
 
@@ -190,7 +281,7 @@ def _placed(part: _Part, batch: pa.RecordBatch, first: np.ndarray, stop: np.ndar
         return None
     k1, k2 = part.keys(first, stop)
     if wanted:
-        hit = wanted(k1, k2)
+        hit = wanted(k1)
         first, stop, k1, k2 = first[hit], stop[hit], k1[hit], k2[hit]
     text = part.text_of(first)
     return [pa.array(k1), pa.array(k2), batch.column("doc_id").take(pa.array(text)), batch.column("row").take(pa.array(text)),
@@ -198,21 +289,46 @@ def _placed(part: _Part, batch: pa.RecordBatch, first: np.ndarray, stop: np.ndar
 
 
 def _banded(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
+    """Lines that share a bucket with another line or place, with those of their buckets."""
     first, stop = part.lines()
     if not len(first):
         return None
     bands = part.bands(first, stop)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
+    shared = wanted(bands.ravel()).reshape(bands.shape) if wanted else np.ones(bands.shape, bool)
+    some = shared.any(1)
+    first, stop, bands, shared = first[some], stop[some], bands[some], shared[some]
+    offsets = np.append(0, np.cumsum(shared.sum(1))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[shared]))
     return [*map(pa.array, part.keys(first, stop)), batch.column("doc_id").take(pa.array(part.text_of(first))), lists]
 
 
+def _buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    yield 0, batch.column("bands").flatten().to_numpy(zero_copy_only=False)
+
+
+def _in_buckets(only):
+    """A row for each bucket of a line that another line may be in too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _passing(only)
+        for batch in batches:
+            bands = batch.column("bands")
+            bucket, row = bands.flatten(), np.repeat(np.arange(len(bands)), bands.value_lengths().to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(wanted(bucket.to_numpy(zero_copy_only=False))) if wanted else np.arange(len(bucket))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("k1", "k2", "node")), bucket.take(pa.array(hit))],
+                                             ["k1", "k2", "node", "bucket"])
+
+    return run
+
+
 def _line_words(part: _Part, batch: pa.RecordBatch, wanted: Wanted) -> list[pa.Array] | None:
     first, stop = part.lines()
     if not len(first):
         return None
     k1, k2 = part.keys(first, stop)
     if wanted:
-        hit = wanted(k1, k2)
+        hit = wanted(k1)
         first, stop, k1, k2 = first[hit], stop[hit], k1[hit], k2[hit]
     words = [b" ".join(part.data[a:b].tobytes() for a, b in zip(part.starts[i:j], part.ends[i:j], strict=True)) for i, j in zip(first, stop, strict=True)]
     return [pa.array(k1), pa.array(k2), pa.array(words, pa.binary())]
@@ -250,14 +366,18 @@ def _compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
-def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct long lines (``node`` with the smallest and largest id that holds it), and verified links between them."""
+def line_links(docs: DataFrame, shared=None) -> tuple[DataFrame, DataFrame]:
+    """Distinct long lines (``node`` with the smallest and largest id that holds it), and verified links between them.
+
+    With a filter of shared buckets, lines that are in none of them are left out: they have no links and stand once.
+    """
     node = F.concat(F.hex("k1"), F.lit("-"), F.hex("k2"))
-    banded = _mapped(docs, _banded, ["k1", "k2", "doc_id", "bands"], "k1 long, k2 long, doc_id long, bands array<long>")
+    banded = _mapped(docs, _banded, ["k1", "k2", "doc_id", "bands"], "k1 long, k2 long, doc_id long, bands array<long>", shared)
     nodes = banded.groupBy("k1", "k2", "bands").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     nodes = checkpointed(nodes.withColumn("node", node))
-    buckets = in_blocks(nodes.select("k1", "k2", "node", F.explode("bands").alias("bucket")), "bucket", "node", BLOCK_ROWS)
-    buckets = checkpointed(buckets)
+    (only,) = repeated_keys(nodes.select("bands"), _buckets, 1)
+    buckets = nodes.select("k1", "k2", "node", "bands").mapInArrow(_in_buckets(only), "k1 long, k2 long, node string, bucket long")
+    buckets = checkpointed(in_blocks(buckets, "bucket", "node", BLOCK_ROWS))
     wanted = checkpointed(buckets.select("k1", "k2").distinct())
     words = _mapped(docs, _line_words, ["k1", "k2", "words"], "k1 long, k2 long, words binary", key_filter(wanted))
     words = words.join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
@@ -279,18 +399,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     names = ["k1", "k2", "doc_id", "row", "first", "stop"]
     schema = "k1 long, k2 long, doc_id long, row long, first long, stop long"
     rows = rows.select("doc_id", "row", "text")
-    keyed = "k1 long, k2 long, doc_id long"
-
-    def shared(keys: DataFrame) -> DataFrame:
-        both = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("_high")).filter("keep < _high")
-        # written, so that it is a plain side of the join and Spark can split a hot passage's places over several tasks
-        return checkpointed(both.drop("_high"))
-
-    seeds = key_filter(shared(_mapped(rows, _seed_keys, names[:3], keyed)))
-    runs = shared(_mapped(rows, _run_keys, names[:3], keyed, seeds))
-    found = _mapped(rows, _run_places(seeds), names, schema, key_filter(runs)).join(runs, ["k1", "k2"])
+    seeds, buckets = repeated_keys(rows.select("text"), _seeds_and_buckets, 2)
+    (runs,) = repeated_keys(rows.select("text"), _run_keys(seeds), 1)
+    found = shared_runs(rows, seeds, runs)
 
-    nodes, links = line_links(rows.select("doc_id", "text"))
+    nodes, links = line_links(rows.select("doc_id", "text"), buckets)
     linked = components(links)
     nodes = nodes.select("k1", "k2", "node", "low", "high").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     clusters = nodes.groupBy("component").agg(F.min("low").alias("keep"), F.max("high").alias("_high")).filter("keep < _high")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stationloom.llm import buckets, components, exact_dedup, simhash, substring_dedup
+from stationloom.llm import buckets, components, exact_dedup, repeated, simhash, substring_dedup
 from tests.llm.conftest import alnum_words, space_words
 
 
@@ -309,3 +309,45 @@ def test_line_links_match_all_pairs(spark, monkeypatch):
     sets = [substring_dedup._shingle_set(t.encode()) for t in lines]
     pairs = [(name[a], name[b]) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert found == grouped_sets(name.values(), pairs)
+
+
+@pytest.mark.parametrize("runs", [3, 4096])
+def test_stretches_that_overlap_or_repeat(make_docs, monkeypatch, runs):
+    monkeypatch.setattr(substring_dedup, "STRETCH_RUNS", runs)
+    a, b, c = word_stream("a", 90), word_stream("b", 45), word_stream("c", 33)
+    pairs = [(k, " ".join(w)) for k, w in enumerate([
+        a, a, a[10:60], a[30:] + b, b + a[:50], b + c + b, word_stream("d", 20) + c + a[55:90], a, c + c, word_stream("e", 80)])]
+    pairs += [(3, " ".join(word_stream("f", 9) + a[5:40])), (12, "x y z " * 40), (13, "x y z " * 30), (None, " ".join(c))]
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_passages(make_docs(pairs)).collect():
+        got[r["doc_id"], r["kept"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    lowest = -1
+    truth = shared_words([(lowest if i is None else i, t) for i, t in pairs], 30)
+    assert {(lowest if i is None else i, kept): w for (i, kept), w in got.items()} == truth
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_filters_of_repeated_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(repeated, "GATHERED", most)
+    rng = np.random.default_rng(4)
+    once, twice, hot = rng.integers(-(1 << 63), (1 << 63) - 1, 3000), rng.integers(-(1 << 63), (1 << 63) - 1, 200), 7
+    keys = [*once.tolist(), *twice.tolist(), *twice.tolist(), *[hot] * 500]
+    rng.shuffle(keys)
+    df = spark.createDataFrame([(k,) for k in keys], "k1 long").repartition(5)
+    twice = np.append(twice, hot)
+    (only,) = repeated.repeated_keys(df, repeated._first_key, 1)
+    assert only.value.passes(twice).all() and only.value.passes(once).mean() < 0.02
+    assert repeated.key_filter(df).value.passes(once).all()
+    none = repeated.key_filter(df.limit(0)).value
+    assert not none.passes(once).any()
+    monkeypatch.setattr(repeated, "FILTER_BYTES", 30)
+    assert repeated.key_filter(df) is None
+
+
+def test_texts_that_share_nothing_leave_no_rows(make_docs):
+    docs = make_docs([(k, " ".join(word_stream(("u", k), 120))) for k in range(40)])
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS row")
+    seeds, buckets = repeated.repeated_keys(docs.select("text"), substring_dedup._seeds_and_buckets, 2)
+    (runs,) = repeated.repeated_keys(docs.select("text"), substring_dedup._run_keys(seeds), 1)
+    nodes, links = substring_dedup.line_links(docs, buckets)
+    assert not nodes.count() and not links.count() and not substring_dedup.shared_runs(rows, seeds, runs).count()
