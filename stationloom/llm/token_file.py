@@ -10,6 +10,8 @@ it begins in its file, and its coded ids; ``table`` beside the blocks holds the
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,8 @@ FILE_IDS, LARGE_FILE_IDS, FILES = 8 << 20, 256 << 20, 10_000
 REMEMBERED = 1_200_000
 _BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 _BLANKS_AND_CASE = bytes(32 if b in b"\t\n\r\x0b\x0c" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Pieces of printable ASCII without capitals, apostrophes and the sign that special tokens begin with, and their pre-tokens.
+_PLAIN, _PRE_TOKENS = re.compile(rb"[!-&(-;=-@\[-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _SIGNS, _ALNUM = b".,;:!?*&%$#|()", b"abcdefghijklmnopqrstuvwxyz0123456789"
 
 
@@ -52,6 +56,7 @@ class Encoder:
     its lower-cased pieces between blanks, and each distinct piece is encoded once. A run of signs behind a
     letter or digit is a pre-token of its own, so a piece that ends with one is put together from two.
     ``splits_at_blanks`` tests all this for a tokenizer. Texts with a special token's first signs stay in their case.
+    Plain pieces need no normalising, and the tokenizer's model is asked for their pre-tokens alone, where ``cuts_plainly`` holds.
     """
 
     def __init__(self, file: str):
@@ -60,6 +65,17 @@ class Encoder:
         self.tokenizer = _tokenizer(file)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.plain = cuts_plainly(file)
+
+    def _learn_plain(self, pieces: list[bytes]) -> None:
+        known, model, kind = self.known, self.tokenizer.model, "H" if self.kind == "<u2" else "I"
+        cut = [_PRE_TOKENS.findall(p) for p in pieces]
+        for p in set(chain.from_iterable(cut)).difference(known):
+            ids = [t.id for t in model.tokenize(p.decode())]
+            known[p] = struct.pack(f"<{len(ids)}{kind}", *ids)
+        for p, parts in zip(pieces, cut, strict=True):
+            if len(parts) > 1:
+                known[p] = b"".join(map(known.__getitem__, parts))
 
     def _learn(self, pieces: list[bytes]) -> None:
         encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
@@ -77,6 +93,10 @@ class Encoder:
         known = self.known
         cut = [t.translate(_BLANKS if b"<|" in t else _BLANKS_AND_CASE).split(b" ") for t in texts]
         rest = set(chain.from_iterable(cut)).difference(known)
+        if self.plain:
+            plain = [p for p in rest if _PLAIN.fullmatch(p)]
+            self._learn_plain(plain)
+            rest.difference_update(plain)
         stems = {p: stem for p in rest if (stem := p.rstrip(_SIGNS)) != p and stem and stem[-1:] in _ALNUM}
         new = (rest.difference(stems) | set(stems.values()) | {p[len(stem):] for p, stem in stems.items()}).difference(known)
         new = list(new)
@@ -104,6 +124,20 @@ def splits_at_blanks(file: str) -> bool:
     return blanks and signs and case
 
 
+@lru_cache(maxsize=2)
+def cuts_plainly(file: str) -> bool:
+    """Whether a plain piece's ids are those that the model gives for its runs of letters, single digits and runs of signs."""
+    t = _tokenizer(file)
+    signs = bytes(b for b in range(33, 127) if _PLAIN.fullmatch(bytes([b])) and not bytes([b]).isalnum()).decode()
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = ["a", "it", "the", "s", "re", "ll", "d", "7", "12", "2024", ".", "...", "!?", "|>", "``", "--", "_", "http://", *signs]
+    pieces = [letters, digits, signs, *signs, *letters, *digits, *(a + b for a in kinds for b in kinds), *(a + b + a for a in letters for b in signs)]
+    pieces += [a + b for a in letters + digits for b in letters + digits]
+    whole = t.encode_batch_fast(pieces, add_special_tokens=False)
+    return all([x.id for part in _PRE_TOKENS.findall(p.encode()) for x in t.model.tokenize(part.decode())] == e.ids
+               for p, e in zip(pieces, whole, strict=True))
+
+
 @lru_cache(maxsize=2)
 def _encoder(file: str) -> Encoder:
     return Encoder(file)

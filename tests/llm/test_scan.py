@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 
 from stationloom.llm import decontaminate, licences, packing, quality, queries, rans, token_count, token_file, url_filter
@@ -261,6 +262,20 @@ def test_token_files_hold_the_library_s_ids(spark, make_docs, odd_pairs, block,
     assert order == sorted(order)
 
 
+def test_plain_pieces_are_the_model_s():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_file.Encoder(file)
+    assert encoder.plain
+    rng = random.Random(6)
+    signs = "abcdefghijklmnopqrstuvwxyzABCé0123456789.,;:!?*&%$#|()<>'\"[]{}~^_`@/+-=\x7f\x01\u0301"
+    texts = [" ".join("".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(30)) for _ in range(300)]
+    texts += ["it's they'll a.b,c 12.5 x<|endoftext|>y <|startoftext|> don't 'twas ``q'' e-mail@host.org http://a.b/c?d=1"]
+    learnt, encoder._learn = [], lambda pieces, learn=encoder._learn: (learnt.extend(pieces), learn(pieces))
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learnt and not [p for p in learnt if token_file._PLAIN.fullmatch(p) and p.isalnum()]
+
+
 def test_token_file_query(spark, sf):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     want, at = [], 0
