@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -368,17 +373,25 @@ class TreeChain:
     @property
     def of_spark(self) -> bool:
         """Whether the steps are models of Spark."""
-        return any(not isinstance(m, boosting.Boosted) for _, m in self.steps)
+        return any(not isinstance(m, (boosting.Boosted, forest.Forest)) for _, m in self.steps)
+
+    @property
+    def of_forests(self) -> bool:
+        """Whether the steps are forests whose trees lie in the shared folder."""
+        return any(isinstance(m, forest.Forest) for _, m in self.steps)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Fill nulls by running the fitted models in order.
 
-        Boosted steps are replayed batch by batch, so the plan has one step however long the chain. Forests are
-        models of Spark: what they have filled is written to the shared folder after every few of them.
+        Boosted steps are replayed batch by batch, so the plan has one step however long the chain. Forests answer for the
+        rows with gaps, a job for each. Where they are models of Spark, what they have filled is written to the shared
+        folder after every few of them.
         """
         flags = {c: f"__gap_{c}" for c in {t for t, _ in self.steps}}
         if not flags:
             return fill(df, self.means)
+        if self.of_forests:
+            return self._through_forests(df)
         if not self.of_spark:
             return self._replayed(df)
         work = fill(df.withColumns({f: F.col(c).isNull() for c, f in flags.items()}), self.means)
@@ -407,14 +420,131 @@ class TreeChain:
         filled = df.withColumn("__filled", replay(F.struct(*[F.col(c).cast("double").alias(c) for c in names])))
         return filled.select(*[F.col(f"__filled.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
+    def _through_forests(self, df: DataFrame) -> DataFrame:
+        """The rows are written to the shared folder once. Those with gaps are packed into blocks, a row for each, which
+        meet the trees of one step after the other; the answers of the trees are added up by block."""
+        names, start = self.columns, np.array([self.means[c] for c in self.columns])
+        rows = checkpointed(df.withColumns({c: F.col(c).cast("double") for c in names}).withColumn(AT, F.monotonically_increasing_id()))
+        gaps = {c: F.col(c).isNull() | F.isnan(c) for c in names}
+        any_gap = reduce(lambda a, b: a | b, gaps.values())
+        some = rows.where(any_gap)
+        counts = some.agg(F.count("*").alias("n"), *[F.count_if(g).alias(f"g{i}") for i, g in enumerate(gaps.values())]).first()
+        if not counts["n"]:
+            return rows.drop(AT)
+        tasks = math.ceil(counts["n"] / BLOCK_ROWS)
+        shares = math.ceil(df.sparkSession.sparkContext.defaultParallelism / tasks)  # of a forest, for each task's blocks
+        blocks = checkpointed(some.coalesce(tasks).select(AT, *names).mapInArrow(_blocks(start), _BLOCK))
+        for target, model in self.steps:
+            at = names.index(target)
+            if counts[f"g{at}"]:
+                # nothing is broadcast, as that would gather the trees
+                pairs = blocks.select("block", "x", "holes").crossJoin(model.table().coalesce(shares).hint("shuffle_replicate_nl"))
+                answers = pairs.mapInArrow(_answers(len(names), at, model.binning), "block long, k long, given binary")
+                both = blocks.withColumn("k", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
+                ordered = both.repartition(tasks, "block").sortWithinPartitions("block", "k").coalesce(tasks)
+                blocks = checkpointed(ordered.mapInArrow(_added(len(names), at, model.count), _BLOCK))
+        filled = [f"__{i}" for i in range(len(names))]
+        found = blocks.mapInArrow(_unpacked(len(names)), f"{AT} long, " + ", ".join(f"{c} double" for c in filled))
+        whole = some.join(found, AT).withColumns({c: F.col(z) for c, z in zip(names, filled, strict=True)})
+        return rows.where(~any_gap).select(*df.columns).unionByName(whole.select(*df.columns))
+
     def to_state(self) -> dict:
-        """Of a chain without models of Spark."""
+        """Of a chain without models of Spark. Of forests it says where they are."""
         return {"columns": self.columns, "means": self.means, "steps": [[t, isinstance(m, forest.Forest), m.to_state()] for t, m in self.steps]}
 
     @classmethod
     def from_state(cls, state: dict) -> TreeChain:
-        return cls(state["columns"], state["means"], [
-            (t, (forest.Forest if mean else boosting.Boosted).from_state(m)) for t, mean, m in state["steps"]])
+        def model(mean: bool, m: dict):
+            return (boosting.Boosted if not mean else forest.Gathered if "rounds" in m else forest.Forest).from_state(m)
+        return cls(state["columns"], state["means"], [(t, model(mean, m)) for t, mean, m in state["steps"]])
+
+    def stored(self, folder: str) -> dict:
+        """The state with all forests below ``folder``, from where it can be moved."""
+        steps = [(t, replace(m.copied(f"{folder}/{k}"), path=str(k)) if isinstance(m, forest.Forest) else m) for k, (t, m) in enumerate(self.steps)]
+        return replace(self, steps=steps).to_state()
+
+    @classmethod
+    def restored(cls, state: dict, folder: str) -> TreeChain:
+        """The chain of a state that ``stored`` has given."""
+        chain = cls.from_state(state)
+        return replace(chain, steps=[(t, replace(m, path=f"{folder}/{m.path}") if isinstance(m, forest.Forest) else m) for t, m in chain.steps])
+
+
+#: Number of a row, and rows of a block, at most; a block is its rows' numbers, values and gaps.
+AT, BLOCK_ROWS = "__at", 10_000
+_BLOCK = "block long, at binary, x binary, holes binary"
+
+
+def _blocks(start: np.ndarray):
+    """Rows packed into blocks, gaps filled with ``start``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(k, BLOCK_ROWS)
+                at, *x = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+                x = np.column_stack(x)
+                holes = np.isnan(x)
+                yield _block(number, at.tobytes(), np.where(holes, start, x).tobytes(), holes.tobytes())
+                number += 1
+    return run
+
+
+def _block(number: int, *parts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([p], pa.binary()) for p in parts]], ["block", "at", "x", "holes"])
+
+
+def _matrices(x: bytes, holes: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(x).reshape(-1, width).copy(), np.frombuffer(holes, bool).reshape(-1, width)
+
+
+def _answers(width: int, at: int, binning: boosting.Binning):
+    """What a tree gives for the rows of a block that have a gap at ``at``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, bins = None, None
+        for batch in batches:
+            number, x, holes, k, tree = batch.columns
+            for i in range(batch.num_rows):
+                if number[i].as_py() != last:
+                    last = number[i].as_py()
+                    full, gaps = _matrices(x[i].as_py(), holes[i].as_py(), width)
+                    bins = binning.apply(np.delete(full[gaps[:, at]], at, axis=1))
+                given = pickle.loads(tree[i].as_py()).predict(bins).tobytes()
+                yield pa.RecordBatch.from_arrays([number.slice(i, 1), k.slice(i, 1), pa.array([given], pa.binary())], ["block", "k", "given"])
+    return run
+
+
+def _added(width: int, at: int, trees: int):
+    """Blocks with the mean of their answers, which follow them, in the gaps at ``at``."""
+    def finished(number: int, rows: bytes, x: bytes, holes: bytes, total: np.ndarray) -> pa.RecordBatch:
+        full, gaps = _matrices(x, holes, width)
+        full[gaps[:, at], at] = total / trees
+        return _block(number, rows, full.tobytes(), holes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+        for batch in batches:
+            number, rows, x, holes, k, given = batch.columns
+            for i in range(batch.num_rows):
+                if k[i].as_py() >= 0:
+                    total += np.frombuffer(given[i].as_py())
+                    continue
+                if block is not None:
+                    yield finished(*block, total)
+                block = [c[i].as_py() for c in (number, rows, x, holes)]
+                total = np.zeros(int(np.frombuffer(block[3], bool).reshape(-1, width)[:, at].sum()))
+        if block is not None:
+            yield finished(*block, total)
+    return run
+
+
+def _unpacked(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, at, x, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns = [np.frombuffer(at, np.int64), *np.frombuffer(x).reshape(-1, width).T]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [AT, *[f"__{i}" for i in range(width)]])
+    return run
 
 
 #: Forests in a plan, at most.
@@ -441,7 +571,8 @@ def fit_tree_chain(
     """Chained imputation where each regression is a tree ensemble.
 
     Lineage is cut through the shared checkpoint folder after every step, so no plan holds more than one model. Bins are
-    found once, before the first step. Forests are Spark's where the table is larger than ``forest.MOST_ROWS``.
+    found once, before the first step. Forests are Spark's where the table is larger than ``forest.MOST_ROWS``; the
+    trees of smaller ones stay in the shared folder.
     """
     regressor = tree_regressor(kind, **params)
     means = column_means(df, columns)
@@ -465,19 +596,16 @@ def fit_tree_chain(
     in_task = stats["n"] <= forest.MOST_ROWS
     if kind != "rf" or in_task:
         binning = boosting.Binning.fit(work, F.array(*used), len(used), {})
+    if kind == "rf" and in_task:
+        chain.steps = _forest_steps(work, used, order, flags, binning, regressor, rounds, limit)
+        return chain
     for _ in range(rounds):
         before = {c: f"__old_{c}" for c in order}
         work = work.withColumns({b: F.col(c) for c, b in before.items()})
         for target in order:
             known = work.where(~F.col(flags[target]))
             rest = [c for c in used if c != target]
-            if kind == "rf" and in_task:
-                own = {"trees": regressor.getNumTrees(), "min_rows": regressor.getMinInstancesPerNode(), "seed": regressor.getSeed() + len(chain.steps)}
-                model = forest.fit_forest(
-                    known.select(F.array(*rest).alias("__x"), target), "__x", target, _without(binning, used.index(target)), depth=regressor.getMaxDepth(), **own)
-                predicted = boosting.predicted(model, F.when(F.col(flags[target]), F.array(*rest)))
-                filled = work.withColumn(target, F.when(F.col(flags[target]), predicted).otherwise(F.col(target)))
-            elif kind == "rf":
+            if kind == "rf":
                 trees = regressor.setFeaturesCol("__x").setLabelCol(target).setPredictionCol(f"__p_{len(chain.steps)}")
                 model = trees.fit(_features(used, target).transform(known))
                 filled = _forest_step(work, used, target, flags[target], model)
@@ -496,3 +624,26 @@ def fit_tree_chain(
         if moved is None or moved < limit:
             break
     return chain
+
+
+def _forest_steps(
+    work: DataFrame, used: list[str], order: list[str], flags: dict[str, str], binning: boosting.Binning, regressor: RandomForestRegressor, rounds: int, limit: float
+) -> list[tuple[str, forest.Forest]]:
+    """The steps on a table that tasks grow forests on: rows are gathered once, and a step sends back what fills its gaps."""
+    table = forest.gathered(work)
+    x = np.column_stack([table.column(c).to_numpy() for c in used])
+    gaps = {c: table.column(flags[c]).to_numpy() for c in order}
+    steps: list[tuple[str, forest.Forest]] = []
+    for _ in range(rounds):
+        before = x.copy()
+        for target in order:
+            at, gap = used.index(target), gaps[target]
+            rest = np.delete(x, at, axis=1)
+            model, given = forest.plant(
+                work.sparkSession, rest[~gap], x[~gap, at], rest[gap], _without(binning, at), trees=regressor.getNumTrees(),
+                depth=regressor.getMaxDepth(), min_rows=regressor.getMinInstancesPerNode(), seed=regressor.getSeed() + len(steps))
+            x[gap, at] = given
+            steps.append((target, model))
+        if np.abs(x - before).sum(axis=1).max() < limit:
+            break
+    return steps

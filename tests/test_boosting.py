@@ -1,5 +1,8 @@
 """Boosting and forests: sums against plain loops, one task against several, and what the settings mean."""
 
+import json
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +228,59 @@ def test_symmetric_levels_cut_off_classes_smaller_than_the_bound_on_leaves():
     part = B.Part(0, binning.apply(x), y, np.ones(40), np.zeros(40, bool), np.zeros(3))
     B._rounds(part, s, B.Chooser(s, binning), 0, 30)
     assert (part.margin.argmax(axis=1) == y).all()
+
+
+def gapped(spark, n=400):
+    rng = np.random.default_rng(9)
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    rows = [(k // 2 if k % 50 else None, float(x[k]), None if k % 9 == 4 else float(x[k] * 3 + z[k]), None if k % 31 == 3 else float(z[k]), f"t{k}") for k in range(n)]
+    return spark.createDataFrame(rows, "row_id long, x double, y double, z double, t string").repartition(3)
+
+
+def test_a_chain_of_forests_leaves_its_trees_in_the_shared_folder(spark):
+    chain = impute.fit_tree_chain(gapped(spark), ["x", "y", "z"], "rf", rounds=2, numTrees=30)
+    assert len(chain.steps) == 4
+    trees = sum(len(pickle.dumps(t)) for _, m in chain.steps for t in m.trees)
+    # what the driver holds doesn't grow with the trees
+    assert len(pickle.dumps(chain)) < 20_000 < trees / 5
+    assert len(json.dumps(chain.to_state())) < 50_000
+
+
+def test_forests_of_a_chain_answer_for_rows_with_gaps_in_blocks(spark, tmp_path, monkeypatch):
+    df = gapped(spark)
+    chain = impute.fit_tree_chain(df, ["x", "y", "z"], "rf", rounds=2, numTrees=12)
+    names, rows = ["x", "y", "z"], df.collect()
+    x = np.array([[chain.means[c] if r[c] is None else r[c] for c in names] for r in rows])
+    for target, model in chain.steps:
+        at, gap = names.index(target), np.array([r[target] is None for r in rows])
+        x[gap, at] = model.margins(np.delete(x[gap], at, axis=1))[:, 0]
+    want = {r["t"]: (r["row_id"], *v) for r, v in zip(rows, x.tolist(), strict=True)}
+    monkeypatch.setattr(impute, "BLOCK_ROWS", 7)
+    state = chain.stored(str(tmp_path / "a"))
+    (tmp_path / "a").rename(tmp_path / "b")
+    for some in (chain, impute.TreeChain.restored(json.loads(json.dumps(state)), str(tmp_path / "b"))):
+        done = some.apply(df)
+        assert done.columns == df.columns
+        assert {r["t"]: tuple(r)[:4] for r in done.collect()} == want and done.count() == 400
+    whole = df.where("y IS NOT NULL AND z IS NOT NULL")
+    assert sorted(map(str, chain.apply(whole).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_trees_take_the_best_cut_of_all():
+    rng = np.random.default_rng(7)
+    bins, y = rng.integers(0, 9, (90, 3)).astype(np.uint8), rng.normal(size=90)
+    drawn = np.bincount(np.random.default_rng((5, 2)).integers(0, 90, 90), minlength=90)
+    for min_rows in (1, 8):
+        tree = forest.grow_forest(bins, y, np.array([2]), 9, 4, min_rows, 5)[0]
+
+        def leaves(rows, depth, least=min_rows):
+            def spread(m):
+                return (drawn[m] * (y[m] - np.average(y[m], weights=drawn[m])) ** 2).sum()
+            cuts = [(spread(a) + spread(b), a, b) for f in range(3) for c in range(8) for a in [rows[bins[rows, f] <= c]] for b in [rows[bins[rows, f] > c]]
+                    if drawn[a].sum() >= least and drawn[b].sum() >= least]
+            if not cuts or not depth:
+                return {int(r): np.average(y[rows], weights=drawn[rows]) for r in rows}
+            _, a, b = min(cuts, key=lambda c: c[0])
+            return leaves(a, depth - 1) | leaves(b, depth - 1)
+        want = leaves(np.flatnonzero(drawn), 4)
+        assert np.allclose(tree.predict(bins)[list(want)], list(want.values()))
